@@ -112,10 +112,10 @@ select invoice_id, project_id, seq, vid,
   case when invoice_id % 6 = 1 then 'Energieberatung und Statik' when invoice_id % 6 = 2 then 'Bauleitung' when invoice_id % 6 = 3 then cast(null as varchar(40)) else 'Montage Anlage' end as subject,
   netto, mwst_pct,
   case when mwst_pct is null or invoice_id % 8 = 4 then cast(null as decimal(18,2))
-       else cast(round(netto * mwst_pct / 100, 2) + case when invoice_id % 9 = 0 then 0.10 else 0 end as decimal(18,2)) end as mwst_amount,
+       else cast(round(netto * mwst_pct * 0.01, 2) + case when invoice_id % 9 = 0 then 0.10 else 0 end as decimal(18,2)) end as mwst_amount,
   case when invoice_id % 8 = 4 then cast(null as decimal(18,2))
        when mwst_pct is null then netto + case when invoice_id % 3 = 0 then 5 else 0 end
-       else cast(netto + round(netto * mwst_pct / 100, 2) as decimal(18,2)) end as brutto,
+       else cast(netto + round(netto * mwst_pct * 0.01, 2) as decimal(18,2)) end as brutto,
   case when mwst_pct is null and invoice_id % 2 = 0 then 'tax_free' when mwst_pct is null and invoice_id % 3 = 0 then 'reverse_charge' when mwst_pct is null then 'unclear' when mwst_pct = 7 then 'reduced' else 'standard' end as vat_status,
   cast(case when invoice_id % 3 = 0 then 3 when invoice_id % 3 = 1 then 2 else null end as decimal(5,2)) as skonto_pct,
   case when invoice_type = 'schlussrechnung' and invoice_id % 2 = 0 then cast(netto + 1000 as decimal(18,2)) else cast(null as decimal(18,2)) end as cumulative_netto,
@@ -211,7 +211,7 @@ TABLES["payment_proofs"] = """
 select project_id, invoice_id * 3 as proof_seq, cast('Auftraggeber' as varchar(20)) as payer_name,
   case when invoice_id % 6 = 5 then cast(null as varchar(40)) else replace(vendor_name, 'ä', 'ae') end as payee_name,
   case when invoice_id % 12 = 7 then cast(null as decimal(18,2))
-       when skonto_pct is not null and invoice_id % 4 = 1 then cast(round(coalesce(brutto, netto) * (100 - skonto_pct) / 100, 2) as decimal(18,2))
+       when skonto_pct is not null and invoice_id % 4 = 1 then cast(round(coalesce(brutto, netto) * (100 - skonto_pct) * 0.01, 2) as decimal(18,2))
        when invoice_id % 9 = 8 then cast(coalesce(brutto, netto) + 17 as decimal(18,2)) else coalesce(brutto, netto) end as amount,
   case when invoice_id % 10 = 6 then cast(null as date) else invoice_date + 14 end as payment_date,
   case when invoice_id % 3 = 1 then cast(null as varchar(60)) when invoice_id % 3 = 2 then 'Abschlag Bauvorhaben' else 'Rechnung ' || replace(invoice_number, '-', '/') || ' vielen Dank' end as verwendungszweck,

@@ -16,7 +16,9 @@ def _if(category: str, amount: str = "line_total_net") -> Column:
 
 
 def _ratio(part: Column, base: Column) -> Column:
-    return F.when(base == 0, F.lit(0)).otherwise(part / F.nullif(base, F.lit(0))).cast("decimal(38,20)")
+    # DECIMAL(18,2) operands keep 20 digits in the quotient; wider ones would leave 10.
+    quotient = part.cast("decimal(18,2)") / F.nullif(base, F.lit(0)).cast("decimal(18,2)")
+    return F.when(base == 0, F.lit(0)).otherwise(quotient).cast("decimal(38,20)")
 
 
 def cost_table(offers: DataFrame, positions: DataFrame) -> DataFrame:
