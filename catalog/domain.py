@@ -334,6 +334,22 @@ select cast(user_id as varchar(20)) || '-' || cast(cast(extract(day from ts) as
   event_id % 2 = 0 as verified
 from {events}"""
 
+TABLES["group_offer_lines"] = """
+select o.project_id, o.seq as group_seq, p.pos_seq as line_seq, p.pos, p.artikelnummer, p.description, p.qty, p.line_total_net, p.optional
+from {offer_positions} p join {offers} o on p.offer_id = o.offer_id"""
+
+TABLES["group_invoice_lines"] = """
+select i.project_id, i.invoice_id % 6 as group_seq, i.invoice_id, i.invoice_number, p.pos_seq, p.pos, p.description, p.qty, p.line_total_net
+from {invoice_positions} p join {invoices} i on p.invoice_id = i.invoice_id
+union all
+select project_id, group_seq, 300000000 + project_id * 10 + group_seq, 'RG-' || cast(project_id as varchar(20)), cast(1 as bigint), '1', 'Gesamtauftrag pauschal', cast(1 as decimal(18,2)),
+  cast(case when project_id % 3 = 0 then sum(case when not optional then line_total_net end) else sum(line_total_net) end as decimal(18,2))
+from {group_offer_lines} group by project_id, group_seq
+having sum(case when not optional then line_total_net end) is not null"""
+
+TABLES["offer_groups"] = """
+select project_id, seq as group_seq, vendor_name as group_label, case when seq = 3 then cast(1000 as decimal(18,2)) else cast(null as decimal(18,2)) end as group_sonderpreis from {offers}"""
+
 _NAME = re.compile(r"\{(\w+)\}")
 
 

@@ -97,8 +97,9 @@ def _token_keys(token: Column) -> Column:
 
 
 def overlap_keys(df: DataFrame, tokens: str) -> DataFrame:
-    """One row per distinct (key, role) of a token set; apply to distinct sets, not to rows."""
-    keys = F.array_distinct(F.flatten(F.transform(F.col(tokens), _token_keys)))
+    """One row per (key, role) of a token set; apply to distinct sets, not to rows. Repeats stay
+    in: consumers take minima or distinct pairs, and comparing structs in an array is quadratic."""
+    keys = F.flatten(F.transform(F.col(tokens), _token_keys))
     return df.select("*", F.explode(keys).alias("_k")).select(
         *df.columns, F.col("_k.key").alias("key"), F.col("_k.role").alias("role"), F.col("_k.partner").alias("partner")
     )

@@ -211,3 +211,18 @@ def compare_block_totals(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, ["sheet_id", "block_no"], "full").withColumn(
         "delta", F.when(F.col("left_total").isNotNull() & F.col("right_total").isNotNull(),
                         F.coalesce("left_total", zero) - F.coalesce("right_total", zero)))
+
+
+def scope_check_inputs(rows: DataFrame, offers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(invoices that enter the position comparison, those that do not). Unusable rows and the
+    own company's stay out, and so does every project without offer lines."""
+    fit = ~F.col("unusable") & ~is_own_company(F.col("vendor_name"))
+    with_offers = offers.select("project_id").distinct()
+    return rows.where(fit).join(with_offers, "project_id", "left_semi"), rows.where(~fit)
+
+
+def scope_check_skipped(projects: DataFrame, offers: DataFrame) -> DataFrame:
+    reason = ("Positionsabgleich übersprungen — keine Angebotspositionen lesbar (die geprüfte "
+              "Kostenaufstellung als PDF hochladen, oder die Angebots-PDFs ohne Kostenaufstellung)")
+    return projects.select("project_id").join(offers.select("project_id").distinct(), "project_id", "left_anti").withColumn(
+        "skipped_reason", F.lit(reason))

@@ -13,6 +13,7 @@ from costproof import fixed_values as fx
 from costproof.functions.german import format_de
 from costproof.functions.text import article_numbers, desc_tokens
 from costproof.operators.classify import is_deduction_line
+from costproof.session import materialize
 
 GROUP = ["project_id", "group_seq"]
 _SIGNALS = ["article", "description", "price", "qty"]
@@ -221,6 +222,7 @@ def position_comparison(offer_lines: DataFrame, matches: DataFrame, groups: Data
     """Offer lines with what was billed on them, extras, a total per group, and invoices without
     an offer. ``groups``: project_id, group_seq, group_label, group_sonderpreis; ``invoices``: the
     invoices in scope with their group_seq (null without an offer). References: ``position_refs``."""
+    matches = materialize(matches)  # read by the offer rows, the extras and the totals
     weakest = F.max("confidence")
     billed = matches.where(F.col("line_seq").isNotNull()).groupBy(*GROUP, "line_seq").agg(
         F.sum("amount").alias("invoiced"), weakest.alias("confidence"), F.count(F.lit(1)).alias("n_lines"))
