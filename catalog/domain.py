@@ -128,28 +128,24 @@ from {invoice_base}"""
 _BAL = "cast(abs(c_acctbal) as decimal(18,2))"
 
 
-def _block(k: int) -> str:
-    name = vendor(f"(c_custkey * 3 + {k}) % 144")
-    estimate = "'SOLL: SCHÄTZUNG lt. Stellungnahme vom 01.02.1996'"
-    if k == 5:
-        who, header, statement = "'Eigenerklärung'", estimate, "true"
-    elif k == 6:
-        who = "case when c_custkey % 2 = 1 then 'Eigenleistung' else 'Energiekonzept Nord' end"
-        header = f"case when c_custkey % 2 = 1 then {estimate} else 'SOLL: Energiekonzept Nord Angebot 6 vom 01.02.1996' end"
-        statement = "false"
-    else:
-        who, header, statement = name, f"'SOLL: ' || {name} || ' Angebot ' || cast(c_custkey as varchar(20)) || ' vom 01.02.1996'", "false"
-    ik, nk = {5: ("0", "1"), 3: ("1", "0")}.get(k, ("0.8125", "0.1875"))
-    asked_ik = "0" if k == 5 else f"round({_BAL} * 0.8125 + {16000 * k}, 2)"
-    special = f"cast({_BAL} + {19000 * k} as decimal(18,2))" if k == 2 else "cast(null as decimal(18,2))"
-    return (f"select c_custkey as project_id, cast({k} as bigint) as block_seq, {who} as vendor, {header} as header, "
-            f"cast({ik} as decimal(38,20)) as anteil_ik, cast({nk} as decimal(38,20)) as anteil_nk, "
-            f"cast({asked_ik} as decimal(18,2)) as beantragt_ik, "
-            f"case when c_custkey % 10 = 4 then cast(null as decimal(18,2)) else cast(round({_BAL} * 0.1875 + {3000 * k}, 2) as decimal(18,2)) end as beantragt_nk, "
-            f"cast({_BAL} + {20000 * k} as decimal(18,2)) as gesamt, {special} as sonderpreis, {statement} as statement from {{customer}}")
-
-
-TABLES["vendor_blocks"] = "\nunion all\n".join(_block(k) for k in range(7))
+_KV = vendor("(c_custkey * 3 + k) % 144")
+_ESTIMATE = "'SOLL: SCHÄTZUNG lt. Stellungnahme vom 01.02.1996'"
+_OWN_BLOCK = "k = 6 and c_custkey % 2 = 0"
+
+# @sequence(a,b) is one row per integer: explode on one side, unnest on the other.
+TABLES["vendor_blocks"] = f"""
+select c_custkey as project_id, cast(k as bigint) as block_seq,
+  case when {_OWN_BLOCK} then 'Energiekonzept Nord' when k = 6 then 'Eigenleistung' when k = 5 then 'Eigenerklärung' else {_KV} end as vendor,
+  case when {_OWN_BLOCK} then 'SOLL: Energiekonzept Nord Angebot 6 vom 01.02.1996' when k >= 5 then {_ESTIMATE}
+       else 'SOLL: ' || {_KV} || ' Angebot ' || cast(c_custkey as varchar(20)) || ' vom 01.02.1996' end as header,
+  cast(case when k = 5 then 0 when k = 3 then 1 else 0.8125 end as decimal(38,20)) as anteil_ik,
+  cast(case when k = 5 then 1 when k = 3 then 0 else 0.1875 end as decimal(38,20)) as anteil_nk,
+  cast(case when k = 5 then 0 else round({_BAL} * 0.8125 + 16000 * k, 2) end as decimal(18,2)) as beantragt_ik,
+  case when c_custkey % 10 = 4 then cast(null as decimal(18,2)) else cast(round({_BAL} * 0.1875 + 3000 * k, 2) as decimal(18,2)) end as beantragt_nk,
+  cast({_BAL} + 20000 * k as decimal(18,2)) as gesamt,
+  case when k = 2 then cast({_BAL} + 19000 * k as decimal(18,2)) else cast(null as decimal(18,2)) end as sonderpreis,
+  k = 5 as statement
+from (select c_custkey, c_acctbal, @sequence(0,6) as k from {{customer}})"""
 
 TABLES["offers"] = f"""
 select o_custkey * 10 + o_orderkey % 6 as offer_id, o_custkey as project_id, cast(o_orderkey % 6 as bigint) as seq,
@@ -351,6 +347,7 @@ TABLES["offer_groups"] = """
 select project_id, seq as group_seq, vendor_name as group_label, case when seq = 3 then cast(1000 as decimal(18,2)) else cast(null as decimal(18,2)) end as group_sonderpreis from {offers}"""
 
 _NAME = re.compile(r"\{(\w+)\}")
+_SEQUENCE = re.compile(r"@sequence\((\d+),(\d+)\)")
 
 
 def _closure(names: list[str]) -> list[str]:
@@ -379,14 +376,17 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame] | Dat
         frames[g] = spark.read.parquet(f"{sf_dir}/{g}.parquet")
     for n in needed:
         deps = {d: frames[d] for d in _NAME.findall(TABLES[n])}
-        frames[n] = spark.sql(TABLES[n], **deps)
+        frames[n] = spark.sql(_SEQUENCE.sub(r"explode(sequence(\1, \2))", TABLES[n]), **deps)
     picked = [frames[n] for n in wanted]
     return picked[0] if len(picked) == 1 else picked
 
 
 def sql(body: str, *names: str) -> str:
     """``body`` with the domain tables it names as common table expressions (DuckDB side)."""
-    ctes = [f"{n} as ({_NAME.sub(lambda m: m.group(1), TABLES[n])})" for n in _closure(list(names))]
+    def duck(name: str) -> str:
+        return _SEQUENCE.sub(r"unnest(range(\1, \2 + 1))", _NAME.sub(lambda m: m.group(1), TABLES[name]))
+
+    ctes = [f"{n} as ({duck(n)})" for n in _closure(list(names))]
     body = body.strip()
     if body.lower().startswith("with "):
         extra = body[5:]
