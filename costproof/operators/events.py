@@ -74,30 +74,21 @@ def lockouts(attempts: DataFrame, max_attempts: int = fx.MAX_ATTEMPTS, window: f
     nothing is counted until the lock ends; a success clears everything. ``attempts``: address, ts
     (seconds, double), ok. One row per address and lock.
 
-    Three exact reductions keep a hammered address small. A pause as long as window and lock
-    resets all state, so it starts a new episode that is folded on its own. Failures of one second
-    beyond the first five can never matter, since the fifth locks. And the fold keeps at most four
-    times as its state. An episode is thereby bounded by its duration, not by its number of rows.
+    A pause as long as window and lock forgets everything, so it starts an episode that is folded
+    on its own; the fold's state is at most four times. Episodes are cut on distinct seconds, by day
+    buckets. A gate records no attempt while it is locked, so an unbroken episode grows by five
+    failures per lock, that is with its duration.
     """
-    micros = (F.col("ts") * 1000000).cast("bigint")
-    second = F.floor("ts").cast("bigint")
-    df = attempts.select("address", "ts", "ok", second.alias("second"), micros.alias("us"))
-    mixed = df.groupBy("address", "second").agg(F.bool_or("ok").alias("has_ok"))
-    plain = df.join(mixed.where(~F.col("has_ok")), ["address", "second"], "left_semi")
-    # One address and second: bounded by what a login page can answer in a second.
-    first_few = plain.withColumn("_n", F.row_number().over(Window.partitionBy("address", "second").orderBy("us"))).where(F.col("_n") <= max_attempts)
-    kept = first_few.drop("_n").unionByName(df.join(mixed.where("has_ok"), ["address", "second"], "left_semi"))
-    # Episodes: seconds with attempts, cut where the pause is long enough to forget everything.
-    seconds = kept.groupBy("address", "second").agg(F.count(F.lit(1)).alias("_c"))
+    df = attempts.select("address", "ts", "ok", F.floor("ts").cast("bigint").alias("second"))
+    days = df.select("address", "second", F.floor(F.col("second") / 86400).alias("_day")).distinct()
     pause = max(window, lock) + 1
-    by_address = Window.partitionBy("address", "_day").orderBy("second")
-    days = seconds.withColumn("_day", F.floor(F.col("second") / 86400))
-    inside = days.withColumn("_prev", F.lag("second").over(by_address))
+    by_day = Window.partitionBy("address", "_day").orderBy("second")
     ends = days.groupBy("address", "_day").agg(F.max("second").alias("_last"))
     carried = ends.withColumn("_carry", F.lag("_last").over(Window.partitionBy("address").orderBy("_day"))).select("address", "_day", "_carry")
-    starts = inside.join(carried, ["address", "_day"]).withColumn("_before", F.coalesce("_prev", "_carry")).withColumn(
+    starts = days.withColumn("_prev", F.lag("second").over(by_day)).join(carried, ["address", "_day"]).withColumn(
+        "_before", F.coalesce("_prev", "_carry")).withColumn(
         "_start", F.when(F.col("_before").isNull() | (F.col("second") - F.col("_before") > pause), F.col("second")))
-    within = F.max("_start").over(by_address.rowsBetween(Window.unboundedPreceding, 0))
+    within = F.max("_start").over(by_day.rowsBetween(Window.unboundedPreceding, 0))
     tops = starts.groupBy("address", "_day").agg(F.max("_start").alias("_top"))
     earlier = tops.withColumn("_from", F.max("_top").over(Window.partitionBy("address").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))).select(
         "address", "_day", "_from")
@@ -116,7 +107,7 @@ def lockouts(attempts: DataFrame, max_attempts: int = fx.MAX_ATTEMPTS, window: f
             .otherwise(F.struct(recent.alias("hits"), acc["until"].alias("until"), acc["locks"].alias("locks"))))
 
     ordered = F.array_sort(F.collect_list(F.struct("ts", "ok")))
-    folded = kept.join(episodes, ["address", "second"]).groupBy("address", "episode").agg(F.aggregate(ordered, state0, step).alias("s"))
+    folded = df.join(episodes, ["address", "second"]).groupBy("address", "episode").agg(F.aggregate(ordered, state0, step).alias("s"))
     return folded.select("address", F.explode("s.locks").alias("locked_at")).withColumn("locked_until", F.col("locked_at") + lock)
 
 

@@ -47,8 +47,9 @@ def choose_block_figures(blocks: DataFrame) -> DataFrame:
     by_pct = F.when((F.size("totals") > 0) & pct.isNotNull(), F.struct(first.cast(MONEY).alias("gesamt"), split_ik.alias("ik"), (first - split_ik).cast(MONEY).alias("nk")))
     plain = F.when(F.size("totals") > 0, F.struct(first.cast(MONEY).alias("gesamt"), first.cast(MONEY).alias("ik"), F.lit(0).cast(MONEY).alias("nk")))
     chosen = F.coalesce(candidate("sonder_totals"), candidate("totals"), by_pct, plain)
-    return blocks.withColumn("_c", chosen).where(F.col("_c").isNotNull()).select(
-        *blocks.columns, "_c.gesamt", "_c.ik", "_c.nk", F.try_element_at("sonder_totals", F.lit(1)).alias("sonderpreis")).drop("totals", "sonder_totals", "pcts")
+    # inline drops blocks without figures and keeps the choice from being repeated in a filter.
+    return blocks.select(
+        *blocks.columns, F.inline(F.array_compact(F.array(chosen))), F.try_element_at("sonder_totals", F.lit(1)).alias("sonderpreis")).drop("totals", "sonder_totals", "pcts")
 
 
 def _shares(df: DataFrame) -> DataFrame:
