@@ -96,26 +96,35 @@ def _token_keys(token: Column) -> Column:
     return F.concat(exact, F.coalesce(near_keys, empty))
 
 
-def overlap_keys(df: DataFrame, tokens: str) -> DataFrame:
-    """One row per (key, role) of a token set; apply to distinct sets, not to rows. Repeats stay
-    in: consumers take minima or distinct pairs, and comparing structs in an array is quadratic."""
-    keys = F.flatten(F.transform(F.col(tokens), _token_keys))
-    return df.select("*", F.explode(keys).alias("_k")).select(
-        *df.columns, F.col("_k.key").alias("key"), F.col("_k.role").alias("role"), F.col("_k.partner").alias("partner")
-    )
+def near_words(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(word, other): equal words and near misses between two one-column vocabularies.
+
+    Works on the distinct words of whole tables, whatever project they come from; a vocabulary
+    grows far slower than the rows that use it. Candidates meet by key, never pair by pair.
+    """
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(df.columns[0]).alias(name)).distinct().select(name, F.inline(_token_keys(F.col(name))))
+
+    lhs = keyed(left, "word")
+    rhs = keyed(right, "other").select("other", "key", F.col("role").alias("partner"))
+    return lhs.join(rhs, ["key", "partner"]).select("word", "other").distinct()
+
+
+def _exploded(df: DataFrame, by: list[str], tokens: str, name: str) -> DataFrame:
+    return df.select(*by, tokens, F.explode(tokens).alias(name))
 
 
 def overlapping_sets(
     left: DataFrame, right: DataFrame, by: Sequence[str], left_tokens: str, right_tokens: str
 ) -> DataFrame:
-    """Pairs of distinct token sets with a positive overlap, found by keys, never by a cross
-    join. ``left``/``right`` hold the ``by`` columns and one token column each; rows with the
-    same set collapse first, so copies of one vendor cost one candidate."""
+    """Pairs of distinct token sets with a positive overlap, found by shared or near words, never
+    by a cross join. ``left``/``right`` hold the ``by`` columns and one token column each; rows
+    with the same set collapse first, so copies of one vendor cost one candidate."""
     by = list(by)
-    lhs = overlap_keys(left.select(*by, left_tokens).distinct(), left_tokens)
-    rhs = overlap_keys(right.select(*by, right_tokens).distinct(), right_tokens)
-    rhs = rhs.select(*by, "key", F.col("role").alias("partner"), right_tokens)
-    return lhs.join(rhs, [*by, "key", "partner"], "inner").select(*by, left_tokens, right_tokens).distinct()
+    lhs = _exploded(left.select(*by, left_tokens).distinct(), by, left_tokens, "word")
+    rhs = _exploded(right.select(*by, right_tokens).distinct(), by, right_tokens, "other")
+    reach = lhs.join(near_words(lhs.select("word"), rhs.select("other")), "word")
+    return reach.join(rhs, [*by, "other"]).select(*by, left_tokens, right_tokens).distinct()
 
 
 def earliest_overlap(
@@ -123,13 +132,11 @@ def earliest_overlap(
 ) -> DataFrame:
     """For each distinct probe set, the smallest ``order`` among ``heads`` whose set overlaps.
 
-    Only a minimum is needed, so each key keeps one head and no pairs are formed.
+    Only a minimum is needed, so each word keeps one head and no pairs are formed.
     """
     by = list(by)
-    tops = (
-        overlap_keys(heads.select(*by, tokens, order), tokens)
-        .groupBy(*by, "key", F.col("role").alias("partner"))
-        .agg(F.min(order).alias(out))
-    )
-    keyed = overlap_keys(probes.select(*by, tokens).distinct(), tokens)
-    return keyed.join(tops, [*by, "key", "partner"], "inner").groupBy(*by, tokens).agg(F.min(out).alias(out))
+    members = heads.select(*by, order, F.explode(tokens).alias("other"))
+    tops = members.groupBy(*by, "other").agg(F.min(order).alias(out))
+    lhs = _exploded(probes.select(*by, tokens).distinct(), by, tokens, "word")
+    reach = lhs.join(near_words(lhs.select("word"), members.select("other")), "word")
+    return reach.join(tops, [*by, "other"]).groupBy(*by, tokens).agg(F.min(out).alias(out))

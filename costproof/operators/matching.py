@@ -12,10 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from costproof.functions.vendor import (
-    earliest_overlap, is_own_company, overlap_keys, overlapping_sets, vendor_compact, vendor_overlap, vendor_set,
+    earliest_overlap, is_own_company, near_words, overlapping_sets, vendor_compact, vendor_overlap, vendor_set,
 )
 from costproof.operators.classify import is_statement_block
-from costproof.scale import first_row
 from costproof.session import materialize
 
 _GRAM = 5
@@ -99,24 +98,26 @@ def _leaders(labels: DataFrame) -> DataFrame:
     """First-fit grouping of distinct labels: project_id, tokens, seq → + leader_seq.
 
     A label leads if no earlier leader overlaps it, else it follows the earliest such leader.
-    Solved in rounds: a label is settled once every key it shares has a settled head below it.
-    Each round reads one minimum per key, never a pair of labels; the number of rounds is the
+    Solved in rounds: a label is settled once every word it shares has a settled head below it.
+    Each round reads one minimum per word, never a pair of labels; the number of rounds is the
     longest chain of labels of one project that hang on each other.
     """
     spark = labels.sparkSession
-    keyed = materialize(overlap_keys(labels, "tokens").select("project_id", "seq", "key", "role", "partner"))
+    own = materialize(labels.select("project_id", "seq", F.explode("tokens").alias("word")))
+    words = own.select("word").distinct()
+    looks = materialize(own.join(near_words(words, words), "word").select("project_id", "seq", F.col("other").alias("word")).distinct())
     open_ = labels.select("project_id", "seq")
     settled = spark.createDataFrame([], "project_id bigint, seq bigint, leader_seq bigint")
     while True:
         led = settled.where(F.col("seq") == F.col("leader_seq")).select("project_id", "seq")
         alive = open_.withColumn("led", F.lit(False)).unionByName(led.withColumn("led", F.lit(True)))
         heads = (
-            keyed.join(alive, ["project_id", "seq"])
-            .groupBy("project_id", "key", F.col("role").alias("partner"))
+            own.join(alive, ["project_id", "seq"])
+            .groupBy("project_id", "word")
             .agg(F.min("seq").alias("any_head"), F.min(F.when(F.col("led"), F.col("seq"))).alias("led_head"))
         )
         seen = (
-            keyed.join(open_, ["project_id", "seq"]).join(heads, ["project_id", "key", "partner"], "left")
+            looks.join(open_, ["project_id", "seq"]).join(heads, ["project_id", "word"], "left")
             .groupBy("project_id", "seq")
             .agg(F.min(F.when(F.col("any_head") < F.col("seq"), F.col("any_head"))).alias("first_any"),
                  F.min(F.when(F.col("led_head") < F.col("seq"), F.col("led_head"))).alias("first_led"))

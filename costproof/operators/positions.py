@@ -82,10 +82,10 @@ def _shapes(offer_lines: DataFrame, invoice_lines: DataFrame) -> tuple[DataFrame
 
 
 def _related_words(offers: DataFrame, billed: DataFrame) -> DataFrame:
-    """(group, offer word, invoice word): equal, or one inside the other from four characters.
-    Works on the distinct words of a group; the longer word emits its parts as join keys."""
+    """(offer word, invoice word): equal, or one inside the other from four characters. Works on
+    the distinct words of the tables; the longer word emits its parts as join keys."""
     def words(df: DataFrame, column: str, name: str) -> DataFrame:
-        return df.select(*GROUP, F.explode(column).alias(name)).distinct()
+        return df.select(F.explode(column).alias(name)).distinct()
 
     def parts(col: str) -> Column:
         sizes = F.sequence(F.lit(4), F.greatest(F.length(col), F.lit(4)))
@@ -95,8 +95,8 @@ def _related_words(offers: DataFrame, billed: DataFrame) -> DataFrame:
         return F.array_distinct(F.flatten(F.transform(sizes, cut)))
 
     left, right = words(offers, "o_tokens", "o_word"), words(billed, "i_tokens", "i_word")
-    in_offer = left.withColumn("i_word", F.explode(parts("o_word"))).join(right, [*GROUP, "i_word"]).select(*GROUP, "o_word", "i_word")
-    in_invoice = right.withColumn("o_word", F.explode(parts("i_word"))).join(left, [*GROUP, "o_word"]).select(*GROUP, "o_word", "i_word")
+    in_offer = left.withColumn("i_word", F.explode(parts("o_word"))).join(right, "i_word").select("o_word", "i_word")
+    in_invoice = right.withColumn("o_word", F.explode(parts("i_word"))).join(left, "o_word").select("o_word", "i_word")
     return in_offer.unionByName(in_invoice).distinct()
 
 
@@ -108,10 +108,10 @@ def score_positions(offer_lines: DataFrame, invoice_lines: DataFrame) -> DataFra
     """
     offers, billed = _shapes(offer_lines, invoice_lines)
     shapes = billed.select(*GROUP, "shape", "i_articles", "i_tokens", "i_price", "i_qty").distinct()
-    keyed_offers = offers.select(*GROUP, F.xxhash64("line_seq").alias("_o"), "line_seq", F.explode("o_tokens").alias("o_word"))
+    keyed_offers = offers.select(*GROUP, "line_seq", F.explode("o_tokens").alias("o_word"))
     keyed_shapes = shapes.select(*GROUP, "shape", F.explode("i_tokens").alias("i_word"))
     by_word = (
-        keyed_offers.join(_related_words(offers, shapes), [*GROUP, "o_word"]).join(keyed_shapes, [*GROUP, "i_word"])
+        keyed_offers.join(_related_words(offers, shapes), "o_word").join(keyed_shapes, [*GROUP, "i_word"])
         .select(*GROUP, "line_seq", "shape"))
     by_article = (
         offers.select(*GROUP, "line_seq", F.explode("o_articles").alias("article"))

@@ -16,14 +16,28 @@ _OFFER = f"""project_id bigint, offer_id bigint, seq bigint, source_name string,
  nettosumme decimal(18,2), mwst_pct decimal(5,2), mwst_amount decimal(18,2), endbetrag decimal(18,2), sonderpreis decimal(18,2), preisnachlass decimal(18,2),
  positions array<struct<{_POSITION.replace(' string', ':string').replace(' decimal', ':decimal').replace(' boolean', ':boolean').replace(' int', ':int')}>>"""
 
-EXTRACTIONS = {
-    "invoice": (StructType.fromDDL(_INVOICE), ["invoice_id", "vendor_name", "invoice_number", "invoice_date", "netto"]),
-    "offer": (StructType.fromDDL(_OFFER), ["offer_id", "vendor_name", "offer_number", "offer_date"]),
+_EXTRACTIONS = {
+    "invoice": (_INVOICE, ["invoice_id", "vendor_name", "invoice_number", "invoice_date", "netto"]),
+    "offer": (_OFFER, ["offer_id", "vendor_name", "offer_number", "offer_date"]),
 }
 
-PROJECT = StructType.fromDDL(
+_PROJECT = (
     "project_id bigint, client_name string, client_address string, bewilligungszeitraum_start date, bewilligungszeitraum_end date, antragstellung date, aavm_genehmigung date, "
     "bescheid_eingegangen date, bescheid_datiert date, kennung string, passwort string, iban string, steuernummer string, foerderbetrag decimal(18,2), "
     "kostendeckel_foerderanteil decimal(5,4), agvo_referenzkosten decimal(18,2)")
 
-AUDIT = StructType.fromDDL("ts string, job string, procedure string, event string, message string, file string, status string, verified boolean")
+_AUDIT = "ts string, job string, procedure string, event string, message string, file string, status string, verified boolean"
+
+
+def extraction(kind: str) -> tuple[StructType, list[str]]:
+    """Schema of an extracted record and its mandatory columns. Needs a running session."""
+    ddl, required = _EXTRACTIONS[kind]
+    return StructType.fromDDL(ddl), required
+
+
+def project() -> StructType:
+    return StructType.fromDDL(_PROJECT)
+
+
+def audit() -> StructType:
+    return StructType.fromDDL(_AUDIT)

@@ -14,7 +14,7 @@ def read_extractions(spark: SparkSession, path: str, kind: str) -> tuple[DataFra
     Unreadable lines, records without a mandatory value and offers whose binding line lacks a
     total go to ``rejected`` with a reason; nothing is dropped. Descriptions are capped names.
     """
-    schema, required = schemas.EXTRACTIONS[kind]
+    schema, required = schemas.extraction(kind)
     raw = (
         spark.read.schema(schema.add("_corrupt", "string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     )
@@ -39,7 +39,7 @@ def read_extractions(spark: SparkSession, path: str, kind: str) -> tuple[DataFra
 
 def read_projects(spark: SparkSession, path: str, project_ids: DataFrame | None = None) -> DataFrame:
     """Project settings; projects without a record get one of nulls."""
-    settings = spark.read.schema(schemas.PROJECT).json(path)
+    settings = spark.read.schema(schemas.project()).json(path)
     return settings if project_ids is None else project_ids.select("project_id").distinct().join(settings, "project_id", "left")
 
 
@@ -49,10 +49,11 @@ def read_audit_log(spark: SparkSession, path: str, streaming: bool = False) -> D
         lines = spark.readStream.format("text").load(path)
     else:
         lines = spark.read.text(path)
-    event = F.from_json("value", schemas.AUDIT, {"mode": "PERMISSIVE"})
+    schema = schemas.audit()
+    event = F.from_json("value", schema, {"mode": "PERMISSIVE"})
     parsed = lines.where(F.trim("value") != "").select("value", event.alias("e"), F.monotonically_increasing_id().alias("line_no")) if not streaming else (
         lines.where(F.trim("value") != "").select("value", event.alias("e"), F.xxhash64("value").alias("line_no")))
-    known = [f for f in schemas.AUDIT.fieldNames() if f != "ts"]
+    known = [f for f in schema.fieldNames() if f != "ts"]
     rest = F.from_json("value", "map<string,string>")
-    payload = F.map_filter(rest, lambda k, _: ~k.isin(schemas.AUDIT.fieldNames()))
+    payload = F.map_filter(rest, lambda k, _: ~k.isin(schema.fieldNames()))
     return parsed.select(F.try_to_timestamp("e.ts").alias("ts"), *[F.col(f"e.{c}").alias(c) for c in known], payload.alias("payload"), "line_no")
