@@ -239,7 +239,33 @@ def payment_rule(spark, d):
     return own.select("invoice_id", "proof_seq", rule.alias("tier"))
 
 
-@query("reconcile_payments")
+_HIT = "length(list_filter(p.ts, lambda t: length(list_filter(m.s.ts, lambda u: t = u or (length(t) >= 5 and length(u) >= 5 and levenshtein(t, u) <= 1))) > 0)) > 0"
+_NUMBERED = "coalesce(length(m.s.num) >= 4 and contains(p.zweck, m.s.num), false)"
+PAYMENTS = f"""plist as (select project_id, list({{'seq': proof_seq, 'ts': {duck.vset('payee_name')}, 'amount': amount, 'd': payment_date, 'zweck': {duck.alnum('verwendungszweck')}}} order by proof_seq) as ps from payment_proofs group by 1),
+members as (select project_id, row_number() over (partition by project_id order by invoice_date, invoice_number, seq) as k,
+   {{'id': invoice_id, 'ts': {duck.vset('vendor_name')}, 'num': {duck.alnum('invoice_number')}, 'target': coalesce(brutto, netto), 'pct': skonto_pct, 'cum': cumulative_netto,
+     'cumt': case when mwst_pct is not null then cast(round_even(cumulative_netto * (100 + mwst_pct) * 0.01, 2) as decimal(18,2)) else cumulative_netto end}} as s from invoices),
+pay as (select project_id, cast(0 as bigint) as k, cast([] as bigint[]) as used, cast(null as bigint) as invoice_id, cast(null as varchar) as kind, cast([] as bigint[]) as takes from (select distinct project_id from members)
+  union all select project_id, k, used || takes, invoice_id, kind, takes from (select project_id, k, used, id as invoice_id, kind,
+     case kind when 'exact' then [exact.seq] when 'less' then [less.seq] when 'sum' then list_transform(cands, lambda p: p.seq) when 'tied' then [tied.seq] else cast([] as bigint[]) end as takes
+   from (select *, case when exact is not null then 'exact' when less is not null then 'less' when cum is not null and length(cands) >= 2 then 'sum' when tied is not null then 'tied' else 'none' end as kind
+   from (select project_id, k, used, m.s.id as id, m.s.cum as cum, cands, list_filter(cands, lambda p: coalesce(abs(p.amount - m.s.target) <= 0.02, false))[1] as exact,
+        list_filter(cands, lambda p: coalesce(abs(p.amount - m.s.target * (100 - m.s.pct) * 0.01) <= 0.05, false))[1] as less, list_filter(cands, lambda p: {_NUMBERED})[1] as tied
+     from (select y.project_id, m.k, y.used, m.s, list_filter(coalesce(l.ps, []), lambda p: not list_contains(y.used, p.seq) and ({_HIT} or {_NUMBERED})) as cands
+       from pay y join members m on m.project_id = y.project_id and m.k = y.k + 1 left join plist l on l.project_id = y.project_id) m)))),
+paid as (select y.project_id, y.invoice_id, y.kind, y.takes, sum(amount) as total, max(payment_date) as paid_date from pay y left join payment_proofs p on p.project_id = y.project_id and list_contains(y.takes, p.proof_seq) where y.k > 0 group by 1, 2, 3, 4),
+results as (select p.project_id, p.invoice_id, s.cumt, s.pct, kind, length(takes) as n, case when kind = 'sum' then coalesce(total, 0) else total end as total, paid_date,
+   kind = 'sum' and (abs(coalesce(total, 0) - s.target) <= 0.05 or abs(coalesce(total, 0) - s.cumt) <= 0.05) as fits from paid p join members m on m.project_id = p.project_id and m.s.id = p.invoice_id)"""
+_WHEN = f"case when paid_date is not null then 'am ' || {duck.de_date('paid_date')} || ' bezahlt' else 'bezahlt (Datum fehlt auf dem Nachweis)' end"
+
+
+@query("reconcile_payments", recursive(sql(f"""
+with {PAYMENTS}
+select project_id, invoice_id, case kind when 'exact' then 'paid' when 'less' then 'paid_skonto' when 'sum' then case when fits then 'paid' else 'amount_mismatch' end when 'tied' then 'amount_mismatch' else 'no_proof' end as status,
+  total as bezahlt, paid_date, case when kind = 'less' then pct end as skonto_pct_taken, n as n_proofs,
+  case kind when 'exact' then {_WHEN} when 'less' then {_WHEN} || ', ' || {duck.format_de('pct')} || ' % Skonto'
+    when 'sum' then 'Σ aus ' || cast(n as varchar) || ' Zahlungen' || case when fits then '' else ' = ' || {duck.format_de('total')} || ' — weicht von Gesamt-Brutto ' || {duck.format_de('cumt')} || ' ab, prüfen' end
+    when 'tied' then 'Zahlungsnachweis zur Re-Nr. gefunden, Betrag ' || coalesce({duck.format_de('total')}, '—') || ' weder Brutto noch Skonto-Betrag — prüfen' else 'kein Zahlungsnachweis' end as note from results""", "invoices", "payment_proofs")))
 def reconcile_payments(spark, d):
     return payments.reconcile_payments(*load(spark, d, "invoices", "payment_proofs"))[0]
 

