@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,24 +29,17 @@ def build_session(app: str = "costproof", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``.
+    """Use the shared folder named by ``spark.checkpoint.dir``; without one, fail.
 
-    Only a local master without that setting gets a folder of its own; on a cluster a
-    missing setting is an error, because a machine-local folder would be lost with its
-    executor.
+    The engine never chooses a folder: a machine-local one would be lost with its executor.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
-    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    else:
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    sc.setCheckpointDir(configured)
 
 
 def materialize(df: DataFrame) -> DataFrame:
