@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from costproof.llm.minhash import near_duplicates
+from costproof.llm.packing import pack
 from costproof.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
+from costproof.llm.token_counts import token_counts
+
+TOKENIZER = "byte_bpe_50k.json"
 
 WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 
@@ -28,3 +33,13 @@ FROM documents LEFT JOIN sizes USING (doc_id) JOIN lowest USING (doc_id)
 @query("op1_minhash_near_dedup", MINHASH)
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query("op9_curve_packing")
+def op9_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
