@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from costproof.llm.minhash import near_duplicates
+from costproof.llm.mixing import mix
 from costproof.llm.packing import pack
 from costproof.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from costproof.llm.token_counts import token_counts
@@ -43,3 +44,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_curve_packing")
 def op9_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query("op8_source_mix")
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
