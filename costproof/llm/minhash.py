@@ -6,21 +6,20 @@ filled after twice that many rounds at most; with many shingles one or two round
 bin with the probability of the sets' Jaccard similarity, concentrated as with independent hash functions.
 
 Documents with equal shingle sets form one class. Classes that share a band (``ROWS`` bins) are candidates; a pair at a
-similarity of 0.85 shares none of the bands with a probability under 1e-6. Buckets never emit all their pairs unless
-they are small:
+similarity of 0.85 shares none of the bands with a probability under 1e-6. No bucket emits all its pairs unless it is small:
 
-1. Every bucket pairs its members with its smallest one. In a bucket of at most ``SMALL`` members all pairs are candidates.
+1. A bucket pairs its members with its hub, the member that meets most others over all bands. In a bucket of at most
+   ``SMALL`` members all pairs are candidates.
 2. Candidates pass a size test and an estimate from the sketches, eight standard deviations below the threshold; then both
    whole texts are compared exactly.
-3. A larger bucket whose members do not all belong to one component yet is split by every further band, and its parts go
-   through the same steps for pairs of different components. What is still undecided after ``DEPTH`` splits shares
-   ``(DEPTH + 1) * ROWS`` bins and has all its pairs compared.
+3. Large buckets whose members are not all in one component yet go on: members outside the hub's component are compared
+   exactly with all members, block against block, and a pair of blocks hands on no more links than it needs to connect its
+   rows. Blocks are bounded in rows and shingles, however large a bucket is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,8 +30,10 @@ from costproof.llm.bytehash import batches, mix, shingles
 from costproof.llm.components import components
 from costproof.llm.tables import written
 
-BANDS, ROWS, SMALL, DEPTH = 26, 5, 16, 2
+BANDS, ROWS, SMALL = 26, 5, 8
 BINS = BANDS * ROWS
+#: Rows and shingles of a block, and columns of a block's incidence matrix held at once.
+BLOCK_ROWS, BLOCK_ITEMS, COLUMNS = 512, 1 << 19, 4096
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
@@ -146,39 +147,95 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
 
 def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
     """Confirmed links (a, b) between classes whose components are those of all links; None without any."""
-    members = classes.select("cls", F.posexplode("bands").alias("band", "key"))
-    root, links = None, []
-    for depth in range(DEPTH + 1):
-        sizes = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("pivot")).where("size > 1"))
-        grouped = written(members.join(sizes, "key"))
-        large = F.col("size") > (SMALL if depth < DEPTH else (1 << 62))
-        stars = grouped.where(large & (F.col("cls") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
-        near = grouped.where(~large)
-        every = near.select("key", F.col("cls").alias("a")).join(near.select("key", F.col("cls").alias("b")), "key").where("a < b").select("a", "b")
-        pairs = stars.union(every).distinct()
-        if root is not None:
-            pairs = _across(pairs, root)
-        links.append(written(_confirm(docs, classes, pairs, percent)))
-        if grouped.where(large).isEmpty():
-            break
-        root = written(components(reduce(DataFrame.union, links)))
-        ends = grouped.where(large).join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        open_keys = written(ends.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
-        if open_keys.isEmpty():
-            break
-        again = grouped.join(open_keys, "key").select("key", "cls", "band").join(classes.select("cls", "bands"), "cls")
-        further = again.select("cls", F.col("band").alias("last"), F.col("key").alias("was"), F.posexplode("bands").alias("band", "next")).where("band > last")
-        members = further.select("cls", "band", F.xxhash64("was", "next").alias("key"))
-    found = reduce(DataFrame.union, links)
-    return None if found.isEmpty() else found.distinct()
-
-
-def _across(pairs: DataFrame, root: DataFrame) -> DataFrame:
-    """Pairs of different components only."""
-    for c in ("a", "b"):
-        own = root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        pairs = pairs.join(own, c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
-    return pairs.where("root_a <> root_b").select("a", "b")
+    members = classes.select("cls", "n", F.explode("bands").alias("key"))
+    sizes = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("items")).where("size > 1"))
+    grouped = written(members.join(sizes, "key"))
+    met = written(grouped.groupBy("cls").agg(F.sum("size").alias("met")))
+    hubs = grouped.join(met, "cls").groupBy("key").agg(F.max(F.struct("met", "cls"))["cls"].alias("hub"))
+    grouped = written(grouped.join(written(hubs), "key"))
+    stars = grouped.where("cls <> hub").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b"))
+    near = grouped.where((F.col("size") > 2) & (F.col("size") <= SMALL))
+    every = near.select("key", F.col("cls").alias("a")).join(near.select("key", F.col("cls").alias("b")), "key").where("a < b").select("a", "b")
+    links = written(_confirm(docs, classes, stars.union(every).distinct(), percent))
+    if not grouped.where(F.col("size") > SMALL).isEmpty():
+        links = _rest(docs, classes, grouped.where(F.col("size") > SMALL), links, percent)
+    return None if links.isEmpty() else links
+
+
+def _rest(docs: DataFrame, classes: DataFrame, large: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """``links`` and those that large buckets still miss."""
+    if not links.isEmpty():
+        root = written(components(links))
+        for c in ("cls", "hub"):
+            own = root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+            large = large.join(own, c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+        large = large.withColumn("outside", F.col("root_cls") != F.col("root_hub"))
+    else:
+        large = large.withColumn("outside", F.col("cls") != F.col("hub"))
+    large = written(large.select("key", "cls", "n", "size", "items", "outside"))
+    left = written(large.where("outside").groupBy("key").agg(F.count(F.lit(1)).alias("rows_out"), F.sum("n").alias("items_out")))
+    if left.isEmpty():
+        return links
+    blocks = lambda rows, items: F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(items) / BLOCK_ITEMS)).cast("int")
+    again = large.join(left, "key").withColumn("q_blocks", blocks("rows_out", "items_out")).withColumn("d_blocks", blocks("size", "items"))
+    needed = again.select("cls").distinct().join(classes.select("cls", "doc_id"), "cls")
+    texts = written(docs.join(written(needed), "doc_id").select("cls", "text"))
+    again = again.withColumn("at", F.xxhash64("cls"))
+    full = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    query = again.where("outside").select("key", "cls", F.pmod("at", "q_blocks").alias("q"), full("d_blocks").alias("d"), F.lit(True).alias("asks"))
+    data = again.select("key", "cls", F.pmod("at", "d_blocks").alias("d"), full("q_blocks").alias("q"), F.lit(False).alias("asks"))
+    rows = query.select("key", "q", "d", "cls", "asks").union(data.select("key", "q", "d", "cls", "asks")).join(texts, "cls")
+    found = rows.groupBy("key", "q", "d").applyInPandas(_compared(percent), "a binary, b binary")
+    return written(links.union(found).distinct())
+
+
+def _compared(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["cls", "asks"])
+        keys, sets = list(rows["cls"]), []
+        texts = [t.encode() for t in rows["text"]]
+        for a, b in batches(texts):
+            sets += shingles(texts[a:b])
+        true = np.array([set_key(x) == bytes(k) for x, k in zip(sets, keys)], bool)  # another row of a repeated doc_id
+        asks = rows["asks"].to_numpy(bool)
+        q, d = np.flatnonzero(asks & true), np.flatnonzero(~asks & true)
+        n, parent, out = np.array([len(x) for x in sets]), {}, []
+        if not len(q) or not len(d):
+            return pd.DataFrame({"a": [], "b": []})
+
+        def top(k: bytes) -> bytes:
+            while (up := parent.setdefault(k, k)) != k:
+                parent[k] = parent[up] if up in parent else up
+                k = up
+            return k
+
+        both = _shared([sets[i] for i in q], [sets[i] for i in d])
+        for i, j in zip(*np.nonzero(100 * both >= percent * (n[q][:, None] + n[d][None, :] - both)), strict=True):
+            a, b = keys[q[i]], keys[d[j]]
+            if (x := top(a)) != (y := top(b)):
+                parent[x] = y
+                out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, as products of their incidence matrices."""
+    flat = [np.concatenate(x) for x in (left, right)]
+    known = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    at = [(np.repeat(np.arange(len(x)), [len(s) for s in x]), np.searchsorted(known, f), f) for x, f in zip((left, right), flat)]
+    for start in range(0, len(known), COLUMNS):
+        held = []
+        for size, (row, place, f) in zip((len(left), len(right)), at, strict=True):
+            inside = (place >= start) & (place < min(start + COLUMNS, len(known)))
+            inside[inside] = known[place[inside]] == f[inside]
+            marks = np.zeros((size, COLUMNS), np.float32)
+            marks[row[inside], place[inside] - start] = 1
+            held.append(marks)
+        out += held[0] @ held[1].T
+    return out.astype(np.int64)
 
 
 def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
