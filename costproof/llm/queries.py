@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from costproof.llm.minhash import near_duplicates
 from costproof.llm.mixing import mix
 from costproof.llm.packing import pack
+from costproof.llm.quality_rules import quality_rules
 from costproof.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from costproof.llm.token_counts import token_counts
 
@@ -49,3 +50,8 @@ def op9_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_source_mix")
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op2_quality_rules")
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
