@@ -10,6 +10,7 @@ from costproof.llm.mixing import mix
 from costproof.llm.packing import pack
 from costproof.llm.quality_rules import quality_rules
 from costproof.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
+from costproof.llm.secrets import secret_scan
 from costproof.llm.token_counts import token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -55,3 +56,8 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_quality_rules")
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
