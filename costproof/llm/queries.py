@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from costproof.llm.factorisation import quality_scores
 from costproof.llm.minhash import near_duplicates
 from costproof.llm.mixing import mix
 from costproof.llm.packing import pack
@@ -61,3 +62,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_secret_scan")
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
