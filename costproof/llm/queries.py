@@ -10,6 +10,7 @@ from costproof.llm.minhash import near_duplicates
 from costproof.llm.mixing import mix
 from costproof.llm.packing import pack
 from costproof.llm.quality_rules import quality_rules
+from costproof.llm.quantised import near_vectors
 from costproof.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from costproof.llm.secrets import secret_scan
 from costproof.llm.token_counts import token_counts
@@ -33,6 +34,20 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM documents LEFT JOIN sizes USING (doc_id) JOIN lowest USING (doc_id)
 """
 
+VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, label, e FROM v WHERE list_sum(list_transform(e, lambda x: x * x)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+lowest AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN counts USING (vec_id) JOIN lowest USING (vec_id)
+"""
+
 
 @query("op1_minhash_near_dedup", MINHASH)
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,3 +82,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_quality_classifier")
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_quantised_near_dedup", VECTORS)
+def op5_quantised_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
