@@ -13,6 +13,7 @@ from costproof.llm.quality_rules import quality_rules
 from costproof.llm.quantised import near_vectors
 from costproof.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from costproof.llm.secrets import secret_scan
+from costproof.llm.shards import write_shards
 from costproof.llm.token_counts import token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -87,3 +88,8 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quantised_near_dedup", VECTORS)
 def op5_quantised_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_training_shards")
+def op10_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
