@@ -1,7 +1,53 @@
-"""The corpus pipeline (in progress)."""
-STAGES = []
+"""The corpus pipeline: rules, near-duplicates, secrets, mix, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a DataFrame; all but the last return
+the columns of documents. Between stages the rows are a Parquet table.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from costproof.llm import minhash, mixing, packing, quality_rules, secrets
+from costproof.llm.tables import written
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the learned rules keep."""
+    return quality_rules.clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    return minhash.deduplicated(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced."""
+    return secrets.masked(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, neighbours along the curve together."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [("quality_rules", clean), ("minhash_near_dedup", deduplicated), ("secret_scan", without_secrets), ("source_mix", mix), ("curve_packing", packed)]
+
+#: Learned rules, hashed rounding and token ids have no SQL form; the tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

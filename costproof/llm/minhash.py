@@ -145,6 +145,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, and of equal rows one; a row without doc_id stays if no equal text has one."""
+    found = written(near_duplicates(docs, percent, doc_id, text))
+    kept = found.where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.join(kept, F.col(doc_id).cast("long") == F.col("__id"), "left_semi")
+    out = named.groupBy(F.col(doc_id).alias("__id"), F.xxhash64(F.col(text)).alias("__hash")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")).select("__row.*")
+    nameless = docs.where(F.col(doc_id).isNull())
+    if nameless.isEmpty():
+        return out
+    texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(text).alias("__text")).distinct()
+    return out.union(nameless.dropDuplicates([text]).join(texts, F.col(text).eqNullSafe(F.col("__text")), "left_anti"))
+
+
 def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
     """Confirmed links (a, b) between classes whose components are those of all links; None without any."""
     members = classes.select("cls", "n", F.explode("bands").alias("key"))
