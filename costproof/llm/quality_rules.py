@@ -25,7 +25,7 @@ Rule = list[tuple[str, str, float]]
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``stats`` of STATISTICS; a null text counts as empty.
+    """``docs`` with a struct column ``__stats`` of STATISTICS; a null text counts as empty.
 
     n_repeat_words: words that lie in a window of 8 words that the text has twice or more. Windows are compared by 64-bit
     hashes of their words' hashes; equal ones are found by sorting, so long repetitive texts cost n log n.
@@ -52,7 +52,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         (s["n"] + F.lit(WINDOW) - F.greatest(F.lit(0), s["end"] - i)).alias("n"), (i + F.lit(WINDOW)).alias("end")))
     stats = {c: F.col("__plain")[c] for c in STATISTICS if c not in ("n_repeat_words", "n_distinct")}
     stats |= {"n_repeat_words": F.coalesce(covered["n"], F.lit(0)), "n_distinct": F.col("__distinct")}
-    return staged.withColumn("stats", F.struct(*[stats[c].cast("long").alias(c) for c in STATISTICS])).drop("__plain", "__starts", "__distinct")
+    return staged.withColumn("__stats", F.struct(*[stats[c].cast("long").alias(c) for c in STATISTICS])).drop("__plain", "__starts", "__distinct")
 
 
 def measures(stats: Column) -> dict[str, Column]:
@@ -149,16 +149,16 @@ def rejected_by(rules: list[Rule], stats: Column) -> Column:
 
 
 def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
-    """``docs`` (without their text unless ``carry``) with stats, base_failed, rule and kept."""
+    """``docs`` (without their text unless ``carry``) with __stats, __failed, __rule and __kept."""
     columns = [f"`{c}`" for c in docs.columns if carry or c in (doc_id, text)]
     counted = statistics(docs.select(*columns), text)
     counted = written(counted if carry else counted.drop(text))
     marked = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
     learned_from = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(4)) != 2
-    seen = counted.select(F.col(doc_id).cast("long").alias("id"), "stats").join(marked.where(learned_from), "id")
-    rules = learn_rules(seen.where(~base_failed(F.col("stats"))).select("id", "stats", (F.col("quality") == 0).cast("int").alias("bad")))
-    return counted.withColumn("base_failed", base_failed(F.col("stats"))).withColumn("rule", rejected_by(rules, F.col("stats"))).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    seen = counted.select(F.col(doc_id).cast("long").alias("id"), "__stats").join(marked.where(learned_from), "id")
+    rules = learn_rules(seen.where(~base_failed(F.col("__stats"))).select("id", F.col("__stats").alias("stats"), (F.col("quality") == 0).cast("int").alias("bad")))
+    return counted.withColumn("__failed", base_failed(F.col("__stats"))).withColumn("__rule", rejected_by(rules, F.col("__stats"))).withColumn(
+        "__kept", ~F.col("__failed") & (F.col("__rule") == 0))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,9 +169,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     alone decides. Rows that repeat are rows of their own, a null doc_id stays null, further columns are ignored.
     """
     found = judged(docs, labels, doc_id, text)
-    return found.select(F.col(doc_id).cast("long").alias("doc_id"), *[F.col("stats")[c].alias(c) for c in STATISTICS[:5]], "base_failed", "rule", "kept")
+    return found.select(F.col(doc_id).cast("long").alias("doc_id"), *[F.col("__stats")[c].alias(c) for c in STATISTICS[:5]],
+                        F.col("__failed").alias("base_failed"), F.col("__rule").alias("rule"), F.col("__kept").alias("kept"))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
-    return judged(docs, labels, carry=True).where("kept").select(*[f"`{c}`" for c in docs.columns])
+    return judged(docs, labels, carry=True).where("__kept").select(*[f"`{c}`" for c in docs.columns])

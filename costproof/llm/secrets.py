@@ -26,7 +26,7 @@ SHORTEST_VALUE = 6
 RUN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 KINDS = ["assign", "access", "hex", "random"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-MARGIN = 10.0
+MARGIN, BACKOFF = 10.0, 5.0
 MASK = "[SECRET]"
 _SPAN = "array<struct<start:int,kind:int,end:int,hit:string>>"
 
@@ -49,18 +49,18 @@ def spans_of(text: Column, pattern: str, kind: int, group: int = 0, least: int =
 
 
 def _scanned(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with base (spans of the patterns) and runs (spans of other long runs)."""
+    """``docs`` with __base (spans of the patterns) and __runs (spans of other long runs)."""
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(spans_of(t, ASSIGN, 0, 2, SHORTEST_VALUE), spans_of(t, ACCESS, 1), spans_of(t, HEX, 2))
-    staged = docs.withColumn("base", F.array_sort(base)).withColumn("runs", spans_of(t, RUN, 3))
-    apart = F.filter("runs", lambda r: ~F.exists("base", lambda b: (r["start"] < b["end"]) & (b["start"] < r["end"])))
-    return staged.withColumn("runs", F.when(F.size("base") == 0, F.col("runs")).otherwise(apart))
+    staged = docs.withColumn("__base", F.array_sort(base)).withColumn("__runs", spans_of(t, RUN, 3))
+    apart = F.filter("__runs", lambda r: ~F.exists("__base", lambda b: (r["start"] < b["end"]) & (b["start"] < r["end"])))
+    return staged.withColumn("__runs", F.when(F.size("__base") == 0, F.col("__runs")).otherwise(apart))
 
 
 def samples(scanned: DataFrame) -> DataFrame:
     """(token, label): distinct hits of the patterns are 1, distinct other runs are 0."""
-    random = scanned.select(F.explode("base").alias("x")).select(F.col("x.hit").alias("token"), F.lit(1).alias("label"))
-    plain = scanned.select(F.explode("runs").alias("x")).select(F.col("x.hit").alias("token"), F.lit(0).alias("label"))
+    random = scanned.select(F.explode("__base").alias("x")).select(F.col("x.hit").alias("token"), F.lit(1).alias("label"))
+    plain = scanned.select(F.explode("__runs").alias("x")).select(F.col("x.hit").alias("token"), F.lit(0).alias("label"))
     return random.union(plain).distinct()
 
 
@@ -72,11 +72,13 @@ def learn(labelled: DataFrame) -> list[float]:
     counts = pairs.where("p.b > 0").groupBy("label", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 * 68 * 67 rows
     tables = []
     for label in (1, 0):
-        rows = [[1.0] * n for _ in range(n + 1)]
-        for r in counts:
-            if r["label"] == label:
-                rows[r["a"]][r["b"] - 1] += r["n"]
-        tables.append([math.log(x / sum(row)) for row in rows for x in row])
+        seen = {(r["a"], r["b"]): r["n"] for r in counts if r["label"] == label}
+        alone = [0.5 + sum(seen.get((a, b), 0) for a in range(n + 1)) for b in range(1, n + 1)]
+        alone = [x / sum(alone) for x in alone]
+        for a in range(n + 1):  # a pair backs off to its second character
+            row = [seen.get((a, b), 0) + BACKOFF * alone[b - 1] for b in range(1, n + 1)]
+            tables.append([math.log(x / sum(row)) for x in row])
+    tables = [[x for row in half for x in row] for half in (tables[: n + 1], tables[n + 1 :])]
     return [a - b for a, b in zip(*tables, strict=True)]
 
 
@@ -91,10 +93,10 @@ def ratio(token: Column, table: list[float]) -> Column:
 
 
 def found_secrets(docs: DataFrame, text: str = "text", labelled: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The ``keep`` columns of ``docs`` with base and added spans; models come from ``labelled`` (token, label) or the corpus."""
-    scanned = written(_scanned(docs.select(*[f"`{c}`" for c in dict.fromkeys((*keep, text))]), text).select(*[f"`{c}`" for c in keep], "base", "runs"))
+    """The ``keep`` columns of ``docs`` with __base and __added spans; models come from ``labelled`` (token, label) or the corpus."""
+    scanned = written(_scanned(docs.select(*[f"`{c}`" for c in dict.fromkeys((*keep, text))]), text).select(*[f"`{c}`" for c in keep], "__base", "__runs"))
     table = learn(samples(scanned) if labelled is None else labelled)
-    return scanned.withColumn("added", F.filter("runs", lambda r: ratio(r["hit"], table) >= MARGIN)).drop("runs")
+    return scanned.withColumn("__added", F.filter("__runs", lambda r: ratio(r["hit"], table) >= MARGIN)).drop("__runs")
 
 
 def _joined(spans: Column) -> Column:
@@ -112,14 +114,14 @@ def secret_scan(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str
     found = found_secrets(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", labelled, ("doc_id",))
     count = lambda c, k: F.size(F.filter(c, lambda x: x["kind"] == k)).cast("long")
     return found.select(
-        "doc_id", *[count("base", k).alias(f"n_{KINDS[k]}") for k in range(3)], F.size("added").cast("long").alias("n_random"),
-        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"))
+        "doc_id", *[count("__base", k).alias(f"n_{KINDS[k]}") for k in range(3)], F.size("__added").cast("long").alias("n_random"),
+        F.sha2(_joined(F.col("__base")), 256).alias("base_sha256"), _joined(F.concat("__base", "__added")).alias("spans"))
 
 
 def masked(docs: DataFrame, text: str = "text", labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` with every span of its texts replaced by MASK; n_chars, where there is one, follows the text."""
     found = found_secrets(docs, text, labelled, tuple(docs.columns))
-    spans = F.array_sort(F.concat("base", "added"))
+    spans = F.array_sort(F.concat("__base", "__added"))
 
     def step(state: Column, x: Column) -> Column:
         gap = F.substring(F.col(f"`{text}`"), state["at"] + 1, F.greatest(F.lit(0), x["start"] - state["at"]))
@@ -130,5 +132,5 @@ def masked(docs: DataFrame, text: str = "text", labelled: DataFrame | None = Non
     rest = F.substring(F.col(f"`{text}`"), done["at"] + 1, F.length(F.col(f"`{text}`")))
     new = F.when(F.size(spans) > 0, F.concat(F.array_join(done["out"], ""), rest)).otherwise(F.col(f"`{text}`"))
     out = found.withColumn("__new", new)
-    chars = {"n_chars": F.when(F.size("base") + F.size("added") > 0, F.length("__new").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
+    chars = {"n_chars": F.when(F.size("__base") + F.size("__added") > 0, F.length("__new").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
     return out.select(*[(F.col("__new") if c == text else chars.get(c, F.col(f"`{c}`"))).alias(c) for c in docs.columns])
