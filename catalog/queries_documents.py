@@ -325,3 +325,19 @@ select invoice_id, pos_seq, -line_total_net < 0 and invoice_id % 3 = 0 as deduct
 def is_deduction_line(spark, d):
     text_col = F.when(F.col("invoice_id") % 3 == 0, F.concat(F.lit("abzgl. Anzahlung "), "description")).otherwise(F.col("description"))
     return load(spark, d, "invoice_positions").select("invoice_id", "pos_seq", classify.is_deduction_line(-F.col("line_total_net"), text_col).alias("deduction"))
+
+
+_SUFFIXES = ["pdf", "PdF", "JPg", "jpeg", "PNG", "txt", "pdf.bak"]
+_STEMS = ["", "_", ".", "~", "a b "]
+
+
+@query("manifest_from_paths", f"""
+with f as (select doc_id, 's/' || source || '/' || {_STEMS}[doc_id % 5 + 1] || cast(doc_id as varchar) || '.' || {_SUFFIXES}[doc_id % 7 + 1] as path, n_chars as bytes from documents)
+select path, split_part(path, '/', 2) as parent_name, split_part(path, '/', 3) as name, bytes from f
+where doc_id % 5 not in (2, 3) and doc_id % 7 not in (5, 6)""")
+def manifest_from_paths(spark, d):
+    """Names with every kind of suffix case, underscores and hidden files."""
+    key = F.col("doc_id")
+    name = F.concat(F.lit("s/"), "source", F.lit("/"), F.get(F.array(*map(F.lit, _STEMS)), (key % 5).cast("int")), key.cast("string"), F.lit("."), F.get(F.array(*map(F.lit, _SUFFIXES)), (key % 7).cast("int")))
+    listing = load(spark, d, "documents").select(name.alias("path"), F.col("n_chars").alias("bytes"), F.lit(None).cast("timestamp").alias("modified"))
+    return src.manifest_from_paths(listing).drop("modified")

@@ -124,16 +124,16 @@ def pair_result_rows(spark, d):
 
 
 @query("reconcile_vendor_sums", sql(f"""
-with g as (select project_id, {duck.vset('vendor_name')} as made, sum(netto) as gs, bool_or(invoice_id % 17 = 2) as fl from invoices group by 1, 2),
+with g as (select project_id, {duck.vset('vendor_name')} as made, sum(netto) as gs, bool_or(invoice_id % 17 = 2) as fl, min(invoice_id) as first from invoices group by 1, 2),
 t as (select project_id, {duck.vset('vendor_name')} as want, sum(netto + case when invoice_id % 7 = 1 then 5 else 0 end) as ts from invoices group by 1, 2),
-p as (select t.project_id, want, ts, made, gs, fl, {duck.overlap('made', 'want')} as o from t join g on g.project_id = t.project_id where {duck.overlap('made', 'want')} >= 0.34),
-b as (select project_id, want, arg_max(gs, {{'o': o, 'm': made}}) as gs, bool_or(fl) as fl from p group by 1, 2)
+p as (select t.project_id, want, ts, first, gs, fl, {duck.overlap('made', 'want')} as o from t join g on g.project_id = t.project_id where {duck.overlap('made', 'want')} >= 0.34),
+b as (select project_id, want, arg_max(gs, {{'o': o, 'm': -first}}) as gs, bool_or(fl) as fl from p group by 1, 2)
 select t.project_id, array_to_string(t.want, ' ') as vendor, t.ts as truth_sum, gs as generated_sum, case when gs is null then 'missing' when abs(gs - t.ts) <= 0.02 then 'equal' when fl then 'flagged' else 'different' end as verdict
 from t left join b on b.project_id = t.project_id and b.want = t.want""", "invoices"))
 def reconcile_vendor_sums(spark, d):
     invoices = load(spark, d, "invoices")
     key = F.col("invoice_id")
-    made = invoices.select("project_id", "vendor_name", F.col("netto").alias("amount"), (key % 17 == 2).alias("flagged"))
+    made = invoices.select("project_id", key.alias("seq"), "vendor_name", F.col("netto").alias("amount"), (key % 17 == 2).alias("flagged"))
     want = invoices.select("project_id", "vendor_name", (F.col("netto") + F.when(key % 7 == 1, 5).otherwise(0)).cast("decimal(18,2)").alias("amount"))
     return quality.reconcile_vendor_sums(made, want)
 

@@ -183,12 +183,19 @@ def recipient_present(spark, d):
 
 
 @query("parse_recipient", sql("""
-select letter_id, empfaenger_name as name, case when empfaenger_name is not null then empfaenger_adresse_line || ', ' || '32602 Vlotho' end as address from (select letter_id, empfaenger_name, 'Industrieweg ' || cast(letter_id % 90 + 1 as varchar) as empfaenger_adresse_line from approval_letters)""", "approval_letters"))
+select letter_id, case when letter_id % 5 <> 0 then empfaenger_name end as name, case when empfaenger_name is not null and letter_id % 5 <> 0 then 'Am Wehr ' || cast(letter_id % 90 + 1 as varchar) || ', ' || lpad(cast(letter_id % 90000 + 1000 as varchar), 5, '0') || ' Musterau' end as address
+from approval_letters""", "approval_letters"))
 def parse_recipient(spark, d):
+    """Letters with one, two or no lines between company and street, the date in between or not; every fifth lacks the postal line."""
+    key = F.col("letter_id")
     letters = load(spark, d, "approval_letters")
-    text = F.concat_ws("\n", F.lit("Energiekonzept Nord GmbH       Tel. 1\nHauptstr. 1\n12345 Bad Ort\n"), F.concat("empfaenger_name", F.lit("      Aktenzeichen 7")), F.lit("Frau Muster"),
-                       F.concat(F.lit("Industrieweg "), (F.col("letter_id") % 90 + 1).cast("string"), F.lit("        DATUM Eschborn, 26.03.2026")), F.lit("32602 Vlotho\nSehr geehrte Damen"))
-    return privacy.parse_recipient(letters.select("letter_id", F.when(F.col("empfaenger_name").isNotNull(), text).otherwise("kein Block").alias("text")))
+    place = F.concat(F.lpad((key % 90000 + 1000).cast("string"), 5, "0"), F.lit(" Musterau"))
+    lines = F.array_compact(F.array(
+        F.lit("Energiekonzept Beispiel GmbH       Tel. 1"), F.lit("Weg 1"), F.lit("11111 Ort"), F.lit(""), F.concat("empfaenger_name", F.lit("      Zeichen 7")),
+        F.when(key % 3 > 0, F.lit("Frau Erika Beispiel")), F.when(key % 3 > 1, F.lit("Abteilung Technik")),
+        F.concat(F.lit("Am Wehr "), (key % 90 + 1).cast("string"), F.when(key % 2 == 0, F.lit("        DATUM Musterau, 02.01.2031")).otherwise("")),
+        F.when(key % 7 == 0, F.lit("DATUM 02.01.2031")), F.when(key % 5 != 0, place), F.lit("Guten Tag,")))
+    return privacy.parse_recipient(letters.select("letter_id", F.when(F.col("empfaenger_name").isNotNull(), F.array_join(lines, "\n")).otherwise("kein Block").alias("text")))
 
 
 @query("exposure_stats", sql("""
@@ -375,22 +382,33 @@ def job_outcomes(spark, d):
 
 
 def _attempts(spark, d):
-    """Errors as failed logins, sign-ups as successful ones."""
-    events = load(spark, d, "events").where(F.col("event_type").isin("error", "signup", "click"))
-    return events.select(F.concat(F.lit("10.0.0."), (F.col("user_id") % 20).cast("string")).alias("address"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("ts"), (F.col("event_type") == "signup").alias("ok"))
+    """Errors, clicks and views as failed logins of each user, sign-ups and purchases as successful ones."""
+    events = load(spark, d, "events")
+    return events.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("address"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("ts"), F.col("event_type").isin("signup", "purchase").alias("ok"))
 
 
-@query("lockouts", """
-with recursive a as (select '10.0.0.' || cast(user_id % 20 as varchar) as address, epoch_us(ts) / 1000000.0 as ts, event_type = 'signup' as ok, row_number() over (partition by user_id % 20 order by ts, event_type = 'signup') as k from events where event_type in ('error', 'signup', 'click')),
-w as (select address, cast(0 as bigint) as k, cast([] as double[]) as hits, cast(-1 as double) as until, cast(null as double) as locked_at from (select distinct address from a)
- union all select address, k, case when skip then hits when ok or full_ then cast([] as double[]) else recent end, case when skip then until when ok then -1 when full_ then ts + 100000 else until end, case when not skip and not ok and full_ then ts end
- from (select w.address, a.k, w.hits, w.until, a.ts, a.ok, a.ts < w.until as skip, list_append(list_filter(w.hits, lambda h: a.ts - h < 36000), a.ts) as recent, length(list_filter(w.hits, lambda h: a.ts - h < 36000)) + 1 >= 5 as full_ from w join a on a.address = w.address and a.k = w.k + 1))
-select address, round(locked_at, 3) as locked_at, round(locked_at + 100000, 3) as locked_until from w where locked_at is not null""")
+WINDOW, LOCK, NOWS = 360000, 400000, (1704200000.0, 1704700000.0, 1706000000.0, 1709000000.0)
+_FOLD = f"""
+a as (select now, 'user ' || cast(user_id as varchar) as address, epoch_us(ts) / 1000000.0 as ts, event_type in ('signup', 'purchase') as ok,
+    row_number() over (partition by now, user_id order by ts, event_type in ('signup', 'purchase')) as k from events, nows where epoch_us(ts) / 1000000.0 <= now),
+w as (select now, address, cast(0 as bigint) as k, cast([] as double[]) as hits, cast(-1 as double) as until, cast(null as double) as locked_at from (select distinct now, address from a)
+ union all select now, address, k, case when skip then hits when ok or full_ then cast([] as double[]) else recent end, case when skip then until when ok then -1 when full_ then ts + {LOCK} else until end, case when not skip and not ok and full_ then ts end
+ from (select w.now, w.address, a.k, w.hits, w.until, a.ts, a.ok, a.ts < w.until as skip, list_append(list_filter(w.hits, lambda h: a.ts - h < {WINDOW}), a.ts) as recent, length(list_filter(w.hits, lambda h: a.ts - h < {WINDOW})) + 1 >= 5 as full_
+   from w join a on a.now = w.now and a.address = w.address and a.k = w.k + 1))"""
+
+
+@query("lockouts", f"""
+with recursive nows as (select cast(1e18 as double) as now), {_FOLD}
+select address, round(locked_at, 3) as locked_at, round(locked_at + {LOCK}, 3) as locked_until from w where locked_at is not null""")
 def lockouts(spark, d):
-    df = ev.lockouts(_attempts(spark, d), window=36000, lock=100000)
+    df = ev.lockouts(_attempts(spark, d), window=WINDOW, lock=LOCK)
     return df.select("address", F.round("locked_at", 3).alias("locked_at"), F.round("locked_until", 3).alias("locked_until"))
 
 
-@query("attempts_left")
+@query("attempts_left", f"""
+with recursive nows as (select unnest([{", ".join(f"cast({n} as double)" for n in NOWS)}]) as now), {_FOLD}
+select now, address, 5 - length(list_filter(arg_max(hits, k), lambda h: now - h < {WINDOW})) as attempts_left from w group by now, address""")
 def attempts_left(spark, d):
-    return ev.attempts_left(_attempts(spark, d), 1704400000.0, window=36000)
+    attempts = _attempts(spark, d)
+    parts = [ev.attempts_left(attempts, now, window=WINDOW, lock=LOCK).withColumn("now", F.lit(now)) for now in NOWS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -27,6 +27,15 @@ TRAILING_LEGAL_FORM = (
     r"(?iuU)\s*(gmbh\s*&\s*co\.?\s*kg|gmbh\s*&\s*cie\.?\s*kg|se\s*&\s*co\.?\s*kg|gmbh|ag|kg|ug"
     r"|e\.\s*k\.|ohg|gbr|mbh)\s*$"
 )
+LEGAL_TAIL = (r"(?:[\s,.]*(?:gmbh\s*&\s*co\.?\s*kg|gmbh\s*&\s*cie\.?\s*kg|se\s*&\s*co\.?\s*kg"
+              r"|gmbh|ag|kg|ug|e\.\s*k\.|ohg|gbr|mbh)\b)?")
+MASK_RESIDUE = r"(?U)\[KUNDE\]\s*(GmbH\s*&\s*Co\.?\s*KG|GmbH|AG|KG|UG|e\.\s*K\.|OHG|GbR|mbH)"
+
+# Lines of a recipient block in an approval letter.
+RECIPIENT_COMPANY = r"^.{4,80}?(?:GmbH\s*&\s*Co\.?\s*KG|GmbH|AG|KG|UG|e\.K\.|OHG|GbR|mbH)\s*$"
+RECIPIENT_STREET = r"^.{3,60}\d.{0,12}$"
+RECIPIENT_NO_STREET = r"\bDATUM\b|\d{1,2}\.\d{1,2}\.\d{4}"
+RECIPIENT_PLACE = r"^\d{5}\s+.{2,40}"
 FILENAME_TYPE_MARKERS = ["ar", "sr", "tr", "az", "rg", "re", "rechnung", "rechn", "nr", "invoice"]
 
 # Position matching.
@@ -119,7 +128,7 @@ SUBPAGE_HINTS = ["ueber-uns", "uber-uns", "über-uns", "ueberuns", "about", "unt
                  "profil", "company", "produkte", "produkt", "leistungen", "leistung",
                  "verfahren", "technologie", "fertigung", "produktion", "service"]
 LOCALE_PATHS = ["/de/", "/de", "/en/", "/en"]
-MIN_PAGE_CHARS, MAX_SITE_PAGES, MAX_SITE_CHARS = 50, 3, 16000
+MIN_PAGE_CHARS = 50
 SHIFT_HOURS = {1: ("08:00", "16:00"), 2: ("08:00", "24:00"), 3: ("08:00", "08:00")}
 EARTH_RADIUS_KM = 6371.0
 

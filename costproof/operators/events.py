@@ -69,16 +69,8 @@ def job_outcomes(jobs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("runs"), F.count_if((F.col("n_outputs") > 0) & (F.col("n_errors") > 0)).alias("partial"))
 
 
-def lockouts(attempts: DataFrame, max_attempts: int = fx.MAX_ATTEMPTS, window: float = fx.WINDOW_SECONDS, lock: float = fx.LOCKOUT_SECONDS) -> DataFrame:
-    """Lockouts per address: the fifth failure within the window locks, clears the count, and
-    nothing is counted until the lock ends; a success clears everything. ``attempts``: address, ts
-    (seconds, double), ok. One row per address and lock.
-
-    A pause as long as window and lock forgets everything, so it starts an episode that is folded
-    on its own; the fold's state is at most four times. Episodes are cut on distinct seconds, by day
-    buckets. A gate records no attempt while it is locked, so an unbroken episode grows by five
-    failures per lock, that is with its duration.
-    """
+def _folded(attempts: DataFrame, max_attempts: int, window: float, lock: float) -> DataFrame:
+    """(address, episode, s): the state of the gate after each episode, with hits, until and locks."""
     df = attempts.select("address", "ts", "ok", F.floor("ts").cast("bigint").alias("second"))
     days = df.select("address", "second", F.floor(F.col("second") / 86400).alias("_day")).distinct()
     pause = max(window, lock) + 1
@@ -107,18 +99,29 @@ def lockouts(attempts: DataFrame, max_attempts: int = fx.MAX_ATTEMPTS, window: f
             .otherwise(F.struct(recent.alias("hits"), acc["until"].alias("until"), acc["locks"].alias("locks"))))
 
     ordered = F.array_sort(F.collect_list(F.struct("ts", "ok")))
-    folded = df.join(episodes, ["address", "second"]).groupBy("address", "episode").agg(F.aggregate(ordered, state0, step).alias("s"))
+    return df.join(episodes, ["address", "second"]).groupBy("address", "episode").agg(F.aggregate(ordered, state0, step).alias("s"))
+
+
+def lockouts(attempts: DataFrame, max_attempts: int = fx.MAX_ATTEMPTS, window: float = fx.WINDOW_SECONDS, lock: float = fx.LOCKOUT_SECONDS) -> DataFrame:
+    """Lockouts per address: the fifth failure within the window locks, clears the count, and
+    nothing is counted until the lock ends; a success clears everything. ``attempts``: address, ts
+    (seconds, double), ok. One row per address and lock.
+
+    A pause as long as window and lock forgets everything, so it starts an episode that is folded
+    on its own; the fold's state is at most four times. Episodes are cut on distinct seconds, by day
+    buckets. A gate records no attempt while it is locked, so an unbroken episode grows by five
+    failures per lock, that is with its duration.
+    """
+    folded = _folded(attempts, max_attempts, window, lock)
     return folded.select("address", F.explode("s.locks").alias("locked_at")).withColumn("locked_until", F.col("locked_at") + lock)
 
 
-def attempts_left(attempts: DataFrame, now: float, max_attempts: int = fx.MAX_ATTEMPTS, window: float = fx.WINDOW_SECONDS) -> DataFrame:
-    """Failures an address may still make at a time, from those since its last lock or success."""
-    locks = lockouts(attempts).groupBy("address").agg(F.max("locked_until").alias("until"))
-    resets = attempts.where("ok").groupBy("address").agg(F.max("ts").alias("cleared"))
-    df = attempts.where(~F.col("ok")).join(locks, "address", "left").join(resets, "address", "left")
-    counts = (F.col("ts") <= now) & (F.lit(now) - F.col("ts") < window) & (F.col("until").isNull() | (F.col("ts") >= F.col("until"))) & (
-        F.col("cleared").isNull() | (F.col("ts") > F.col("cleared")))
-    return df.groupBy("address").agg(F.greatest(F.lit(0), F.lit(max_attempts) - F.count_if(counts)).alias("attempts_left"))
+def attempts_left(attempts: DataFrame, now: float, max_attempts: int = fx.MAX_ATTEMPTS, window: float = fx.WINDOW_SECONDS, lock: float = fx.LOCKOUT_SECONDS) -> DataFrame:
+    """Failures an address may still make at a time, as the gate stands then: what comes later is not known yet, and a lock or a
+    success has cleared the count."""
+    last = _folded(attempts.where(F.col("ts") <= now), max_attempts, window, lock).groupBy("address").agg(F.max_by("s.hits", "episode").alias("hits"))
+    recent = F.size(F.filter("hits", lambda h: F.lit(float(now)) - h < window))
+    return last.select("address", F.greatest(F.lit(0), F.lit(max_attempts) - recent).cast("bigint").alias("attempts_left"))
 
 
 def review_status(rows: DataFrame, offer_checks: DataFrame, ignored: DataFrame) -> DataFrame:

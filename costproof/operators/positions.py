@@ -69,7 +69,7 @@ def _shapes(offer_lines: DataFrame, invoice_lines: DataFrame) -> tuple[DataFrame
     score alike, so copies are scored once. The first offer line of a shape stands for it."""
     offer_text = F.concat_ws(" ", F.coalesce("artikelnummer", F.lit("")), "description")
     offers = (
-        matchable_offer_lines(offer_lines)
+        matchable_offer_lines(offer_lines).where("line_total_net is not null")  # a binding line without a total stays missing
         .select(*GROUP, "line_seq", F.array_sort(article_numbers(offer_text)).alias("o_articles"), desc_tokens(F.col("description")).alias("o_tokens"),
                 F.col("line_total_net").alias("o_price"), F.col("qty").alias("o_qty"))
         .groupBy(*GROUP, "o_articles", "o_tokens", "o_price", "o_qty").agg(F.min("line_seq").alias("line_seq"))

@@ -12,7 +12,7 @@ def read_extractions(spark: SparkSession, path: str, kind: str) -> tuple[DataFra
     """(documents, positions, rejected) from JSON lines of extracted invoices or offers.
 
     Unreadable lines, records without a mandatory value and offers whose binding line lacks a
-    total go to ``rejected`` with a reason; nothing is dropped. Descriptions are capped names.
+    total go to ``rejected`` with a reason; nothing is dropped. ``short_name`` is the printed form of a description.
     """
     schema, required = schemas.extraction(kind)
     raw = (
@@ -33,7 +33,7 @@ def read_extractions(spark: SparkSession, path: str, kind: str) -> tuple[DataFra
     good = judged.where(F.col("reason").isNull())
     rejected = judged.where(F.col("reason").isNotNull()).select(key, "reason", F.coalesce("_corrupt", F.to_json(F.struct(*[c for c in schema.fieldNames() if c != "_corrupt"]))).alias("record"))
     lines = good.select(key, F.posexplode("positions").alias("at", "p")).select(key, (F.col("at") + 1).cast("bigint").alias("pos_seq"), "p.*")
-    lines = lines.withColumn("description", truncate_name(F.col("description")))
+    lines = lines.withColumn("short_name", truncate_name(F.col("description")))
     return good.drop("positions", "reason", "_corrupt"), lines, rejected
 
 

@@ -19,19 +19,21 @@ def stream_job_state(spark: SparkSession, path: str) -> DataFrame:
 
 
 _OUTPUT = "address string, locked_at double, locked_until double"
-_STATE = "hits array<double>, until double"
+_STATE = "hits array<double>, until double, waiting array<double>, waiting_ok array<boolean>"
 
 
 def _guard(max_attempts: int, window: float, lock: float):
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        hits, until = state.get if state.exists else ([], float("-inf"))
-        hits = list(hits)
+        hits, until, waiting, waiting_ok = state.get if state.exists else ([], float("-inf"), [], [])
+        hits, pending = list(hits), list(zip(waiting, waiting_ok))
+        if not state.hasTimedOut:
+            for part in batches:
+                pending += zip(part["ts"].tolist(), part["ok"].tolist())
+        passed = state.getCurrentWatermarkMs() / 1000
+        ready = sorted(p for p in pending if p[0] <= passed)
+        pending = [p for p in pending if p[0] > passed]
         locks = []
-        attempts = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        for ts, ok in zip(attempts["ts"], attempts["ok"]):
+        for ts, ok in ready:
             if ts < until:
                 continue
             if ok:
@@ -41,19 +43,28 @@ def _guard(max_attempts: int, window: float, lock: float):
             if len(hits) >= max_attempts:
                 locks.append((key[0], ts, ts + lock))
                 hits, until = [], ts + lock
-        state.update((hits, until))
-        newest = max(float(attempts["ts"].max()), until if until != float("-inf") else 0.0)
-        state.setTimeoutTimestamp(max(int((newest + window) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(locks, columns=["address", "locked_at", "locked_until"])
+        if pending:
+            wake = min(p[0] for p in pending)
+        else:
+            wake = max([until, *(h + window for h in hits)])
+        if wake == float("-inf") or (not pending and wake <= passed):
+            state.remove()
+        else:
+            state.update((hits, until, [p[0] for p in pending], [p[1] for p in pending]))
+            state.setTimeoutTimestamp(max(int(wake * 1000), state.getCurrentWatermarkMs() + 1))
+        if locks:
+            yield pd.DataFrame(locks, columns=["address", "locked_at", "locked_until"])
 
     return advance
 
 
 def stream_lockouts(attempts: DataFrame, delay: str = "10 minutes", max_attempts: int = fx.MAX_ATTEMPTS, window: float = fx.WINDOW_SECONDS,
                     lock: float = fx.LOCKOUT_SECONDS) -> DataFrame:
-    """Lockouts per address over a stream of (address, ts seconds, ok). State per address is at
-    most four times and a lock; it is dropped once the watermark passes both. Attempts later
-    than ``delay`` are not counted."""
+    """Lockouts per address over a stream of (address, ts seconds, ok).
+
+    Attempts wait in the state until the watermark passes them and are then taken in order of event time, so attempts
+    that arrive out of order within ``delay`` lock as in the batch; later ones are not counted. State per address is
+    the attempts of one delay, at most four times and a lock; it goes once the watermark passes all of them."""
     timed = attempts.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1000000).cast("bigint"))).withWatermark("event_time", delay)
     return timed.groupBy("address").applyInPandasWithState(
         _guard(max_attempts, window, lock), _OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -11,14 +12,14 @@ from costproof.streaming import audit
 
 
 def test_scan_documents(spark, tmp_path):
-    for rel in ("a/Rechnung.pdf", "a/b/scan.PNG", "a/.hidden.pdf", "a/~lock.pdf", "a/notes.txt"):
+    for rel in ("a/Rechnung.pdf", "a/b/scan.PNG", "a/.hidden.pdf", "a/~lock.pdf", "a/notes.txt", "a/_b.pdf", "a/c.PdF", "_alt/e.JPg"):
         path = tmp_path / rel
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(b"x")
     deep = {(r.parent_name, r["name"]) for r in documents.scan_documents(spark, str(tmp_path)).collect()}
-    assert deep == {("a", "Rechnung.pdf"), ("b", "scan.PNG")}
+    assert deep == {("a", "Rechnung.pdf"), ("b", "scan.PNG"), ("a", "_b.pdf"), ("a", "c.PdF"), ("_alt", "e.JPg")}
     flat = {r["name"] for r in documents.scan_documents(spark, str(tmp_path / "a"), recursive=False).collect()}
-    assert flat == {"Rechnung.pdf"}
+    assert flat == {"Rechnung.pdf", "_b.pdf", "c.PdF"}
 
 
 def test_read_extractions(spark, tmp_path):
@@ -30,7 +31,7 @@ def test_read_extractions(spark, tmp_path):
     (tmp_path / "o.jsonl").write_text("\n".join(lines))
     offers, positions, rejected = readers.read_extractions(spark, str(tmp_path / "o.jsonl"), "offer")
     assert [r.offer_id for r in offers.collect()] == [1]
-    assert sorted((r.pos_seq, len(r.description)) for r in positions.collect()) == [(1, 80), (2, 6)]
+    assert sorted((r.pos_seq, len(r.description), len(r.short_name) <= 80) for r in positions.collect()) == [(1, 90, True), (2, 6, True)]
     assert sorted(r.reason for r in rejected.collect()) == ["binding position without total", "missing: vendor_name", "unreadable record"]
 
 
@@ -93,13 +94,31 @@ def test_lockouts_batch_and_stream(spark, tmp_path):
     want = _serial_lockouts(rows)
     assert sorted((r.address, r.locked_at) for r in events.lockouts(df).collect()) == want
     assert ("edge5", 1_700_000_299.0) in want and not any(a == "edge" for a, _ in want)
-    df.coalesce(1).write.parquet(str(tmp_path / "attempts"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "attempts"))
+    # Two batches that overlap within the delay, then one late enough to move the watermark past them all.
+    ordered = sorted(rows, key=lambda r: r[1])
+    swapped = [ordered[i] for k in range(0, len(ordered), 40) for i in sorted(range(k, min(k + 40, len(ordered))), key=lambda i: -i)]
+    for n, part in enumerate((swapped[: len(rows) // 2 + 9], swapped[len(rows) // 2 + 9 :], [("late", 1_700_900_000.0, True)])):
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "attempts"))
+        time.sleep(1.1)  # files are taken by age
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "attempts"))
     query = audit.stream_lockouts(stream).writeStream.outputMode("append").format("memory").queryName("lockouts_test").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted((r.address, r.locked_at) for r in spark.table("lockouts_test").collect()) == want
 
 
+def test_attempts_left(spark):
+    """The gate as it stands at a time: later events are unknown, a lock clears the count."""
+    def left(rows, now, **kw):
+        df = spark.createDataFrame([("x", float(t), ok) for t, ok in rows], "address string, ts double, ok boolean")
+        return events.attempts_left(df, now, **kw).first().attempts_left
+
+    four = [(0, False), (10, False), (20, False), (30, False)]
+    assert left([*four, (5000, True)], 40.0) == 1
+    assert left(four, 305.0) == 2 and left(four, 1000.0) == 5
+    assert left([(0, False), (1, False)], 2.0, max_attempts=2) == 2
+    assert left([*four, (35, True), (36, False)], 40.0) == 4
+
+
 def test_sinks(spark, tmp_path):
     corrections = spark.createDataFrame([("position-field", "B", "1", "gesamt", "1.00", "2.00"), ("block-added", "C", None, None, None, None)],
                                         "scope string, block string, pos string, field string, original string, corrected string")
