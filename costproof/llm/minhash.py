@@ -169,13 +169,18 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame | Non
     stars = grouped.where("cls <> hub").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b"))
     near = grouped.where((F.col("size") > 2) & (F.col("size") <= SMALL))
     every = near.select("key", F.col("cls").alias("a")).join(near.select("key", F.col("cls").alias("b")), "key").where("a < b").select("a", "b")
-    links = written(_confirm(docs, classes, stars.union(every).distinct(), percent))
-    if not grouped.where(F.col("size") > SMALL).isEmpty():
-        links = _rest(docs, classes, grouped.where(F.col("size") > SMALL), links, percent)
+    likely = written(_likely(classes, stars.union(every).distinct(), percent))
+    large = grouped.where(F.col("size") > SMALL)
+    needed = likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).union(large.select("cls")).distinct()
+    needed = written(needed.join(classes.select("cls", "doc_id"), "cls"))
+    texts = written(docs.join(needed.hint("merge"), "doc_id").select("cls", "text"))  # their number grows with the input: one shuffle at every size
+    links = written(_confirm(likely, texts, percent))
+    if not large.isEmpty():
+        links = _rest(large, links, texts, percent)
     return None if links.isEmpty() else links
 
 
-def _rest(docs: DataFrame, classes: DataFrame, large: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def _rest(large: DataFrame, links: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """``links`` and those that large buckets still miss."""
     if not links.isEmpty():
         root = written(components(links))
@@ -191,8 +196,6 @@ def _rest(docs: DataFrame, classes: DataFrame, large: DataFrame, links: DataFram
         return links
     blocks = lambda rows, items: F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(items) / BLOCK_ITEMS)).cast("int")
     again = large.join(left, "key").withColumn("q_blocks", blocks("rows_out", "items_out")).withColumn("d_blocks", blocks("size", "items"))
-    needed = again.select("cls").distinct().join(classes.select("cls", "doc_id"), "cls")
-    texts = written(docs.join(written(needed), "doc_id").select("cls", "text"))
     again = again.withColumn("at", F.xxhash64("cls"))
     full = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     query = again.where("outside").select("key", "cls", F.pmod("at", "q_blocks").alias("q"), full("d_blocks").alias("d"), F.lit(True).alias("asks"))
@@ -251,15 +254,17 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of the candidate pairs whose whole texts link."""
+def _likely(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the candidate pairs that sizes and sketches do not exclude."""
     for c in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("marks").alias(f"marks_{c}")), c)
     enough = int(BINS * (percent / 100 - 8 * (percent / 100 * (1 - percent / 100) / BINS) ** 0.5))
-    likely = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).where(_equal_bins("marks_a", "marks_b") >= enough)
-    likely = written(likely.select("a", "b"))
-    needed = likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "doc_id"), "cls")
-    texts = written(docs.join(written(needed), "doc_id").select("cls", "text"))
+    near = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).where(_equal_bins("marks_a", "marks_b") >= enough)
+    return near.select("a", "b")
+
+
+def _confirm(likely: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of the candidate pairs whose whole texts link."""
     both = likely.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(percent), "a binary, b binary")
