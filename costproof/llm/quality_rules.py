@@ -78,7 +78,7 @@ def learn_rules(labelled: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     grid = [(i + 0.5) / QUANTILES for i in range(QUANTILES)]
     of = lambda n, b: F.percentile_approx(F.when(F.col("bad") == b, F.col(n)), grid, 10_000).alias(f"{n}_{b}")
     marks = rows.coalesce(1).agg(*[of(n, b) for n in named for b in (0, 1)]).first()
-    cuts = {n: sorted({*(marks[f"{n}_0"] or ()), *(marks[f"{n}_1"] or ())}) for n in named}
+    cuts = {n: _with_middles(sorted({*(marks[f"{n}_0"] or ()), *(marks[f"{n}_1"] or ())})) for n in named}
     binned = written(rows.coalesce(1).select("bad", "part", *[F.size(_at_or_below(t, n)).alias(n) for n, t in cuts.items() if t]))
     cuts = {n: t for n, t in cuts.items() if t}
     if not cuts:
@@ -101,6 +101,11 @@ def learn_rules(labelled: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     return rules
 
 
+def _with_middles(values: list[float]) -> list[float]:
+    """The values and the middle of each two neighbours."""
+    return sorted({*values, *((a + b) / 2 for a, b in zip(values, values[1:]))})
+
+
 def _at_or_below(cuts: list[float], name: str) -> Column:
     return F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col(name))
 
@@ -120,7 +125,8 @@ def _best_term(rows: DataFrame, names: list[str]) -> tuple[str, str, int, int] |
     above = sums.select("name", F.lit(">=").alias("op"), F.col("bin").alias("k"), (F.col("all_p") - F.col("p")).alias("p"), (F.col("all_n") - F.col("n")).alias("n"), "all_p", "all_n")
     gain = F.col("p") * (F.log2((F.col("p") + 1) / (F.col("p") + F.col("n") + 2)) - F.log2((F.col("all_p") + 1) / (F.col("all_p") + F.col("all_n") + 2)))
     scored = below.union(above).where((F.col("p") >= LEAST) & (F.col("p") + F.col("n") < F.col("all_p") + F.col("all_n"))).withColumn("gain", gain).where("gain > 0")
-    best = scored.orderBy(F.desc("gain"), "name", "op", "k").first()
+    wider = F.when(F.col("op") == ">=", F.col("k")).otherwise(-F.col("k"))  # of equal gains the rule that covers more
+    best = scored.orderBy(F.desc("gain"), "name", "op", wider).first()
     return best and (best["name"], best["op"], best["k"], best["n"])
 
 
