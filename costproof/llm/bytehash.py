@@ -14,6 +14,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[0x20] = True
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = _BYTES.copy()
 _LOWER[ord("A") : ord("Z") + 1] = _LOWER[ord("a") : ord("z") + 1]
@@ -37,16 +39,19 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, first word of each text and, last, the number of words)."""
+def runs(texts: list[bytes], table: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes that ``between`` does not mark: (hashes, starts, ends, first run of each text and, last, their number, bytes).
+
+    Starts and ends are places in the last array, which holds all texts with a blank behind each.
+    """
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8) if texts else np.zeros(0, np.uint8)
-    table, (powers, inverses) = _LOWER if lower else _BYTES, _powers()
-    starts, at_start, inverse, at_end = [], [], [], []
+    powers, inverses = _powers()
+    starts, ends, at_start, inverse, at_end = [], [], [], [], []
     total, was_space = 0, True
     for o in range(0, len(buffer), BLOCK):
         part = buffer[o : o + BLOCK]
-        n, space = len(part), _SPACE[part]
+        n, space = len(part), between[part]
         before = np.concatenate(([was_space], space[:-1]))
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
@@ -55,15 +60,28 @@ def words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarr
         sums = sums * scale + np.uint64(total)
         first, end = np.flatnonzero(before & ~space), np.flatnonzero(~before & space)
         starts.append(first + o)
+        ends.append(end + o)
         at_start.append(sums[first])
         inverse.append(inverses[first] * back)
         at_end.append(sums[end])
         total, was_space = int(sums[-1]), bool(space[-1])
     if not starts:
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, np.zeros(len(texts) + 1, np.int64), buffer
     hashes = mix((np.concatenate(at_end) - np.concatenate(at_start)) * np.concatenate(inverse))
-    ends = np.cumsum(lengths)
-    return hashes, np.concatenate(([0], np.searchsorted(np.concatenate(starts), ends)))
+    begin = np.concatenate(starts)
+    return hashes, begin, np.concatenate(ends), np.concatenate(([0], np.searchsorted(begin, np.cumsum(lengths)))), buffer
+
+
+def words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, first word of each text and, last, the number of words)."""
+    found = runs(texts, _LOWER if lower else _BYTES, _SPACE)
+    return found[0], found[3]
+
+
+def between_blanks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``runs`` between blanks alone: other white space belongs to them."""
+    return runs(texts, _BYTES, _BLANK)
 
 
 def shingles(texts: list[bytes], k: int = 5, lower: bool = True) -> list[np.ndarray]:

@@ -40,7 +40,7 @@ def frequent_pre_tokens(docs: DataFrame, path: str, rows: int = FREQUENT) -> dic
     own = Encoder(path)
     if own.pieces is None:
         return {}
-    own._learn(tokens, own.known, True, True)
+    own.learn(tokens, own.known, True)
     return dict(own.known)
 
 

@@ -5,6 +5,9 @@ character, save to take that one blank along. So a text is cut there into pre-to
 text are the ids of its pre-tokens in order. Pre-tokens repeat far more than texts do: each worker keeps what it has encoded.
 Missing ones are encoded together, as one text, whose token bytes show where each begins.
 
+Ids are looked up for all pre-tokens of a batch at once: their 64-bit hashes index a direct-mapped table of places in a pool of
+ids, and the batch's ids are gathered from there. (A wrong hit needs two pre-tokens of equal hash.)
+
 Texts that hold a special string, and files of other kinds, go through their own library whole.
 """
 
@@ -16,13 +19,15 @@ from collections.abc import Iterable
 
 import numpy as np
 
-from costproof.llm.bytehash import batches
+from costproof.llm.bytehash import batches, between_blanks, mix
 
 # The pattern of byte-level BPE files (before merges).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Pre-tokens that a worker keeps beside the frequent ones, and their characters together; the longest a shared table holds.
 KEPT, CHARACTERS, LONGEST = 500_000, 16_000_000, 64
+#: Bits of the direct-mapped table, and ids in its pool before both start afresh.
+SLOT_BITS, POOL = 21, 1 << 24
 _DOUBLE = re.compile(r" \s")
 _CUT = re.compile(r" (?=\S)")
 
@@ -37,8 +42,8 @@ class Encoder:
 
     def __init__(self, path: str, frequent: dict[str, int] | None = None):
         self.path, self.frequent = path, frequent or {}
-        self.known: dict[str, int | bytes] = {}
-        self.first: dict[str, int | bytes] = {}
+        self.known: dict[str, int] = {}
+        self.first: dict[str, int] = {}
         self.pieces = self.whole = None
         self.characters = 0
         if path.endswith(".model"):
@@ -73,8 +78,8 @@ class Encoder:
             return self.whole.encode(texts, num_threads=1)
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, found: Iterable[str], keep: dict, led: bool, lengths: bool) -> None:
-        """Encode pre-tokens, all led by a blank or none, into ``keep``."""
+    def learn(self, found: Iterable[str], keep: dict[str, int], led: bool) -> None:
+        """Numbers of tokens of pre-tokens, all led by a blank or none, into ``keep``."""
         found = list(found)
         self.characters += sum(map(len, found))
         together = [c for c in found if led and c and not c[0].isspace()]
@@ -90,18 +95,11 @@ class Encoder:
             if not np.array_equal(reached[last], ends):
                 alone = found
             else:
-                bounds = np.concatenate(([0], last + 1))
-                if lengths:
-                    keep.update(zip(together, np.diff(bounds).tolist(), strict=True))
-                else:
-                    raw, step = ids.astype(self.dtype).tobytes(), self.dtype().itemsize
-                    cuts = (bounds * step).tolist()
-                    keep.update((c, raw[a:b]) for c, a, b in zip(together, cuts, cuts[1:], strict=False))
+                keep.update(zip(together, np.diff(np.concatenate(([0], last + 1))).tolist(), strict=True))
         for c in alone:
-            ids = self.pieces.encode_ordinary(" " + c if led else c)
-            keep[c] = len(ids) if lengths else np.asarray(ids, self.dtype).tobytes()
+            keep[c] = len(self.pieces.encode_ordinary(" " + c if led else c))
 
-    def _cut_all(self, texts: list[str], lengths: bool) -> list[tuple[str, list[str]] | None]:
+    def _cut_all(self, texts: list[str]) -> list[tuple[str, list[str]] | None]:
         if len(self.known) + len(self.first) > KEPT or self.characters > CHARACTERS:
             self.known.clear(), self.first.clear()
             self.characters = 0
@@ -115,8 +113,8 @@ class Encoder:
             firsts.add(first)
             rest.update(part)
             parts.append((first, part))
-        self._learn(firsts - self.first.keys(), self.first, False, lengths)
-        self._learn(rest - self.known.keys() - self.frequent.keys(), self.known, True, lengths)
+        self.learn(firsts - self.first.keys(), self.first, False)
+        self.learn(rest - self.known.keys() - self.frequent.keys(), self.known, True)
         return parts
 
     def lengths(self, texts: list[str]) -> list[int]:
@@ -125,7 +123,7 @@ class Encoder:
             return [len(ids) for ids in self._library(texts)]
         out = []
         for a, b in batches(texts):
-            parts = self._cut_all(texts[a:b], True)
+            parts = self._cut_all(texts[a:b])
             first, known, frequent = self.first, self.known, self.frequent
             for text, part in zip(texts[a:b], parts, strict=True):
                 if part is None:
@@ -136,18 +134,79 @@ class Encoder:
                     out.append(first[part[0]] + sum(map(known.__getitem__, part[1])))
         return out
 
+    def _fresh(self) -> None:
+        self.slot_hash = np.zeros(1 << SLOT_BITS, np.uint64)
+        self.slot_at = np.zeros(1 << SLOT_BITS, np.int64)
+        self.slot_n = np.zeros(1 << SLOT_BITS, np.int32)
+        self.pool, self.used = np.zeros(1 << 20, self.dtype), 0
+
+    def _pooled(self, ids: np.ndarray) -> int:
+        """Where ``ids`` begin in the pool."""
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(ids)), self.dtype)))
+        self.pool[at : self.used] = ids
+        return at
+
+    def _encode_led(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the pool, lengths) of pre-tokens that follow a blank."""
+        joined = b" " + b" ".join(found)
+        ids = np.asarray(self.pieces.encode_ordinary(joined.decode()), np.int64)
+        ends = np.cumsum(np.fromiter((len(c) + 1 for c in found), np.int64, len(found)))
+        last = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends)
+        if not np.array_equal(np.cumsum(self.bytes_of[ids])[last], ends):
+            each = [self.pieces.encode_ordinary(" " + c.decode()) for c in found]
+            n = np.array([len(x) for x in each], np.int64)
+            return self._pooled(np.array([i for x in each for i in x], np.int64)) + np.cumsum(n) - n, n
+        begin = np.concatenate(([0], last[:-1] + 1))
+        return self._pooled(ids) + begin, last + 1 - begin
+
+    def _gathered(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts whose blanks all stand between visible characters."""
+        if not hasattr(self, "pool") or self.used > POOL:
+            self._fresh()
+        hashes, starts, ends, first, buffer = between_blanks(texts)
+        hashes[first[:-1]] = mix(hashes[first[:-1]], 31)  # a text's first pre-token follows no blank
+        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at, n = self.slot_at[slot], self.slot_n[slot].astype(np.int64)
+        miss = np.flatnonzero((self.slot_hash[slot] != hashes) | (n == 0))
+        if len(miss):
+            new, where, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            where = miss[where]
+            leads = np.isin(where, first[:-1])
+            new_at, new_n = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+            raw = buffer.tobytes()
+            led = np.flatnonzero(~leads)
+            if len(led):
+                new_at[led], new_n[led] = self._encode_led([raw[a:b] for a, b in zip(starts[where[led]].tolist(), ends[where[led]].tolist(), strict=True)])
+            for k in np.flatnonzero(leads).tolist():
+                ids = np.asarray(self.pieces.encode_ordinary(raw[starts[where[k]] : ends[where[k]]].decode()), np.int64)
+                new_at[k], new_n[k] = self._pooled(ids), len(ids)
+            at[miss], n[miss] = new_at[back], new_n[back]
+            place = slot[where]
+            self.slot_hash[place], self.slot_at[place], self.slot_n[place] = new, new_at, new_n
+        upto = np.cumsum(n)
+        out = self.pool[np.repeat(at - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+        cuts = np.concatenate(([0], upto))[first].tolist()
+        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids as arrays of ``dtype``."""
         if self.pieces is None:
             return [np.asarray(ids, self.dtype) for ids in self._library(texts)]
-        out = []
-        for a, b in batches(texts):
-            parts = self._cut_all(texts[a:b], False)
-            for text, part in zip(texts[a:b], parts, strict=True):
-                if part is None:
-                    out.append(np.asarray(self._library([text])[0], self.dtype))
-                else:
-                    out.append(np.frombuffer(self.first[part[0]] + b"".join(map(self.known.__getitem__, part[1])), self.dtype))
+        out: list[np.ndarray | None] = [None] * len(texts)
+        even, raw = [], []
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.special):
+                out[i] = np.asarray(self._library([text])[0], self.dtype)
+            elif not text or text[0] == " " or text[-1] == " " or _DOUBLE.search(text):
+                out[i] = np.asarray(self.pieces.encode_ordinary(text), self.dtype)
+            else:
+                even.append(i)
+                raw.append(text.encode())
+        for a, b in batches(raw, 1 << 21):
+            for i, ids in zip(even[a:b], self._gathered(raw[a:b]), strict=True):
+                out[i] = ids
         return out
 
 
