@@ -185,7 +185,7 @@ def _cover(a: str, b: str) -> str:
 
 
 _CLEAN = " or ".join(f"abs(ip / op - {f}) < 0.01" for f in _FRACTIONS)
-PAIRS = f"""o as (select *, {desc_sql('description')} as otk, {article_sql("coalesce(artikelnummer, '') || ' ' || description")} as oa, line_total_net as op from group_offer_lines where not optional or coalesce(line_total_net <> 0, false)),
+PAIRS = f"""o as (select *, {desc_sql('description')} as otk, {article_sql("coalesce(artikelnummer, '') || ' ' || description")} as oa, line_total_net as op from group_offer_lines where line_total_net is not null and (not optional or line_total_net <> 0)),
 i as (select *, {desc_sql('description')} as itk, {article_sql('description')} as ia, line_total_net as ip from billed),
 pairs as (select i.project_id, i.group_seq, i.invoice_id, i.pos_seq, o.line_seq, round(case when list_has_any(oa, ia) then 0.35 else 0 end, 9) as article,
    round(case when length(otk) > 0 and length(itk) > 0 then ({_cover('otk', 'itk')} + {_cover('itk', 'otk')}) / 2 * 0.3 else 0 end, 9) as description,
@@ -209,11 +209,14 @@ BEST = """best as (select * from scored where score >= 0.4 qualify row_number()
 
 
 @query("propose_matches", sql(f"""
-with {ALL_BILLED}, {PAIRS}, {BEST} select b.project_id, b.group_seq, b.invoice_id, b.pos_seq, line_seq, case when score >= 0.55 then 'high' when score >= 0.4 then 'medium' else 'none' end as confidence
-from billed b left join best t on t.project_id = b.project_id and t.group_seq = b.group_seq and t.invoice_id = b.invoice_id and t.pos_seq = b.pos_seq""", "group_offer_lines", "group_invoice_lines"))
+with {ALL_BILLED}, {PAIRS}, top as (select * from scored where article > 0 or description > 0 qualify row_number() over (partition by project_id, group_seq, invoice_id, pos_seq order by score desc, line_seq) = 1)
+select b.project_id, b.group_seq, b.invoice_id, b.pos_seq, case when score >= 0.4 then line_seq end as line_seq, case when score >= 0.55 then 'high' when score >= 0.4 then 'medium' else 'none' end as confidence,
+  round(score::double, 6) as score, round(article::double, 6) as article, round(t.description::double, 6) as description, round(price::double, 6) as price, round(t.qty::double, 6) as qty
+from billed b left join top t on t.project_id = b.project_id and t.group_seq = b.group_seq and t.invoice_id = b.invoice_id and t.pos_seq = b.pos_seq""", "group_offer_lines", "group_invoice_lines"))
 def propose_matches(spark, d):
     df = pos_ops.propose_matches(*load(spark, d, "group_offer_lines", "group_invoice_lines"))
-    return df.drop("signals", "score")
+    rounded = lambda c, n: F.round(c, 6).cast("double").alias(n)
+    return df.select("project_id", "group_seq", "invoice_id", "pos_seq", "line_seq", "confidence", rounded("score", "score"), *[rounded(f"signals.{s}", s) for s in ("article", "description", "price", "qty")])
 
 
 LUMPS = f"""sums as (select project_id, group_seq, sum(case when not optional then line_total_net end) as m, sum(line_total_net) as a from group_offer_lines where coalesce(line_total_net <> 0, false) group by 1, 2),

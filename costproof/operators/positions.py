@@ -132,14 +132,15 @@ def score_positions(offer_lines: DataFrame, invoice_lines: DataFrame) -> DataFra
 
 def propose_matches(offer_lines: DataFrame, invoice_lines: DataFrame) -> DataFrame:
     """Best offer line per invoice line, first on ties: high from 0.55, medium from 0.40, else
-    none. Several invoice lines may share an offer line."""
+    none. Several invoice lines may share an offer line. A line of confidence none keeps score and signals of its best
+    candidate, if it has one."""
     _, billed = _shapes(offer_lines, invoice_lines)
     best = score_positions(offer_lines, invoice_lines).groupBy(*GROUP, "shape").agg(
         F.max(F.struct("score", (-F.col("line_seq")).alias("neg"), *_SIGNALS)).alias("b"))
     hit = F.col("b.score") >= F.lit(fx.MEDIUM_THRESHOLD).cast("decimal(12,9)")
-    proposals = best.where(hit).select(
-        *GROUP, "shape", (-F.col("b.neg")).alias("line_seq"), F.col("b.score").alias("score"),
-        F.when(F.col("b.score") >= F.lit(fx.HIGH_THRESHOLD).cast("decimal(12,9)"), "high").otherwise("medium").alias("confidence"),
+    proposals = best.select(
+        *GROUP, "shape", F.when(hit, -F.col("b.neg")).alias("line_seq"), F.col("b.score").alias("score"),
+        F.when(F.col("b.score") >= F.lit(fx.HIGH_THRESHOLD).cast("decimal(12,9)"), "high").when(hit, "medium").alias("confidence"),
         F.struct(*[F.col(f"b.{s}").alias(s) for s in _SIGNALS]).alias("signals"))
     lines = billed.select(*GROUP, "invoice_id", "pos_seq", "shape")
     return lines.join(proposals, [*GROUP, "shape"], "left").drop("shape").withColumn("confidence", F.coalesce("confidence", F.lit("none")))
