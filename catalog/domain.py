@@ -84,7 +84,7 @@ from {invoice_positions} group by invoice_id"""
 _INV = f"""
 select o_orderkey as invoice_id, o_custkey as project_id, o_orderkey as seq,
   cast((o_custkey * 3 + o_orderkey % 6) % 144 as int) as vid,
-  case when o_orderkey % 11 = 3 then 'EnergieKonzept Nord GmbH'
+  case when o_orderkey % 11 = 3 then 'PlanWegweiser Nord GmbH'
        when o_orderkey % 13 = 5 then coalesce(client_name, 'Krause Metallbau GmbH')
        when o_orderkey % 7 = 2 then replace(replace({vendor('(o_custkey * 3 + o_orderkey % 6) % 144')}, 'technik', 'tecnik'), 'Müller', 'Mueller')
        else {vendor('(o_custkey * 3 + o_orderkey % 6) % 144')} end as vendor_name,
@@ -135,8 +135,8 @@ _OWN_BLOCK = "k = 6 and c_custkey % 2 = 0"
 # @sequence(a,b) is one row per integer: explode on one side, unnest on the other.
 TABLES["vendor_blocks"] = f"""
 select c_custkey as project_id, cast(k as bigint) as block_seq,
-  case when {_OWN_BLOCK} then 'Energiekonzept Nord' when k = 6 then 'Eigenleistung' when k = 5 then 'Eigenerklärung' else {_KV} end as vendor,
-  case when {_OWN_BLOCK} then 'SOLL: Energiekonzept Nord Angebot 6 vom 01.02.1996' when k >= 5 then {_ESTIMATE}
+  case when {_OWN_BLOCK} then 'Planwegweiser Nord' when k = 6 then 'Eigenleistung' when k = 5 then 'Eigenerklärung' else {_KV} end as vendor,
+  case when {_OWN_BLOCK} then 'SOLL: Planwegweiser Nord Angebot 6 vom 01.02.1996' when k >= 5 then {_ESTIMATE}
        else 'SOLL: ' || {_KV} || ' Angebot ' || cast(c_custkey as varchar(20)) || ' vom 01.02.1996' end as header,
   cast(case when k = 5 then 0 when k = 3 then 1 else 0.8125 end as decimal(38,20)) as anteil_ik,
   cast(case when k = 5 then 1 when k = 3 then 0 else 0.1875 end as decimal(38,20)) as anteil_nk,

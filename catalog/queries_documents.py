@@ -59,7 +59,7 @@ def de_date(spark, d):
     day = F.col("invoice_date")
     named = F.concat(F.dayofmonth(day).cast("string"), F.lit(". "), F.element_at(months, F.month(day)), F.lit(" "), F.year(day).cast("string"))
     printed = F.when(F.col("invoice_id") % 2 == 0, german.format_date(day)).otherwise(named)
-    return load(spark, d, "invoices").select("invoice_id", german.de_date(F.concat(F.lit("Vlotho, den "), printed)).alias("parsed"))
+    return load(spark, d, "invoices").select("invoice_id", german.de_date(F.concat(F.lit("Musterau, den "), printed)).alias("parsed"))
 
 
 @query("clean_text", r"""
@@ -168,12 +168,12 @@ def vendor_tokens(spark, d):
                                              vendor.vendor_compact(F.col("vendor_name")).alias("compact"))
 
 
-_LETTER = ("vendor_name || chr(10) || 'Industriestraße 12' || chr(10) || '32602 Vlotho' || chr(10) || 'Rechnung: ' || invoice_number"
+_LETTER = ("vendor_name || chr(10) || 'Industriestraße 12' || chr(10) || '54321 Musterau' || chr(10) || 'Rechnung: ' || invoice_number"
            " || chr(10) || " + duck.de_date("invoice_date") + " || ' bis 3. März 1999' || chr(10) || " + duck.format_de("abs(netto)") + " || ' €'")
 
 
 def _letter():
-    return F.concat_ws("\n", "vendor_name", F.lit("Industriestraße 12"), F.lit("32602 Vlotho"),
+    return F.concat_ws("\n", "vendor_name", F.lit("Industriestraße 12"), F.lit("54321 Musterau"),
                        F.concat(F.lit("Rechnung: "), F.col("invoice_number")),
                        F.concat(german.format_date(F.col("invoice_date")), F.lit(" bis 3. März 1999")),
                        F.concat(german.format_de(F.abs(F.col("netto"))), F.lit(" €")))
@@ -182,7 +182,7 @@ def _letter():
 @query("extract_fields_regex", sql(rf"""
 select invoice_id, array_to_string(regexp_extract_all(t, '\d{{2}}\.\d{{2}}\.\d{{4}}') || regexp_extract_all(t, '(?i)\d{{1,2}}\.\s?(?:januar|februar|märz|april|mai)\s?\d{{4}}'), ';') as dates,
   array_to_string(list_transform(regexp_extract_all(t, '(\d{{1,3}}(?:\.\d{{3}})*(?:,\d{{2}}))\s?€', 1), lambda a: replace(replace(a, '.', ''), ',', '.')), ';') as amounts,
-  invoice_number, regexp_replace(vendor_name, '^.*[^\p{{L}}\p{{N}}_\s.]', '') || chr(10) || 'Industriestraße 12' || chr(10) || '32602 Vlotho' || chr(10) || 'Rechnung' as address
+  invoice_number, regexp_replace(vendor_name, '^.*[^\p{{L}}\p{{N}}_\s.]', '') || chr(10) || 'Industriestraße 12' || chr(10) || '54321 Musterau' || chr(10) || 'Rechnung' as address
 from (select *, {_LETTER} as t from invoices)""", "invoices"))
 def extract_fields_regex(spark, d):
     df = load(spark, d, "invoices").withColumn("f", text.extract_fields_regex(_letter()))
@@ -279,7 +279,7 @@ def offer_kind(spark, d):
     return classify.offer_kind(files, "name").select("file_id", "kind")
 
 
-@query("is_own_company", sql(r"select invoice_id, regexp_matches(vendor_name, '(?i)energie\s*konzept') as own from invoices", "invoices"))
+@query("is_own_company", sql(r"select invoice_id, regexp_matches(vendor_name, '(?i)plan\s*wegweiser') as own from invoices", "invoices"))
 def is_own_company(spark, d):
     return load(spark, d, "invoices").select("invoice_id", vendor.is_own_company(F.col("vendor_name")).alias("own"))
 
@@ -287,7 +287,7 @@ def is_own_company(spark, d):
 @query("label_trade_section", sql(r"""
 select invoice_id, case when own then 'Energieberater' when pl and regexp_matches(t, '(?i)architekt|bauleit') then 'Architekt / Bauleiter' when pl then 'Fachplanung'
    when invoice_id % 3 <> 0 then 'Gewerk ' || cast(vid % 12 as varchar) end as trade, case when own or pl then 'baubegleitung' else 'massnahme' end as section
-from (select *, regexp_matches(vendor_name, '(?i)energie\s*konzept') as own, regexp_matches(t, '(?i)energieberat|architekt|statik|sigeko|bauleit|fachplan|ingenieurbüro') as pl
+from (select *, regexp_matches(vendor_name, '(?i)plan\s*wegweiser') as own, regexp_matches(t, '(?i)energieberat|architekt|statik|sigeko|bauleit|fachplan|ingenieurbüro') as pl
   from (select *, vendor_name || ' ' || coalesce(subject, '') as t from invoices))""", "invoices"))
 def label_trade_section(spark, d):
     invoices = load(spark, d, "invoices")

@@ -81,7 +81,7 @@ def advance_chain_check(spark, d):
 
 
 TOTALS = """requested as (select coalesce(v.project_id, o.project_id) as project_id, v.ik as beantragt_ik, v.nk as beantragt_nk, o.ek as beantragt_ek
-  from (select project_id, coalesce(sum(beantragt_ik), 0) as ik, coalesce(sum(beantragt_nk), 0) as nk from vendor_blocks where not regexp_matches(vendor, '(?i)energie\\s*konzept') group by 1) v
+  from (select project_id, coalesce(sum(beantragt_ik), 0) as ik, coalesce(sum(beantragt_nk), 0) as nk from vendor_blocks where not regexp_matches(vendor, '(?i)plan\\s*wegweiser') group by 1) v
   full join (select project_id, sum(netto) as ek from vne_rows where own_company and not unusable group by 1) o on o.project_id = v.project_id),
 sums as (select project_id, coalesce(sum(case when category = 'IK' then amount end), 0) as ik, coalesce(sum(case when category = 'NK' then amount end), 0) as nk, coalesce(sum(case when category = 'EK' then amount end), 0) as ek from splits group by 1),
 totals as (select p.project_id, coalesce(ik, 0) as sum_ik, coalesce(nk, 0) as sum_nk, coalesce(ek, 0) as sum_ek, coalesce(ik, 0) + coalesce(nk, 0) + coalesce(ek, 0) as sum_total, beantragt_ik, beantragt_nk, beantragt_ek
@@ -291,7 +291,7 @@ def invoice_gross(spark, d):
 
 
 LABELLED = r"""labelled as (select g.*, case when own then 'Energieberater' when pl and regexp_matches(t, '(?i)architekt|bauleit') then 'Architekt / Bauleiter' when pl then 'Fachplanung' when invoice_id % 3 <> 0 then 'Gewerk ' || cast(vid % 12 as varchar) end as trade,
-  case when own or pl then 'baubegleitung' else 'massnahme' end as section from (select *, regexp_matches(vendor_name, '(?i)energie\s*konzept') as own, regexp_matches(t, '(?i)energieberat|architekt|statik|sigeko|bauleit|fachplan|ingenieurbüro') as pl
+  case when own or pl then 'baubegleitung' else 'massnahme' end as section from (select *, regexp_matches(vendor_name, '(?i)plan\s*wegweiser') as own, regexp_matches(t, '(?i)energieberat|architekt|statik|sigeko|bauleit|fachplan|ingenieurbüro') as pl
   from (select *, vendor_name || ' ' || coalesce(subject, '') as t from gross_rows)) g where not folded)"""
 
 

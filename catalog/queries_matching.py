@@ -17,7 +17,7 @@ def recursive(text: str) -> str:
     return "with recursive " + text[len("with "):] if text.startswith("with ") else text
 
 
-OWN = r"regexp_matches(vendor_name, '(?i)energie\s*konzept')"
+OWN = r"regexp_matches(vendor_name, '(?i)plan\s*wegweiser')"
 
 MATCHED = f"""names as (select distinct project_id, vendor_name from invoices where not {OWN}),
 sides as (select project_id, block_seq, array_to_string({duck.tokens('vendor')}, '') as bc, list_sort(list_distinct({duck.vset('vendor')} || {duck.vset('header')})) as bt from vendor_blocks),
@@ -63,7 +63,7 @@ def fuzzy_vendor_join_global(spark, d):
 
 
 GROUPED = f"""labelled as (select project_id, block_seq, vendor as label, sonderpreis, {duck.vset('vendor')} as ts, row_number() over (partition by project_id order by block_seq) as k from vendor_blocks
-   where not regexp_matches(vendor, '(?i)energie\\s*konzept') and not (statement or regexp_matches(header, '(?i)sch[äa]tzung|stellungnahme|eigenerkl'))),
+   where not regexp_matches(vendor, '(?i)plan\\s*wegweiser') and not (statement or regexp_matches(header, '(?i)sch[äa]tzung|stellungnahme|eigenerkl'))),
 walk as (select project_id, cast(0 as bigint) as k, cast([] as struct(g bigint, ts varchar[])[]) as founded, cast(null as bigint) as block_seq, cast(null as bigint) as group_seq from (select distinct project_id from labelled)
   union all select project_id, k, case when hit is null then list_append(founded, {{'g': block_seq, 'ts': ts}}) else founded end, block_seq, coalesce(hit, block_seq)
   from (select w.project_id, l.k, w.founded, l.block_seq, l.ts, list_filter(w.founded, lambda f: length(list_filter(f.ts, lambda t: length(list_filter(l.ts, lambda u: t = u or (length(t) >= 5 and length(u) >= 5 and levenshtein(t, u) <= 1))) > 0)) > 0)[1].g as hit

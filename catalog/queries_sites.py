@@ -191,7 +191,7 @@ def parse_recipient(spark, d):
     letters = load(spark, d, "approval_letters")
     place = F.concat(F.lpad((key % 90000 + 1000).cast("string"), 5, "0"), F.lit(" Musterau"))
     lines = F.array_compact(F.array(
-        F.lit("Energiekonzept Beispiel GmbH       Tel. 1"), F.lit("Weg 1"), F.lit("11111 Ort"), F.lit(""), F.concat("empfaenger_name", F.lit("      Zeichen 7")),
+        F.lit("Planwegweiser Beispiel GmbH       Tel. 1"), F.lit("Weg 1"), F.lit("11111 Ort"), F.lit(""), F.concat("empfaenger_name", F.lit("      Zeichen 7")),
         F.when(key % 3 > 0, F.lit("Frau Erika Beispiel")), F.when(key % 3 > 1, F.lit("Abteilung Technik")),
         F.concat(F.lit("Am Wehr "), (key % 90 + 1).cast("string"), F.when(key % 2 == 0, F.lit("        DATUM Musterau, 02.01.2031")).otherwise("")),
         F.when(key % 7 == 0, F.lit("DATUM 02.01.2031")), F.when(key % 5 != 0, place), F.lit("Guten Tag,")))
@@ -304,7 +304,7 @@ def _forms(spark, d):
     key = F.col("c_custkey")
     size = F.when(key % 3 == 0, "KU/KKU ✓   MU   GU").when(key % 3 == 1, "KU/KKU   MU ✓   GU").otherwise("KU/KKU   MU   GU ✓")
     text = F.concat_ws(
-        "\n", F.concat(F.lit("Antragstellendes Unternehmen:   "), "c_name"), F.concat(F.lit("Anschrift: Ringstr. "), key.cast("string")), F.lit("           32602 Vlotho"),
+        "\n", F.concat(F.lit("Antragstellendes Unternehmen:   "), "c_name"), F.concat(F.lit("Anschrift: Ringstr. "), key.cast("string")), F.lit("           54321 Musterau"),
         F.when(key % 4 == 0, F.lit("Standort der Maßnahme falls abweichend: Gersteinstr. 17, 59227 Ahlen")), F.concat(F.lit("Betriebsgesellschaft: "), F.when(key % 5 == 0, "Betrieb KG").otherwise("falls abweichend")),
         F.concat(F.lit("Das Unternehmen ist ein   "), size), F.concat(F.lit("Schichtbetrieb: "), F.when(key % 2 == 0, "3-Schicht").otherwise("Zwei-Schichtbetrieb")),
         F.lit("Art der Anlage bzw. des Prozesses: Kälteanlage"), F.lit("Beschreibung des Vorhabens: Neue Kälte\n   mit Pumpe\n\nWirtschaftszweigklassifikation: 2229 Kunststoff"), F.concat(F.lit("E-Mail: info"), key.cast("string"), F.lit("@firma.de")))
@@ -312,7 +312,7 @@ def _forms(spark, d):
 
 
 @query("parse_intake_forms", """
-select c_custkey as doc_id, c_name as firma, 'Ringstr. ' || cast(c_custkey as varchar) as strasse, '32602' as plz, 'Vlotho' as stadt, case when c_custkey % 4 = 0 then 'Gersteinstr. 17' end as massnahme_strasse, case when c_custkey % 4 = 0 then '59227' end as massnahme_plz,
+select c_custkey as doc_id, c_name as firma, 'Ringstr. ' || cast(c_custkey as varchar) as strasse, '54321' as plz, 'Musterau' as stadt, case when c_custkey % 4 = 0 then 'Gersteinstr. 17' end as massnahme_strasse, case when c_custkey % 4 = 0 then '59227' end as massnahme_plz,
   case when c_custkey % 4 = 0 then 'Ahlen' end as massnahme_stadt, case when c_custkey % 5 = 0 then 'Betrieb KG' end as betreiberfirma, case c_custkey % 3 when 0 then 'kleines' when 1 then 'mittleres' else 'großes' end as groesse,
   case when c_custkey % 2 = 0 then 3 else 2 end as schicht_anzahl, 'Kälteanlage' as art_der_anlage, 'Neue Kälte mit Pumpe' as vorhaben, '2229' as wz_code, 'info' || cast(c_custkey as varchar) || '@firma.de' as email from customer""")
 def parse_intake_forms(spark, d):
@@ -320,16 +320,16 @@ def parse_intake_forms(spark, d):
 
 
 @query("site_input", """
-select c_custkey as doc_id, case when c_custkey % 4 = 0 then 'Gersteinstr. 17' else 'Ringstr. ' || cast(c_custkey as varchar) end as strasse, case when c_custkey % 4 = 0 then 'Ahlen' else 'Vlotho' end as stadt, case when c_custkey % 2 = 0 then 3 else 2 end as schichten,
+select c_custkey as doc_id, case when c_custkey % 4 = 0 then 'Gersteinstr. 17' else 'Ringstr. ' || cast(c_custkey as varchar) end as strasse, case when c_custkey % 4 = 0 then 'Ahlen' else 'Musterau' end as stadt, case when c_custkey % 2 = 0 then 3 else 2 end as schichten,
   '08:00' as von, case when c_custkey % 2 = 0 then '08:00' else '24:00' end as bis, false as shift_assumed from customer""")
 def site_input(spark, d):
     return site.site_input(site.parse_intake_forms(_forms(spark, d))).select("doc_id", "strasse", "stadt", "schichten", "von", "bis", "shift_assumed")
 
 
 @query("site_header_files", """
-select c_custkey as doc_id, c_name as firma, 'Ringstr. 5' as strasse, '32602' as plz, 'Vlotho' as stadt from customer""")
+select c_custkey as doc_id, c_name as firma, 'Ringstr. 5' as strasse, '54321' as plz, 'Musterau' as stadt from customer""")
 def site_header_files(spark, d):
-    text = F.concat(F.lit("Unternehmen*\t\t"), "c_name", F.lit("\nStraße Hausnummer*\tRingstr. 5\nPLZ*\t32602\nStadt*\tVlotho\n1.2 Beschreibung\tx\nStadt*\tAnders"))
+    text = F.concat(F.lit("Unternehmen*\t\t"), "c_name", F.lit("\nStraße Hausnummer*\tRingstr. 5\nPLZ*\t54321\nStadt*\tMusterau\n1.2 Beschreibung\tx\nStadt*\tAnders"))
     return site.parse_header_files(load(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
 
 

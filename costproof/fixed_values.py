@@ -22,7 +22,8 @@ PERCENT = MONEY + r"\s*%"
 LEGAL_FORMS = r"(?iuU)\b(gmbh|mbh|ag|kg|ug|ohg|co|cokg|se|e\.?k\.?|inc|ltd|haftungsbeschränkt)\b\.?"
 NAME_NOISE = r"(?iuU)[&+./,()\-–]|\bund\b|\b\d+\b"
 GLUED_LEGAL_SUFFIXES = ["gmbh", "mbh", "cokg", "co", "kg", "ug", "ohg"]
-OWN_COMPANY = r"(?iuU)energie\s*konzept"
+# The reader's own consultancy: an invented name, to be set through own_pattern.
+OWN_COMPANY = r"(?iuU)plan\s*wegweiser"
 TRAILING_LEGAL_FORM = (
     r"(?iuU)\s*(gmbh\s*&\s*co\.?\s*kg|gmbh\s*&\s*cie\.?\s*kg|se\s*&\s*co\.?\s*kg|gmbh|ag|kg|ug"
     r"|e\.\s*k\.|ohg|gbr|mbh)\s*$"

@@ -104,9 +104,9 @@ def is_deduction_line(amount: Column, description: Column) -> Column:
     return F.coalesce((amount < 0) & description.rlike(fx.DEDUCTION_LINE), F.lit(False))
 
 
-def label_trade_section(invoices: DataFrame, labels: DataFrame) -> DataFrame:
+def label_trade_section(invoices: DataFrame, labels: DataFrame, own_pattern: str = fx.OWN_COMPANY) -> DataFrame:
     """Trade and section: own company and planners by name, the rest from supplied labels."""
-    own = is_own_company(F.col("vendor_name"))
+    own = is_own_company(F.col("vendor_name"), own_pattern)
     text = F.concat_ws(" ", F.col("vendor_name"), F.coalesce("subject", F.lit("")))
     planner = text.rlike(fx.PLANNER)
     architect = text.rlike(fx.ARCHITECT)

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from costproof import fixed_values as fx
 from costproof.functions.vendor import (
     earliest_overlap, is_own_company, near_words, overlapping_sets, vendor_compact, vendor_overlap, vendor_set,
 )
@@ -40,13 +41,13 @@ def _containment_pairs(left: DataFrame, right: DataFrame, by: Sequence[str], lef
     return inside_right.select(*columns).unionByName(inside_left.select(*columns)).distinct()
 
 
-def match_vendor(invoices: DataFrame, blocks: DataFrame, own_pattern: str | None = None) -> DataFrame:
+def match_vendor(invoices: DataFrame, blocks: DataFrame, own_pattern: str = fx.OWN_COMPANY) -> DataFrame:
     """Each invoice with the best block of its project (``block_seq``, ``match_score``), or null.
 
     Score: shared distinctive tokens; a pair without any scores one half if one compact name
     contains the other. The first block wins ties. The own company never matches.
     """
-    own = is_own_company(F.col("vendor_name"), own_pattern) if own_pattern else is_own_company(F.col("vendor_name"))
+    own = is_own_company(F.col("vendor_name"), own_pattern)
     names = invoices.where(~own).select("project_id", "vendor_name").distinct().select(
         "project_id", "vendor_name", vendor_set(F.col("vendor_name")).alias("tokens"), vendor_compact(F.col("vendor_name")).alias("compact"))
     names = names.where(F.size("tokens") > 0)
@@ -135,13 +136,13 @@ def _leaders(labels: DataFrame) -> DataFrame:
             return settled
 
 
-def group_offer_blocks(blocks: DataFrame) -> DataFrame:
+def group_offer_blocks(blocks: DataFrame, own_pattern: str = fx.OWN_COMPANY) -> DataFrame:
     """Blocks with the group they merge into: ``group_seq`` (the founding block), its label, and
     the special price, which only a group of a single block keeps. Own-company blocks and
     statements never enter. ``blocks``: project_id, block_seq, label, header, statement, sonderpreis.
     """
     vendors = blocks.where(
-        ~is_own_company(F.col("label")) & ~is_statement_block(F.col("header"), F.col("statement"))
+        ~is_own_company(F.col("label"), own_pattern) & ~is_statement_block(F.col("header"), F.col("statement"))
     ).withColumn("tokens", vendor_set(F.col("label")))
     # Equal token sets always fall into one group, so only the first of them takes part; an
     # empty set founds its own group every time.
@@ -214,10 +215,10 @@ def compare_block_totals(left: DataFrame, right: DataFrame) -> DataFrame:
                         F.coalesce("left_total", zero) - F.coalesce("right_total", zero)))
 
 
-def scope_check_inputs(rows: DataFrame, offers: DataFrame) -> tuple[DataFrame, DataFrame]:
+def scope_check_inputs(rows: DataFrame, offers: DataFrame, own_pattern: str = fx.OWN_COMPANY) -> tuple[DataFrame, DataFrame]:
     """(invoices that enter the position comparison, those that do not). Unusable rows and the
     own company's stay out, and so does every project without offer lines."""
-    fit = ~F.col("unusable") & ~is_own_company(F.col("vendor_name"))
+    fit = ~F.col("unusable") & ~is_own_company(F.col("vendor_name"), own_pattern)
     with_offers = offers.select("project_id").distinct()
     return rows.where(fit).join(with_offers, "project_id", "left_semi"), rows.where(~fit)
 
