@@ -12,10 +12,29 @@ from costproof.session import ensure_checkpoint_dir
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+#: Folders made by this process that ``drop`` has not removed.
+_MADE: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that ``spark.checkpoint.dir`` names; every executor and the driver see it."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    _MADE.append(f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def made() -> list[str]:
+    """Folders that exist now; those of a later call that are not in this list were made in between."""
+    return list(_MADE)
+
+
+def drop(spark: SparkSession, folders: list[str]) -> None:
+    """Remove folders, through the file system that Spark uses for them."""
+    jvm = spark.sparkContext._jvm
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _MADE.remove(folder)
 
 
 def written(df: DataFrame) -> DataFrame:
