@@ -8,8 +8,9 @@ probability under 1e-4 for differences without a preferred direction, no more th
 from a table of the query's residual against all codewords; what they cannot exclude, given what each code leaves out, is
 compared exactly, in double precision.
 
-Lists are cut into blocks of bounded size on both sides, so a list that holds a third of all vectors is many tasks. A pair of blocks
-returns numbers of links per class and only as many links as connect its classes.
+Every vector length has an index of its own, fitted on a sample of its own; lengths beyond the ``LENGTHS`` most frequent are one list
+without codes, compared exactly. Lists are cut into blocks of bounded size on both sides, so a list that holds a third of all
+vectors is many tasks. A pair of blocks returns numbers of links per class and only as many links as connect its classes.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from costproof.llm.bytehash import mix
 from costproof.llm.components import components
 from costproof.llm.tables import written
 
-#: Rows that the index is fitted on (smallest key first), lists, parts, codewords of a part, rows of a block.
+#: Rows that an index is fitted on (smallest key first), lists, parts, codewords of a part, rows of a block.
 SAMPLE, LISTS, SUBSPACES, CODES, BLOCK, SPREAD = 8192, 64, 8, 128, 1024, 4.0
+#: Vector lengths with an index.
+LENGTHS = 16
 
 
 def _read(vectors: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,42 +72,53 @@ def fit(sample: np.ndarray) -> dict:
     return {"coarse": coarse, "parts": parts, "words": [_means(rest[:, p], CODES) for p in parts]}
 
 
-def _placed(index: dict, reach: float):
-    """(key, label, raw) -> rows for the side that asks (one for each list probed) and the side that is stored."""
+def _whole(dims: int) -> dict:
+    """One list and one codeword, both zero: excludes no pair."""
+    return {"coarse": np.zeros((1, dims)), "parts": [np.arange(dims)], "words": [np.zeros((1, dims))]}
+
+
+def _placed(indexes: dict[int, dict], reach: float):
+    """(key, label, dims, raw) -> rows for the side that asks (one for each list probed) and the side that is stored."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for mixed in rows:
+            dims = mixed.column("dims").to_numpy()
+            for d in np.unique(dims).tolist():
+                yield placed(mixed.filter(pa.array(dims == d)), indexes.get(d) or _whole(d))
+
+    def placed(batch: pa.RecordBatch, index: dict) -> pa.RecordBatch:
         coarse, margin = index["coarse"], reach * min(1.0, SPREAD / index["coarse"].shape[1] ** 0.5)
         between = np.sqrt(np.maximum(((coarse[:, None] - coarse[None]) ** 2).sum(2), 1e-12))
-        for batch in rows:
-            x = np.frombuffer(b"".join(batch.column("raw").to_pylist())).reshape(batch.num_rows, -1)
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            away = ((unit[:, None] - coarse[None]) ** 2).sum(2)
-            own = away.argmin(1)
-            beyond = (away - away[np.arange(len(own)), own][:, None]) / (2 * between[own])
-            probed = (beyond <= margin) & (np.arange(len(coarse))[None] >= own[:, None])
-            probed[np.arange(len(own)), own] = True
-            rest, left, codes = unit - coarse[own], np.zeros(len(own)), []
-            for part, words in zip(index["parts"], index["words"], strict=True):
-                code = _nearest(rest[:, part], words)
-                codes.append(code)
-                left += ((rest[:, part] - words[code]) ** 2).sum(1)
-            raw = np.stack(codes, 1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("key", "label", "copies", "raw")), pa.array(own.astype(np.int32)), pa.array([r.tobytes() for r in raw], pa.binary()),
-                 pa.array(np.sqrt(left)), pa.array([np.flatnonzero(p).astype(np.int32).tolist() for p in probed], pa.list_(pa.int32()))],
-                ["key", "label", "copies", "raw", "list", "code", "left", "probes"])
+        x = np.frombuffer(b"".join(batch.column("raw").to_pylist())).reshape(batch.num_rows, -1)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        away = ((unit[:, None] - coarse[None]) ** 2).sum(2)
+        own = away.argmin(1)
+        beyond = (away - away[np.arange(len(own)), own][:, None]) / (2 * between[own])
+        probed = (beyond <= margin) & (np.arange(len(coarse))[None] >= own[:, None])
+        probed[np.arange(len(own)), own] = True
+        rest, left, codes = unit - coarse[own], np.zeros(len(own)), []
+        for part, words in zip(index["parts"], index["words"], strict=True):
+            code = _nearest(rest[:, part], words)
+            codes.append(code)
+            left += ((rest[:, part] - words[code]) ** 2).sum(1)
+        raw = np.stack(codes, 1).astype(np.uint8)
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("key", "label", "dims", "copies", "raw")), pa.array(own.astype(np.int32)), pa.array([r.tobytes() for r in raw], pa.binary()),
+             pa.array(np.sqrt(left)), pa.array([np.flatnonzero(p).astype(np.int32).tolist() for p in probed], pa.list_(pa.int32()))],
+            ["key", "label", "dims", "copies", "raw", "list", "code", "left", "probes"])
 
     return run
 
 
-def _linked(index: dict, least: float, reach: float):
+def _linked(indexes: dict[int, dict], least: float, reach: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         asks = rows["asks"].to_numpy(bool)
         q, s = rows[asks].reset_index(drop=True), rows[~asks].reset_index(drop=True)
         none = pd.DataFrame({"a": [], "b": [], "n": []})
         if not len(q) or not len(s):
             return none
-        at = int(s["list"].iloc[0])
+        at, dims = int(s["list"].iloc[0]), int(s["dims"].iloc[0])
+        index = indexes.get(dims) or _whole(dims)
         x, y = (np.frombuffer(b"".join(t["raw"])).reshape(len(t), -1) for t in (q, s))
         nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
         unit = x / nx[:, None] - index["coarse"][at]
@@ -149,7 +163,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, sample: int = SAMPLE,
     """One row per row of ``vectors``: vec_id, n_links (other vectors linked), component_id, kept.
 
     Vectors of one label link when their cosine is ``least`` or more. A null label, a null or zero vector, null or non-finite components
-    link with nothing, and so do vectors of another length than most of the sample's. Equal vectors are linked copies of one class. A
+    link with nothing; vectors of different lengths do not link. Equal vectors are linked copies of one class. A
     null vec_id counts as a vector, but names no component and is not kept; a component without any vec_id has a null
     component_id. Empty input gives no rows; further columns are ignored.
     """
@@ -157,14 +171,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, sample: int = SAMPLE,
     rows = written(given.mapInArrow(_read, "vec_id long, label long, key binary, raw binary, dims int"))
     classes = written(rows.where("key is not null").groupBy("key").agg(
         F.first("label").alias("label"), F.first("raw").alias("raw"), F.first("dims").alias("dims"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("lowest")))
-    seen = classes.select("key", "raw", "dims").orderBy("key").limit(sample).collect()
-    links = rows.sparkSession.createDataFrame([], "a binary, b binary, n long")
-    if seen:
-        lengths = np.bincount([r["dims"] for r in seen])
-        dims, reach = int(lengths.argmax()), (2 - 2 * least) ** 0.5
-        x = np.stack([np.frombuffer(r["raw"]) for r in seen if r["dims"] == dims])
-        index = fit(x / np.linalg.norm(x, axis=1, keepdims=True))
-        links = written(_block_links(classes.where(F.col("dims") == dims), index, least, reach))
+    reach, indexes = (2 - 2 * least) ** 0.5, {}
+    for (dims,) in classes.groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(LENGTHS).select("dims").collect():
+        seen = classes.where(F.col("dims") == dims).select("key", "raw").orderBy("key").limit(sample).collect()
+        x = np.stack([np.frombuffer(r["raw"]) for r in seen])
+        indexes[dims] = fit(x / np.linalg.norm(x, axis=1, keepdims=True))
+    links = written(_block_links(classes, indexes, least, reach))
     counts = links.where("n > 0").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
     edges = links.where("b is not null").select("a", "b").distinct()
     own = classes.select("key", "copies", "lowest").join(counts, "key", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n", F.lit(0)))
@@ -180,19 +192,19 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, sample: int = SAMPLE,
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _block_links(classes: DataFrame, index: dict, least: float, reach: float) -> DataFrame:
+def _block_links(classes: DataFrame, indexes: dict[int, dict], least: float, reach: float) -> DataFrame:
     """(a, null, n): links of a class found in a pair of blocks; (a, b, 0): links that connect them."""
-    placed = classes.select("key", "label", "copies", "raw").mapInArrow(
-        _placed(index, reach), "key binary, label long, copies long, raw binary, list int, code binary, left double, probes array<int>")
+    placed = classes.select("key", "label", "dims", "copies", "raw").mapInArrow(
+        _placed(indexes, reach), "key binary, label long, dims int, copies long, raw binary, list int, code binary, left double, probes array<int>")
     placed = written(placed)
-    asked = placed.select("key", "label", "copies", "raw", "list", F.explode("probes").alias("at"))
-    stored = placed.select("key", "label", "copies", "raw", "list", "code", "left", F.col("list").alias("at"))
-    blocks = lambda df, n: df.groupBy("label", "at").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
-    sizes = written(blocks(asked, "q_blocks").join(blocks(stored, "s_blocks"), ["label", "at"]))
+    asked = placed.select("key", "label", "dims", "copies", "raw", "list", F.explode("probes").alias("at"))
+    stored = placed.select("key", "label", "dims", "copies", "raw", "list", "code", "left", F.col("list").alias("at"))
+    blocks = lambda df, n: df.groupBy("label", "dims", "at").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
+    sizes = written(blocks(asked, "q_blocks").join(blocks(stored, "s_blocks"), ["label", "dims", "at"]))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     pick = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    columns = ["label", "at", "q", "s", "key", "copies", "raw", "list", "code", "left", "asks"]
-    one = asked.join(sizes, ["label", "at"]).withColumn("q", pick("q_blocks")).withColumn("s", spread("s_blocks"))
+    columns = ["label", "dims", "at", "q", "s", "key", "copies", "raw", "list", "code", "left", "asks"]
+    one = asked.join(sizes, ["label", "dims", "at"]).withColumn("q", pick("q_blocks")).withColumn("s", spread("s_blocks"))
     one = one.withColumns({"asks": F.lit(True), "code": F.lit(None).cast("binary"), "left": F.lit(0.0)}).select(*columns)
-    two = stored.join(sizes, ["label", "at"]).withColumn("s", pick("s_blocks")).withColumn("q", spread("q_blocks")).withColumn("asks", F.lit(False)).select(*columns)
-    return one.union(two).groupBy("label", "at", "q", "s").applyInPandas(_linked(index, least, reach), "a binary, b binary, n long")
+    two = stored.join(sizes, ["label", "dims", "at"]).withColumn("s", pick("s_blocks")).withColumn("q", spread("q_blocks")).withColumn("asks", F.lit(False)).select(*columns)
+    return one.union(two).groupBy("label", "dims", "at", "q", "s").applyInPandas(_linked(indexes, least, reach), "a binary, b binary, n long")

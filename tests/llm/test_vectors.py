@@ -58,3 +58,20 @@ def test_components(spark):
     assert len({roots[k] for k in range(61)}) == 1 and len({roots[100 + k] for k in range(50)}) == 1
     assert roots[300] == roots[301] and 302 not in roots and len(set(roots.values())) == 3
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_two_lengths(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    rows, at = [], 0
+    for dims, groups in ((24, 60), (16, 40), (8, 5)):
+        for _ in range(groups):
+            base = r.normal(size=dims)
+            for _ in range(3):
+                rows.append((at, list(base + r.normal(size=dims) * 0.15), 1))
+                at += 1
+    want = brute(rows)
+    assert all(any(want[i][0] for i, v, _ in rows if len(v) == d) for d in (24, 16, 8))
+    for indexed in (quantised.LENGTHS, 1):  # lengths without an index of their own as well
+        monkeypatch.setattr(quantised, "LENGTHS", indexed)
+        got = {x.vec_id: (x.n_links, x.component_id) for x in quantised.near_vectors(frame(spark, rows)).collect()}
+        assert got == want
