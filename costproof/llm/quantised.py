@@ -2,9 +2,9 @@
 
 Equal vectors of a label form one class. Unit vectors go to the inverted list of their nearest coarse centroid, coded by the
 nearest codeword of their residual in each of ``SUBSPACES`` parts, with the length of what the code leaves out. A vector is
-compared with the stored vectors of its own list and of every later list whose boundary with its own (the plane between both
-centroids) is within reach: a linked vector is at most ``reach`` away in all, and in one direction, save with a
-probability under 1e-4 for differences without a preferred direction, no more than ``SPREAD / sqrt(dimensions)`` of that. Distances come
+compared with the stored vectors of its own list and of every list whose boundary with its own (the plane between both centroids)
+is at most half of ``reach`` away. Linked vectors are at most ``reach`` apart, so of two on both sides of a plane one is that
+near to it, and none are missed; when both are, the one of the lower list asks. Distances come
 from a table of the query's residual against all codewords; what they cannot exclude, given what each code leaves out, is
 compared exactly, in double precision.
 
@@ -27,7 +27,7 @@ from costproof.llm.components import components
 from costproof.llm.tables import written
 
 #: Rows that an index is fitted on (smallest key first), lists, parts, codewords of a part, rows of a block.
-SAMPLE, LISTS, SUBSPACES, CODES, BLOCK, SPREAD = 8192, 64, 8, 128, 1024, 4.0
+SAMPLE, LISTS, SUBSPACES, CODES, BLOCK = 8192, 64, 8, 128, 1024
 #: Vector lengths with an index.
 LENGTHS = 16
 
@@ -87,15 +87,13 @@ def _placed(indexes: dict[int, dict], reach: float):
                 yield placed(mixed.filter(pa.array(dims == d)), indexes.get(d) or _whole(d))
 
     def placed(batch: pa.RecordBatch, index: dict) -> pa.RecordBatch:
-        coarse, margin = index["coarse"], reach * min(1.0, SPREAD / index["coarse"].shape[1] ** 0.5)
+        coarse = index["coarse"]
         between = np.sqrt(np.maximum(((coarse[:, None] - coarse[None]) ** 2).sum(2), 1e-12))
         x = np.frombuffer(b"".join(batch.column("raw").to_pylist())).reshape(batch.num_rows, -1)
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         away = ((unit[:, None] - coarse[None]) ** 2).sum(2)
         own = away.argmin(1)
-        beyond = (away - away[np.arange(len(own)), own][:, None]) / (2 * between[own])
-        probed = (beyond <= margin) & (np.arange(len(coarse))[None] >= own[:, None])
-        probed[np.arange(len(own)), own] = True
+        probed = away - away[np.arange(len(own)), own][:, None] <= reach * between[own] + 1e-9  # twice the distance to the plane, times between
         rest, left, codes = unit - coarse[own], np.zeros(len(own)), []
         for part, words in zip(index["parts"], index["words"], strict=True):
             code = _nearest(rest[:, part], words)
@@ -129,8 +127,11 @@ def _linked(indexes: dict[int, dict], least: float, reach: float):
             far += table[:, codes[:, k]]
         keys = [np.frombuffer(b"".join(t["key"]), "S16") for t in (q, s)]
         maybe = np.sqrt(far) <= reach + s["left"].to_numpy()[None] + 1e-9
-        same = (q["list"] == at).to_numpy()[:, None]
-        maybe &= ~same | (keys[0][:, None] < keys[1][None])  # inside a list every pair once
+        own, back = q["list"].to_numpy(), np.zeros((len(s), LISTS), bool)
+        for row, lists in enumerate(s["probes"]):
+            back[row, lists] = True
+        once = np.where((own == at)[:, None], keys[0][:, None] < keys[1][None], (own < at)[:, None] | ~back.T[own])
+        maybe &= once  # inside a list and across lists every pair once
         i, j = np.nonzero(maybe)
         ok = np.zeros(len(i), bool)
         for b in range(0, len(i), 1 << 15):
@@ -198,13 +199,13 @@ def _block_links(classes: DataFrame, indexes: dict[int, dict], least: float, rea
         _placed(indexes, reach), "key binary, label long, dims int, copies long, raw binary, list int, code binary, left double, probes array<int>")
     placed = written(placed)
     asked = placed.select("key", "label", "dims", "copies", "raw", "list", F.explode("probes").alias("at"))
-    stored = placed.select("key", "label", "dims", "copies", "raw", "list", "code", "left", F.col("list").alias("at"))
+    stored = placed.select("key", "label", "dims", "copies", "raw", "list", "code", "left", "probes", F.col("list").alias("at"))
     blocks = lambda df, n: df.groupBy("label", "dims", "at").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
     sizes = written(blocks(asked, "q_blocks").join(blocks(stored, "s_blocks"), ["label", "dims", "at"]))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     pick = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    columns = ["label", "dims", "at", "q", "s", "key", "copies", "raw", "list", "code", "left", "asks"]
+    columns = ["label", "dims", "at", "q", "s", "key", "copies", "raw", "list", "code", "left", "probes", "asks"]
     one = asked.join(sizes, ["label", "dims", "at"]).withColumn("q", pick("q_blocks")).withColumn("s", spread("s_blocks"))
-    one = one.withColumns({"asks": F.lit(True), "code": F.lit(None).cast("binary"), "left": F.lit(0.0)}).select(*columns)
+    one = one.withColumns({"asks": F.lit(True), "code": F.lit(None).cast("binary"), "left": F.lit(0.0), "probes": F.lit(None).cast("array<int>")}).select(*columns)
     two = stored.join(sizes, ["label", "dims", "at"]).withColumn("s", pick("s_blocks")).withColumn("q", spread("q_blocks")).withColumn("asks", F.lit(False)).select(*columns)
     return one.union(two).groupBy("label", "dims", "at", "q", "s").applyInPandas(_linked(indexes, least, reach), "a binary, b binary, n long")

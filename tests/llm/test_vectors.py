@@ -75,3 +75,15 @@ def test_two_lengths(spark, monkeypatch):
         monkeypatch.setattr(quantised, "LENGTHS", indexed)
         got = {x.vec_id: (x.n_links, x.component_id) for x in quantised.near_vectors(frame(spark, rows)).collect()}
         assert got == want
+
+
+def test_differences_along_centroids(spark):
+    r = np.random.default_rng(12)
+    rows = []
+    for i in range(400):  # an arc: the planes between lists cross the only direction in which vectors differ
+        t = r.uniform(-1.2, 1.2)
+        v = r.normal(size=64) * 0.005
+        v[:2] += np.cos(t), np.sin(t)
+        rows.append((i, list(v), 1))
+    got = {x.vec_id: (x.n_links, x.component_id) for x in quantised.near_vectors(frame(spark, rows)).collect()}
+    assert got == brute(rows)
