@@ -81,8 +81,8 @@ def _features(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     keys.append(None), marks.append(None), bands.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            ["doc_id", "n", "cls", "marks", "bands"])
+            [batch.column("doc_id"), batch.column("print"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+            ["doc_id", "print", "n", "cls", "marks", "bands"])
 
 
 @F.pandas_udf(T.IntegerType())
@@ -128,9 +128,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     any, is never kept and links nothing further. Rows that repeat a doc_id are rows of their own and kept alike. Empty
     input gives no rows; further columns of ``docs`` are ignored. Shingles are 64-bit hashes, sets 128-bit keys.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    features = written(docs.mapInArrow(_features, "doc_id long, n long, cls binary, marks binary, bands array<long>"))
-    first = F.min_by(F.struct("n", "marks", "bands"), "doc_id").alias("f")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("print"))
+    features = written(docs.mapInArrow(_features, "doc_id long, print long, n long, cls binary, marks binary, bands array<long>"))
+    first = F.min_by(F.struct("print", "n", "marks", "bands"), F.struct("doc_id", "print")).alias("f")  # a text of the class, also where a doc_id has several
     classes = written(features.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), first).select("cls", "doc_id", "f.*"))
     labels = classes.select("cls", F.col("doc_id").alias("component_id"))
     links = _links(docs, classes, percent)
@@ -172,8 +172,9 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame | Non
     likely = written(_likely(classes, stars.union(every).distinct(), percent))
     large = grouped.where(F.col("size") > SMALL)
     needed = likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).union(large.select("cls")).distinct()
-    needed = written(needed.join(classes.select("cls", "doc_id"), "cls"))
-    texts = written(docs.join(needed.hint("merge"), "doc_id").select("cls", "text"))  # their number grows with the input: one shuffle at every size
+    needed = written(needed.join(classes.select("cls", "doc_id", "print"), "cls"))
+    once = docs.where("doc_id is not null").dropDuplicates(["doc_id", "print"])  # one text a class, however often a row repeats
+    texts = written(once.join(needed.hint("merge"), ["doc_id", "print"]).select("cls", "text"))  # their number grows with the input: one shuffle at every size
     links = written(_confirm(likely, texts, percent))
     if not large.isEmpty():
         links = _rest(large, links, texts, percent)

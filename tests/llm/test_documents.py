@@ -65,6 +65,28 @@ def test_near_duplicates_odd_ids(spark):
     assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted([(5, text), (-1, prose(5, 40))])
 
 
+def test_near_duplicates_two_texts_of_an_id(spark):
+    def copies(words, ids):
+        r = random.Random(6)
+        for i in ids:  # near, but often under the threshold, to each other
+            w = list(words)
+            for k in r.sample(range(80), r.randint(1, 3)):
+                w[k] = f"w{i}x{k}"
+            yield i, " ".join(w), "en", "a"
+
+    small, large = ([prose(k + j, 80).split() for j in range(4)] for k in (20, 30))
+    rows = [(1, " ".join(w), "en", "a") for w in small] + [(2, " ".join(w), "en", "a") for w in large] * 3
+    for j in range(4):
+        rows += [(10 + j, " ".join([*small[j][:40], "changed", *small[j][41:]]), "en", "a"), *copies(large[j], range(100 * (j + 1), 100 * (j + 1) + 60))]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    n = dict(enumerate(t for _, t, *_ in rows))
+    want = plain.near_duplicates(n)
+    lowest = {}
+    for k, (_, c) in want.items():
+        lowest[c] = min(lowest.get(c, 1 << 40), rows[k][0])
+    assert got == {(rows[k][0], m, lowest[c]) for k, (m, c) in want.items()}
+
+
 def test_sketch_estimates():
     r = np.random.default_rng(0)
     for n in (1, 3, 40, 3000):
