@@ -1,12 +1,14 @@
-"""The registered queries op1 to op10 and the pipeline, each over its whole table."""
+"""The registered queries op1 to op13, each over its whole table."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from costproof.llm.byte_bpe import round_trip
 from costproof.llm.factorisation import quality_scores
 from costproof.llm.language import document_languages, page_languages
+from costproof.llm.merkle import every_fifth_lowered, manifest
 from costproof.llm.minhash import near_duplicates
 from costproof.llm.mixing import mix
 from costproof.llm.packing import pack
@@ -16,8 +18,9 @@ from costproof.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from costproof.llm.secrets import secret_scan
 from costproof.llm.shards import write_shards
 from costproof.llm.token_counts import token_counts
+from costproof.llm.whitening import whitened
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 
@@ -105,3 +108,19 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_docs = document_languages(docs, labelled).select(F.col("id").alias("doc_id"), none.alias("page_id"), "lang", "probability", "text_lang")
     of_pages = page_languages(pages, labelled).select(none.alias("doc_id"), F.col("id").alias("page_id"), "lang", "probability", "text_lang")
     return of_docs.union(of_pages)
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitened(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "component", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+@query("op12_byte_bpe")
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+@query("op13_merkle_manifest")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"), every_fifth_lowered())
