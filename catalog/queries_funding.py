@@ -254,7 +254,7 @@ pay as (select project_id, cast(0 as bigint) as k, cast([] as bigint[]) as used,
      from (select y.project_id, m.k, y.used, m.s, list_filter(coalesce(l.ps, []), lambda p: not list_contains(y.used, p.seq) and ({_HIT} or {_NUMBERED})) as cands
        from pay y join members m on m.project_id = y.project_id and m.k = y.k + 1 left join plist l on l.project_id = y.project_id) m)))),
 paid as (select y.project_id, y.invoice_id, y.kind, y.takes, sum(amount) as total, max(payment_date) as paid_date from pay y left join payment_proofs p on p.project_id = y.project_id and list_contains(y.takes, p.proof_seq) where y.k > 0 group by 1, 2, 3, 4),
-results as (select p.project_id, p.invoice_id, s.cumt, s.pct, kind, length(takes) as n, case when kind = 'sum' then coalesce(total, 0) else total end as total, paid_date,
+results as (select p.project_id, p.invoice_id, s.cumt, s.pct, kind, length(takes) as n, array_to_string(list_sort(takes), ',') as used, case when kind = 'sum' then coalesce(total, 0) else total end as total, paid_date,
    kind = 'sum' and (abs(coalesce(total, 0) - s.target) <= 0.05 or abs(coalesce(total, 0) - s.cumt) <= 0.05) as fits from paid p join members m on m.project_id = p.project_id and m.s.id = p.invoice_id)"""
 _WHEN = f"case when paid_date is not null then 'am ' || {duck.de_date('paid_date')} || ' bezahlt' else 'bezahlt (Datum fehlt auf dem Nachweis)' end"
 
@@ -262,12 +262,14 @@ _WHEN = f"case when paid_date is not null then 'am ' || {duck.de_date('paid_date
 @query("reconcile_payments", recursive(sql(f"""
 with {PAYMENTS}
 select project_id, invoice_id, case kind when 'exact' then 'paid' when 'less' then 'paid_skonto' when 'sum' then case when fits then 'paid' else 'amount_mismatch' end when 'tied' then 'amount_mismatch' else 'no_proof' end as status,
-  total as bezahlt, paid_date, case when kind = 'less' then pct end as skonto_pct_taken, n as n_proofs,
+  total as bezahlt, paid_date, case when kind = 'less' then pct end as skonto_pct_taken, n as n_proofs, used,
   case kind when 'exact' then {_WHEN} when 'less' then {_WHEN} || ', ' || {duck.format_de('pct')} || ' % Skonto'
     when 'sum' then 'Σ aus ' || cast(n as varchar) || ' Zahlungen' || case when fits then '' else ' = ' || {duck.format_de('total')} || ' — weicht von Gesamt-Brutto ' || {duck.format_de('cumt')} || ' ab, prüfen' end
     when 'tied' then 'Zahlungsnachweis zur Re-Nr. gefunden, Betrag ' || coalesce({duck.format_de('total')}, '—') || ' weder Brutto noch Skonto-Betrag — prüfen' else 'kein Zahlungsnachweis' end as note from results""", "invoices", "payment_proofs")))
 def reconcile_payments(spark, d):
-    return payments.reconcile_payments(*load(spark, d, "invoices", "payment_proofs"))[0]
+    rows, uses = payments.reconcile_payments(*load(spark, d, "invoices", "payment_proofs"))
+    used = uses.groupBy("project_id", "invoice_id").agg(F.array_join(F.array_sort(F.collect_list("proof_seq")), ",").alias("used"))
+    return rows.join(used, ["project_id", "invoice_id"], "left").withColumn("used", F.coalesce("used", F.lit("")))
 
 
 GROSS = f"""gross as (select f.*, client_basis, n_folded > 0 or (invoice_type = 'schlussrechnung' and cumulative_netto is not null) as cum from fold_result f join funding_meta m on m.project_id = f.project_id),

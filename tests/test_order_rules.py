@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Window, functions as F
 
 from costproof import scale
-from costproof.operators import duplicates, matching, payments
+from costproof.operators import duplicates, matching, payments, rounds
 
 INVOICE = "project_id bigint, invoice_id bigint, seq bigint, vendor_name string, invoice_number string, invoice_date date, netto decimal(18,2)"
 LINE = "invoice_id bigint, pos_seq bigint, line_total_net decimal(18,2)"
@@ -133,3 +133,85 @@ def test_running_last(spark):
     got = scale.running_last(df, ["k"], "i", F.col("m"), "head", bits=4)
     want = df.withColumn("head", F.last(F.when(F.col("m"), F.col("i")), ignorenulls=True).over(Window.partitionBy("k").orderBy("i")))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def _serial_payments(invoices, proofs):
+    """{invoice_id: (kind, used proofs)} by the stated rule, one invoice after the other."""
+    words = lambda name: {w for w in (name or "").lower().split() if w not in ("gmbh", "ag", "kg")}
+    plain = lambda t: "".join(c for c in (t or "").lower() if c.isalnum())
+    used, out = set(), {}
+    for i in sorted(invoices, key=lambda i: (i["project_id"], i["invoice_date"], i["invoice_number"], i["seq"])):
+        number = plain(i["invoice_number"])
+        names = lambda p, n=number: len(n) >= 4 and n in plain(p["verwendungszweck"])
+        left = [p for p in proofs if p["project_id"] == i["project_id"] and (p["project_id"], p["proof_seq"]) not in used and (words(p["payee_name"]) & words(i["vendor_name"]) or names(p))]
+        less = i["skonto_pct"] is not None and i["brutto"] * (100 - i["skonto_pct"]) / 100
+        exact = [p for p in left if p["amount"] is not None and abs(p["amount"] - i["brutto"]) <= Decimal("0.02")]
+        reduced = [p for p in left if i["skonto_pct"] is not None and p["amount"] is not None and abs(p["amount"] - less) <= Decimal("0.05")]
+        tied = [p for p in left if names(p)]
+        takes, kind = (exact[:1] or reduced[:1]), "one"
+        if not takes and i["cumulative_netto"] is not None and len(left) >= 2:
+            takes, kind = left, "sum"
+        takes = takes or tied[:1]
+        used |= {(p["project_id"], p["proof_seq"]) for p in takes}
+        out[i["invoice_id"]] = (kind if takes else "none", sorted(p["proof_seq"] for p in takes))
+    return out
+
+
+def test_payments_in_any_entanglement(spark):
+    rng = random.Random(21)
+    invoices, proofs = [], []
+    for k in range(240):
+        more = {"project_id": 1 + k % 3}
+        if rng.random() < 0.2:
+            more["skonto_pct"] = Decimal(rng.choice(["2.00", "3.00"]))
+        if rng.random() < 0.08:
+            more["cumulative_netto"] = Decimal("400.00")
+        amount = rng.choice(["100.00", "100.01", "100.02", "100.03", "97.00", "97.04", "55.00"])
+        invoices.append(_invoice(k, rng.choice(["Ulmenhof Birkner", "Eschenwald GmbH", "Lindenau Holzmann", "Holzmann KG", "Einsamer"]), f"RE-{rng.randrange(90):04d}", 1 + rng.randrange(28), amount, **more))
+    for k in range(200):
+        text = f"Rechnung RE/{rng.randrange(90):04d} und RE{rng.randrange(90):04d}" if rng.random() < 0.3 else None
+        amount = rng.choice([None, "100.00", "100.01", "100.03", "97.00", "97.02", "98.01", "55.00", "12.00"])
+        proofs.append(_proof(k, rng.choice(["Ulmenhof", "Birkner", "Eschenwald AG", "Lindenau", "Holzmann", None, "Fremdling"]), amount, text) | {"project_id": 1 + k % 3})
+    rows, uses = payments.reconcile_payments(spark.createDataFrame(invoices, INV), spark.createDataFrame(proofs, PROOF))
+    got = {r.invoice_id: ("none", []) for r in rows.collect()}
+    for u in uses.collect():
+        got[u.invoice_id] = (u.kind, sorted([*got[u.invoice_id][1], u.proof_seq]))
+    want = _serial_payments(invoices, proofs)
+    assert got == want and {k for k, _ in want.values()} == {"none", "one", "sum"}
+
+
+def test_alternating_instalments_need_no_more_rounds(spark):
+    """Amounts a cent apart in alternation: as many checkpoints for 200 as for 8."""
+    def checkpoints(n):
+        base = date(2025, 1, 1)
+        invoices = [_invoice(k, "Ulme Bau", f"RE-{k:05d}", 1, ("100.00", "100.01")[k % 2]) | {"invoice_date": base + timedelta(days=k)} for k in range(n)]
+        proofs = [_proof(k, "Ulme", ("100.01", "100.00")[k % 2]) for k in range(n)]
+        made, plain = [0], payments.materialize
+
+        def counted(df):
+            made[0] += 1
+            return plain(df)
+
+        for module in (payments, rounds):
+            module.materialize = counted
+        try:
+            _, uses = payments.reconcile_payments(spark.createDataFrame(invoices, INV), spark.createDataFrame(proofs, PROOF))
+        finally:
+            for module in (payments, rounds):
+                module.materialize = plain
+        assert {(u.invoice_id, u.proof_seq) for u in uses.collect()} == {(k, k) for k in range(n)}
+        return made[0]
+
+    assert checkpoints(8) == checkpoints(200)
+
+
+def test_connected(spark):
+    rng = random.Random(8)
+    edges = [(k, k + 1) for k in range(70)] + [(500, 500 + k) for k in range(1, 40)] + [(900, 900)] + [(rng.randrange(2000, 2200), rng.randrange(2000, 2200)) for _ in range(90)]
+    got = {r.node: r.root for r in rounds.connected(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    parent = {n: n for e in edges for n in e}
+    for _ in parent:
+        for a, b in edges:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    assert got == parent
+    assert rounds.connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
