@@ -16,6 +16,7 @@ import base64
 import functools
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from costproof.llm.bytehash import mix
 
 #: Characters of one batch of texts, and of a text beyond which it is cut; pre-tokens and their bytes that a worker keeps.
-BATCH, KEPT, KEPT_BYTES = 1 << 21, 200_000, 32_000_000
+BATCH, KEPT, KEPT_BYTES = 1 << 21, 600_000, 32_000_000
 _MASK = (1 << 64) - 1
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 
@@ -153,7 +154,7 @@ class Codec:
         self.fresh()
 
     def fresh(self) -> None:
-        self.kept: dict[bytes, list[int]] = {}
+        self.kept: dict[bytes, bytes] = {}
         self.kept_bytes = 0
 
     def __getstate__(self) -> tuple:
@@ -165,10 +166,11 @@ class Codec:
         self.ranks = {token: i for i, token in enumerate(self.tokens)}
         self.fresh()
 
-    def _second_tier(self, piece: bytes) -> list[int]:
+    def _second_tier(self, piece: bytes) -> bytes:
+        """Ids of a pre-token that is no token, four bytes each."""
         ids = self.kept.get(piece)
         if ids is None:
-            ids = merged(piece, self.ranks)
+            ids = array("i", merged(piece, self.ranks)).tobytes()
             if len(self.kept) >= KEPT or self.kept_bytes > KEPT_BYTES:
                 self.fresh()
             if len(piece) <= 256:
@@ -195,12 +197,10 @@ class Codec:
         n, misses = np.ones(len(token), np.int64), np.flatnonzero(token < 0)
         raw = memoryview(values)
         more = [self._second_tier(bytes(raw[a:b])) for a, b in zip(starts[misses].tolist(), starts[misses + 1].tolist(), strict=True)]
-        n[misses] = list(map(len, more))
-        at = np.cumsum(n) - n
-        pool = np.zeros(int(n.sum()), np.int32)
-        pool[at[token >= 0]] = token[token >= 0]
-        for place, ids in zip(at[misses].tolist(), more, strict=True):
-            pool[place : place + len(ids)] = ids
+        n[misses] = np.fromiter(map(len, more), np.int64, len(more)) // 4
+        pool = np.concatenate((token.astype(np.int32), np.frombuffer(b"".join(more), np.int32)))  # a hit's place is its own
+        at = np.arange(len(token))
+        at[misses] = len(token) + np.cumsum(n[misses]) - n[misses]
         codes = coded.indices.to_numpy()
         n, at = n[codes], at[codes]
         ends = np.cumsum(n)

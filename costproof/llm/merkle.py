@@ -48,12 +48,12 @@ def built(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
         nodes = levels[-1].where(F.col("height") > level).select("tree", "idx", "digest", "height", "nodes")
         zero = nodes.where(F.col("idx") % fanout == 0)
         last = F.least(F.lit(fanout - 1), F.col("nodes") - 1 - F.col("idx"))
-        asked = zero.where(last > 0).select("tree", F.col("idx").alias("zero"), F.explode(F.sequence(F.lit(1), last.cast("int"))).alias("slot"))
+        shape = ["tree", "height", "nodes"]
+        asked = zero.where(last > 0).select(*shape, F.col("idx").alias("zero"), F.explode(F.sequence(F.lit(1), last.cast("int"))).alias("slot"))
         siblings = asked.withColumn("idx", F.col("zero") + F.col("slot")).join(nodes.select("tree", "idx", "digest"), ["tree", "idx"])
-        members = siblings.select("tree", "zero", "slot", "digest").union(zero.select("tree", F.col("idx").alias("zero"), F.lit(0), "digest"))
-        runs = members.groupBy("tree", "zero").agg(F.array_sort(F.collect_list(F.struct("slot", "digest")))["digest"].alias("run"))  # at most ``fanout``
-        shape = zero.select("tree", F.col("idx").alias("zero"), "height", "nodes")
-        levels.append(written(runs.join(shape, ["tree", "zero"]).select(
+        members = siblings.select(*shape, "zero", "slot", "digest").union(zero.select(*shape, F.col("idx").alias("zero"), F.lit(0), "digest"))
+        runs = members.groupBy(*shape, "zero").agg(F.array_sort(F.collect_list(F.struct("slot", "digest")))["digest"].alias("run"))  # at most ``fanout``
+        levels.append(written(runs.select(
             "tree", F.floor(F.col("zero") / fanout).alias("idx"), digest(F.array_join("run", "")).alias("digest"), "height",
             F.ceil(F.col("nodes") / fanout).alias("nodes"), "run")))
     return levels
