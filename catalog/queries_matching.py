@@ -8,7 +8,7 @@ from catalog import duck
 from catalog.domain import load, sql
 from catalog.queries_documents import article_sql, desc_sql
 from catalog.registry import query
-from costproof.functions.text import numbers_similar as similar
+from costproof.functions.text import numbers_similar as likeness
 from costproof.functions.vendor import vendor_overlap as overlap, vendor_set
 from costproof.operators import duplicates, matching, positions as pos_ops
 
@@ -185,33 +185,39 @@ def _cover(a: str, b: str) -> str:
 
 
 _CLEAN = " or ".join(f"abs(ip / op - {f}) < 0.01" for f in _FRACTIONS)
-PAIRS = f"""o as (select *, {desc_sql('description')} as otk, {article_sql("coalesce(artikelnummer, '') || ' ' || description")} as oa, line_total_net as op from group_offer_lines where line_total_net is not null and (not optional or line_total_net <> 0)),
-i as (select *, {desc_sql('description')} as itk, {article_sql('description')} as ia, line_total_net as ip from billed),
-pairs as (select i.project_id, i.group_seq, i.invoice_id, i.pos_seq, o.line_seq, round(case when list_has_any(oa, ia) then 0.35 else 0 end, 9) as article,
-   round(case when length(otk) > 0 and length(itk) > 0 then ({_cover('otk', 'itk')} + {_cover('itk', 'otk')}) / 2 * 0.3 else 0 end, 9) as description,
+PAIRS = f"""words_o as materialized (select description as od, {desc_sql('description')} as otk from (select distinct description from group_offer_lines)),
+words_i as materialized (select description as id_, {desc_sql('description')} as itk, {article_sql('description')} as ia from (select distinct description from billed)),
+o as materialized (select g.*, otk, {article_sql("coalesce(artikelnummer, '') || ' ' || description")} as oa, line_total_net as op from group_offer_lines g join words_o on od = description where line_total_net is not null and (not optional or line_total_net <> 0)),
+i as materialized (select b.*, itk, ia, line_total_net as ip from billed b join words_i on id_ = description),
+texts as materialized (select ot, it, round(case when length(ot) > 0 and length(it) > 0 then ({_cover('ot', 'it')} + {_cover('it', 'ot')}) / 2 * 0.3 else 0 end, 9) as likeness
+   from (select distinct otk as ot, itk as it from o join i on i.project_id = o.project_id and i.group_seq = o.group_seq)),
+pairs as (select i.project_id, i.group_seq, i.invoice_id, i.pos_seq, o.line_seq, round(case when list_has_any(oa, ia) then 0.35 else 0 end, 9) as article, likeness as description,
    round(case when op is null or op = 0 then 0 else greatest(case when abs(ip - op) / abs(op) <= 0.5 then 1 - 2 * abs(ip - op) / abs(op) else 0 end, case when ip > 0 and ip < op and ({_CLEAN}) then 0.6 else 0 end) * 0.25 end, 9) as price,
    case when o.qty = i.qty then 0.1 else 0 end as qty
-   from i join o on o.project_id = i.project_id and o.group_seq = i.group_seq),
-scored as (select *, round(article + description + price + qty, 9) as score from pairs)"""
+   from i join o on o.project_id = i.project_id and o.group_seq = i.group_seq join texts on ot = otk and it = itk),
+scored as materialized (select *, round(article + description + price + qty, 9) as score from pairs)"""
 ALL_BILLED = "billed as (select * from group_invoice_lines)"
 
 
 @query("score_positions", sql(f"""
-with {ALL_BILLED}, {PAIRS} select project_id, group_seq, invoice_id, pos_seq, max(round(score, 6)) as score from scored where article > 0 or description > 0 group by 1, 2, 3, 4""", "group_offer_lines", "group_invoice_lines"))
+with {ALL_BILLED}, {PAIRS}, firsts as (select project_id, group_seq, line_seq from o qualify line_seq = min(line_seq) over (partition by project_id, group_seq, list_sort(oa), otk, op, qty))
+select s.project_id, s.group_seq, s.invoice_id, s.pos_seq, s.line_seq, round(article::double, 6) as article, round(description::double, 6) as description, round(price::double, 6) as price, round(qty::double, 6) as qty, round(score::double, 6) as score
+from scored s join firsts f on f.project_id = s.project_id and f.group_seq = s.group_seq and f.line_seq = s.line_seq where article > 0 or description > 0""", "group_offer_lines", "group_invoice_lines"))
 def score_positions(spark, d):
+    """All pairs with a common article or word; equal offer lines are one, the first."""
     offers, billed = load(spark, d, "group_offer_lines", "group_invoice_lines")
-    best = pos_ops.score_positions(offers, billed).groupBy("project_id", "group_seq", "shape").agg(F.max(F.round("score", 6)).alias("score"))
     shapes = pos_ops._shapes(offers, billed)[1].select("project_id", "group_seq", "invoice_id", "pos_seq", "shape")
-    return shapes.join(best, ["project_id", "group_seq", "shape"]).drop("shape").withColumn("score", F.col("score").cast("double"))
+    pairs = shapes.join(pos_ops.score_positions(offers, billed), ["project_id", "group_seq", "shape"]).drop("shape")
+    return pairs.select("project_id", "group_seq", "invoice_id", "pos_seq", "line_seq", *[F.round(c, 6).cast("double").alias(c) for c in ("article", "description", "price", "qty", "score")])
 
 
 BEST = """best as (select * from scored where score >= 0.4 qualify row_number() over (partition by project_id, group_seq, invoice_id, pos_seq order by score desc, line_seq) = 1)"""
 
 
 @query("propose_matches", sql(f"""
-with {ALL_BILLED}, {PAIRS}, top as (select * from scored where article > 0 or description > 0 qualify row_number() over (partition by project_id, group_seq, invoice_id, pos_seq order by score desc, line_seq) = 1)
+with {ALL_BILLED}, {PAIRS}, top as (select * from scored qualify row_number() over (partition by project_id, group_seq, invoice_id, pos_seq order by score desc, line_seq) = 1)
 select b.project_id, b.group_seq, b.invoice_id, b.pos_seq, case when score >= 0.4 then line_seq end as line_seq, case when score >= 0.55 then 'high' when score >= 0.4 then 'medium' else 'none' end as confidence,
-  round(score::double, 6) as score, round(article::double, 6) as article, round(t.description::double, 6) as description, round(price::double, 6) as price, round(t.qty::double, 6) as qty
+  round(coalesce(score, 0)::double, 6) as score, round(article::double, 6) as article, round(t.description::double, 6) as description, round(price::double, 6) as price, round(t.qty::double, 6) as qty
 from billed b left join top t on t.project_id = b.project_id and t.group_seq = b.group_seq and t.invoice_id = b.invoice_id and t.pos_seq = b.pos_seq""", "group_offer_lines", "group_invoice_lines"))
 def propose_matches(spark, d):
     df = pos_ops.propose_matches(*load(spark, d, "group_offer_lines", "group_invoice_lines"))

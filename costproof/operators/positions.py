@@ -13,6 +13,7 @@ from costproof import fixed_values as fx
 from costproof.functions.german import format_de
 from costproof.functions.text import article_numbers, desc_tokens
 from costproof.operators.classify import is_deduction_line
+from costproof.scale import order_index, running_last
 from costproof.session import materialize
 
 GROUP = ["project_id", "group_seq"]
@@ -83,21 +84,68 @@ def _shapes(offer_lines: DataFrame, invoice_lines: DataFrame) -> tuple[DataFrame
 
 def _related_words(offers: DataFrame, billed: DataFrame) -> DataFrame:
     """(offer word, invoice word): equal, or one inside the other from four characters. Works on
-    the distinct words of the tables; the longer word emits its parts as join keys."""
+    the distinct words of the tables."""
     def words(df: DataFrame, column: str, name: str) -> DataFrame:
         return df.select(F.explode(column).alias(name)).distinct()
 
-    def parts(col: str) -> Column:
-        sizes = F.sequence(F.lit(4), F.greatest(F.length(col), F.lit(4)))
-        def cut(n: Column) -> Column:
-            last = F.length(col) - n + 1
-            return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col(col), i, n))).otherwise(F.array(F.col(col)))
-        return F.array_distinct(F.flatten(F.transform(sizes, cut)))
-
     left, right = words(offers, "o_tokens", "o_word"), words(billed, "i_tokens", "i_word")
-    in_offer = left.withColumn("i_word", F.explode(parts("o_word"))).join(right, "i_word").select("o_word", "i_word")
-    in_invoice = right.withColumn("o_word", F.explode(parts("i_word"))).join(left, "o_word").select("o_word", "i_word")
-    return in_offer.unionByName(in_invoice).distinct()
+    same = left.select("o_word", F.col("o_word").alias("i_word")).join(right, "i_word").select("o_word", "i_word")
+    in_offer, in_invoice = _held_words(right, "i_word", left, "o_word"), _held_words(left, "o_word", right, "i_word")
+    return same.union(in_offer.select("o_word", "i_word")).union(in_invoice.select("o_word", "i_word"))
+
+
+def _held_words(short: DataFrame, inner: str, long: DataFrame, outer: str) -> DataFrame:
+    """Pairs of different words of which the inner one stands in the outer one: they meet at the inner word's rarest four
+    letters, so a word costs as many keys as it has letters."""
+    def grams(word: str) -> Column:
+        return F.explode(F.array_distinct(F.regexp_extract_all(word, F.lit("(?s)(?=(.{4}))"), F.lit(1)))).alias("gram")
+
+    held = long.where(F.length(outer) > 4).select(outer, grams(outer))
+    often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    anchors = short.where(F.length(inner) >= 4).select(inner, grams(inner)).join(often, "gram", "left").groupBy(inner).agg(
+        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return held.join(anchors, "gram").where((F.length(outer) > F.length(inner)) & F.contains(outer, inner)).select(inner, outer)
+
+
+def _price_and_quantity(offers: DataFrame, shapes: DataFrame) -> DataFrame:
+    """For each distinct (group, i_price, i_qty): offer lines among which is the one of the largest price and quantity signal.
+
+    Of all prices only few can be the closest: the next one below, the next one above, and for every clean fraction the first above
+    the price that the fraction at its upper edge would give. Sorted runs of offer prices and of these thresholds find
+    them for the whole group and for the lines of equal quantity, without a pair of lines.
+    """
+    quantity = lambda c: F.col(c).cast("decimal(24,6)").cast("string")
+    everyone = F.lit("*")
+    lanes = lambda c: F.explode(F.array_compact(F.array(everyone, quantity(c)))).alias("lane")
+    key = [*GROUP, "lane", "sign"]
+    at = lambda c: (F.signum(F.col(c).cast("double")).cast("int").alias("sign"), F.abs(c).cast("decimal(38,12)").alias("at"))
+    points = offers.where("o_price <> 0").select(*GROUP, lanes("o_qty"), *at("o_price"), "o_price", "line_seq")
+    points = points.groupBy(*key, "at", "o_price").agg(F.min("line_seq").alias("line_seq"))
+    asked = shapes.select(*GROUP, "i_price", lanes("i_qty")).distinct()
+    priced = asked.where("i_price <> 0").select(*GROUP, "lane", "i_price", *at("i_price"))
+    edges = [F.when(F.col("sign") > 0, (F.col("at") / (F.lit(f).cast("decimal(20,12)") + F.lit("0.01").cast("decimal(3,2)"))).cast("decimal(38,12)")) for f in fx.CLEAN_FRACTIONS]
+    below = priced.withColumn("above", F.lit(False))
+    above = priced.withColumn("at", F.explode(F.array_compact(F.array("at", *edges)))).withColumn("above", F.lit(True))
+    no = F.lit(None)
+    stock = points.select(*key, "at", no.cast("decimal(18,2)").alias("i_price"), "o_price", "line_seq")
+    found = []
+    for queries, forward in ((below, True), (above, False)):
+        mixed = stock.union(queries.select(*key, "at", "i_price", no.cast("decimal(18,2)").alias("o_price"), no.cast("bigint").alias("line_seq")))
+        order = [F.col("at"), F.col("i_price").isNotNull()] if forward else [F.col("at").desc(), F.col("i_price").isNull()]
+        runs = order_index(mixed, [*key, *order, "i_price"])
+        last = running_last(runs, key, "ord", F.col("i_price").isNull(), "hit").where(F.col("i_price").isNotNull() & F.col("hit").isNotNull())
+        hits = runs.where(F.col("i_price").isNull()).select(F.col("ord").alias("hit"), "o_price", "line_seq")
+        found.append(last.select(*GROUP, "lane", "i_price", "hit").join(hits, "hit").select(*GROUP, "lane", "i_price", "line_seq", price_proximity(F.col("o_price"), F.col("i_price")).alias("price")))
+    first = offers.select(*GROUP, lanes("o_qty"), "line_seq").groupBy(*GROUP, "lane").agg(F.min("line_seq").alias("line_seq"))
+    found.append(asked.join(first, [*GROUP, "lane"]).select(*GROUP, "lane", "i_price", "line_seq", F.lit(0).cast("decimal(20,12)").alias("price")))
+    best = found[0].union(found[1]).union(found[2]).groupBy(*GROUP, "lane", "i_price").agg(F.max(F.struct("price", (-F.col("line_seq")).alias("neg"))).alias("b"))
+    keyed = shapes.select(*GROUP, "shape", "i_price", lanes("i_qty")).withColumn("_p", F.coalesce(F.col("i_price").cast("string"), F.lit("")))
+    best = best.withColumn("_p", F.coalesce(F.col("i_price").cast("string"), F.lit(""))).drop("i_price")
+    none = F.lit(0).cast("decimal(12,9)")
+    return keyed.join(best, [*GROUP, "lane", "_p"]).select(
+        *GROUP, (-F.col("b.neg")).alias("line_seq"), "shape", none.alias("article"), none.alias("description"),
+        F.round(F.col("b.price") * _w(fx.WEIGHT_PRICE), 9).cast("decimal(12,9)").alias("price"),
+        F.when(F.col("lane") == everyone, none).otherwise(_w(fx.WEIGHT_QTY).cast("decimal(12,9)")).alias("qty"))
 
 
 def score_positions(offer_lines: DataFrame, invoice_lines: DataFrame) -> DataFrame:
@@ -107,7 +155,10 @@ def score_positions(offer_lines: DataFrame, invoice_lines: DataFrame) -> DataFra
     (0.40), so candidates come from shared articles and related words only.
     """
     offers, billed = _shapes(offer_lines, invoice_lines)
-    shapes = billed.select(*GROUP, "shape", "i_articles", "i_tokens", "i_price", "i_qty").distinct()
+    return _scored(offers, billed.select(*GROUP, "shape", "i_articles", "i_tokens", "i_price", "i_qty").distinct())
+
+
+def _scored(offers: DataFrame, shapes: DataFrame) -> DataFrame:
     keyed_offers = offers.select(*GROUP, "line_seq", F.explode("o_tokens").alias("o_word"))
     keyed_shapes = shapes.select(*GROUP, "shape", F.explode("i_tokens").alias("i_word"))
     by_word = (
@@ -126,16 +177,24 @@ def score_positions(offer_lines: DataFrame, invoice_lines: DataFrame) -> DataFra
         "qty": F.when(F.col("o_qty") == F.col("i_qty"), F.lit(1)).otherwise(F.lit(0)).cast("decimal(20,12)") * _w(fx.WEIGHT_QTY),
     }
     scored = joined.select(*GROUP, "line_seq", "shape", *[F.round(s, 9).cast("decimal(12,9)").alias(n) for n, s in signals.items()])
-    total = (F.col("article") + F.col("description") + F.col("price") + F.col("qty")).cast("decimal(12,9)")
-    return scored.withColumn("score", total)
+    return scored.withColumn("score", _total())
+
+
+def _total() -> Column:
+    return (F.col("article") + F.col("description") + F.col("price") + F.col("qty")).cast("decimal(12,9)")
 
 
 def propose_matches(offer_lines: DataFrame, invoice_lines: DataFrame) -> DataFrame:
     """Best offer line per invoice line, first on ties: high from 0.55, medium from 0.40, else
-    none. Several invoice lines may share an offer line. A line of confidence none keeps score and signals of its best
-    candidate, if it has one."""
-    _, billed = _shapes(offer_lines, invoice_lines)
-    best = score_positions(offer_lines, invoice_lines).groupBy(*GROUP, "shape").agg(
+    none. Several invoice lines may share an offer line. A line of confidence none keeps score and signals of the best
+    of all offer lines; without any it has score 0 and no signals. Of two candidates of one price signal the one of the nearer
+    price below stands for it."""
+    offers, billed = _shapes(offer_lines, invoice_lines)
+    offers, billed = materialize(offers), materialize(billed)
+    shapes = billed.select(*GROUP, "shape", "i_articles", "i_tokens", "i_price", "i_qty").distinct()
+    worded = _scored(offers, shapes)
+    others = _price_and_quantity(offers, shapes).withColumn("score", _total())
+    best = worded.unionByName(others).groupBy(*GROUP, "shape").agg(
         F.max(F.struct("score", (-F.col("line_seq")).alias("neg"), *_SIGNALS)).alias("b"))
     hit = F.col("b.score") >= F.lit(fx.MEDIUM_THRESHOLD).cast("decimal(12,9)")
     proposals = best.select(
@@ -143,7 +202,8 @@ def propose_matches(offer_lines: DataFrame, invoice_lines: DataFrame) -> DataFra
         F.when(F.col("b.score") >= F.lit(fx.HIGH_THRESHOLD).cast("decimal(12,9)"), "high").when(hit, "medium").alias("confidence"),
         F.struct(*[F.col(f"b.{s}").alias(s) for s in _SIGNALS]).alias("signals"))
     lines = billed.select(*GROUP, "invoice_id", "pos_seq", "shape")
-    return lines.join(proposals, [*GROUP, "shape"], "left").drop("shape").withColumn("confidence", F.coalesce("confidence", F.lit("none")))
+    return lines.join(proposals, [*GROUP, "shape"], "left").drop("shape").withColumns({
+        "confidence": F.coalesce("confidence", F.lit("none")), "score": F.coalesce("score", F.lit(0).cast("decimal(12,9)"))})
 
 
 def allocate_lump_sums(offer_lines: DataFrame, invoice_lines: DataFrame, groups: DataFrame) -> DataFrame:
