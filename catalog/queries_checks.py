@@ -144,43 +144,44 @@ _EN = "['january','february','march','april','may','june','july','august','septe
 _DE = "['januar','februar','märz','april','mai','juni','juli','august','september','oktober','november','dezember']"
 
 
-def in_quote_sql(kind: str, value: str, quote: str) -> str:
-    q, qd = duck.loose(quote), duck.digits(quote)
-    day = f"try_cast({value} as date)"
+def in_quote_sql(source: str) -> str:
+    """``source`` (kind, value, quote and more) with in_quote; normal forms are computed once per row."""
+    day = "day_"
     d, m, y = f"cast(extract(day from {day}) as varchar)", f"cast(extract(month from {day}) as varchar)", f"cast(extract(year from {day}) as varchar)"
     de, en = f"{_DE}[extract(month from {day})]", f"{_EN}[extract(month from {day})]"
     spell = [f"strftime({day}, '{f}')" for f in ("%d %m %Y", "%d %m %y", "%Y %m %d", "%Y%m%d")]
     spell += [f"{d} || ' ' || {m} || ' ' || {y}", f"{d} || ' ' || {de} || ' ' || {y}", f"{en} || ' ' || {d} || ' ' || {y}", f"{d} || ' ' || {en} || ' ' || {y}"]
     spell += [f"{en} || ' ' || {d} || '{s} ' || {y}" for s in ("th", "st", "nd", "rd")]
-    dated = " or ".join(f"contains({q}, {s})" for s in spell) + f" or contains({qd}, strftime({day}, '%d%m%Y'))"
-    amt = f"try_cast({value} as decimal(18,2))"
-    counted = f"contains({qd}, {duck.digits(f'cast(abs({amt}) as varchar)')}) or ({amt} = round({amt}, 0) and contains({qd}, cast(cast(abs({amt}) as decimal(18,0)) as varchar)))"
-    words = f"list_filter(string_split({duck.loose(value)}, ' '), lambda w: length(w) > 2)"
-    share = f"length(list_filter({words}, lambda w: contains({q}, w))) / nullif(length({words}), 0) >= 0.5"
-    worded = f"{duck.loose(value)} <> '' and (contains({q}, {duck.loose(value)}) or (length({duck.digits(value)}) >= 5 and contains({qd}, {duck.digits(value)})) or coalesce({share}, false))"
-    return f"coalesce(case when {kind} = 'date' then {dated} when {kind} = 'amount' then {counted} else {worded} end, false)"
-
-
-def located_sql(fields: str, pages: str, key: str = "doc_id", page_key: str = "doc_id") -> str:
-    words = "list_filter(string_split(lq, ' '), lambda w: length(w) > 1)"
-    return f"""(select f.doc_id, f.field, min_by(page_no, tier * 100000 + page_no) as page from
+    dated = " or ".join(f"contains(q_, {s})" for s in spell) + f" or contains(qd_, strftime({day}, '%d%m%Y'))"
+    counted = f"contains(qd_, {duck.digits('cast(abs(amt_) as varchar)')}) or (amt_ = round(amt_, 0) and contains(qd_, cast(cast(abs(amt_) as decimal(18,0)) as varchar)))"
+    share = "length(list_filter(words_, lambda w: contains(q_, w))) / nullif(length(words_), 0) >= 0.5"
+    worded = f"v_ <> '' and (contains(q_, v_) or (length(vd_) >= 5 and contains(qd_, vd_)) or coalesce({share}, false))"
+    return f"""(select * exclude (q_, qd_, v_, vd_, words_, day_, amt_), coalesce(case when kind = 'date' then {dated} when kind = 'amount' then {counted} else {worded} end, false) as in_quote
+      from (with n as materialized (select *, {duck.loose('quote')} as q_, {duck.digits('quote')} as qd_, {duck.loose('value')} as v_, {duck.digits('value')} as vd_,
+         list_filter(string_split({duck.loose('value')}, ' '), lambda w: length(w) > 2) as words_, case when kind = 'date' then try_cast(value as date) end as day_, case when kind = 'amount' then try_cast(value as decimal(18,2)) end as amt_ from {source}) select * from n))"""
+
+
+def located_sql(fields: str, pages: str, page_key: str = "doc_id") -> str:
+    return f"""(with q as materialized (select *, list_filter(string_split(lq, ' '), lambda w: length(w) > 1) as ws from (select doc_id, field, {duck.loose('quote')} as lq, {duck.digits('quote')} as qd from {fields}) where lq <> ''),
+      p as materialized (select {page_key} as pdoc, page_no, {duck.loose('text')} as lp, {duck.digits('text')} as pd from {pages})
+      select f.doc_id, f.field, min_by(page_no, tier * 100000 + page_no) as page from
       (select *, case when contains(lp, lq) then 1 when length(qd) >= 6 and contains(pd, qd) then 2
-          when length({words}) >= 3 and length(list_filter({words}, lambda w: contains(lp, w))) / length({words}) >= 0.8 then 3 end as tier
-       from (select doc_id, field, {duck.loose('quote')} as lq, {duck.digits('quote')} as qd from {fields} where {duck.loose('quote')} <> '') q
-       join (select {page_key} as pdoc, page_no, {duck.loose('text')} as lp, {duck.digits('text')} as pd from {pages}) p on pdoc = q.doc_id) f
+          when length(ws) >= 3 and length(list_filter(ws, lambda w: contains(lp, w))) / length(ws) >= 0.8 then 3 end as tier
+       from q join p on pdoc = q.doc_id) f
       where tier is not null group by 1, 2)"""
 
 
 def status_sql(method: str) -> str:
     return f"""case when {method} like 'zugferd%' then 'xml' when value is null then 'absent' when not coalesce(readable, false) then 'unverifiable-scan'
-      when coalesce(trim(quote), '') = '' then 'unquoted' when page is null then 'quote-not-found' when not {in_quote_sql('kind', 'value', 'quote')} then 'value-not-in-quote' else 'verified' end"""
+      when coalesce(trim(quote), '') = '' then 'unquoted' when page is null then 'quote-not-found' when not in_quote then 'value-not-in-quote' else 'verified' end"""
 
 
 EVIDENCE = f"""readable as (select doc_id as rdoc, bool_or(length(trim(text)) > 0) as readable from invoice_pages group by 1),
-located as {located_sql('evidence_fields', 'invoice_pages')},
-evidence as (select doc_id, field, kind, value, status, case when status in ('verified','value-not-in-quote','quote-not-found','unverifiable-scan') then quote end as quote,
+located as materialized {located_sql('evidence_fields', 'invoice_pages')},
+quoted as materialized {in_quote_sql('evidence_fields')},
+evidence as materialized (select doc_id, field, kind, value, status, case when status in ('verified','value-not-in-quote','quote-not-found','unverifiable-scan') then quote end as quote,
    case when status in ('verified','value-not-in-quote') then page end as page
- from (select e.doc_id, e.field, kind, value, quote, page, {status_sql('extraction_method')} as status from evidence_fields e join invoices i on i.invoice_id = e.doc_id
+ from (select e.doc_id, e.field, kind, value, quote, page, {status_sql('extraction_method')} as status from quoted e join invoices i on i.invoice_id = e.doc_id
    left join readable on rdoc = e.doc_id left join located l on l.doc_id = e.doc_id and l.field = e.field))"""
 EVIDENCE_TABLES = ("evidence_fields", "invoice_pages", "invoices")
 
@@ -205,7 +206,8 @@ asked_fields as (select doc_id, field, q2 as quote from asked),
 found as {located_sql('asked_fields', 'invoice_pages')},
 judged as (select a.*, page as p2, case when kind = 'date' then cast(try_cast(left(raw, 10) as date) as varchar) when kind = 'amount' then cast(try_cast(raw as decimal(18,2)) as varchar) else raw end as v
   from asked a left join found f on f.doc_id = a.doc_id and f.field = a.field),
-final as (select *, basis = 'absent' or coalesce(q2, '') = '' as silent, coalesce(v is not null and p2 is not null and {in_quote_sql('kind', 'v', 'q2')}, false) as proven from judged)
+again as (select doc_id, field, in_quote from {in_quote_sql('(select doc_id, field, kind, v as value, q2 as quote from judged)')}),
+final as (select j.*, basis = 'absent' or coalesce(q2, '') = '' as silent, coalesce(v is not null and p2 is not null and in_quote, false) as proven from judged j join again a on a.doc_id = j.doc_id and a.field = j.field)
 select doc_id, field, case when proven and not silent then v else value end as value, case when proven and not silent then 'verified' else 'unresolved' end as status,
   case when silent then quote else q2 end as quote, case when not silent then p2 end as page,
   case when silent then 'Prüfschritt: nicht bestätigt' when not proven then 'Prüfschritt: Zitat/Wert nicht belegt' when value <> v then 'Prüfschritt: korrigiert (vorher ' || value || ')' else 'Prüfschritt: bestätigt' end as note from final
@@ -242,16 +244,23 @@ def describe_evidence(spark, d):
 
 
 @query("letter_evidence", sql(f"""
-with fields as (select letter_id as doc_id, 'bescheid_datum' as field, 'date' as kind, cast(bescheid_datum as varchar) as value, bescheid_datum_quote as quote from approval_letters
-  union all select letter_id, 'antrag_datum', 'date', cast(antrag_datum as varchar), antrag_datum_quote from approval_letters
-  union all select letter_id, 'kennung', 'text', kennung, kennung_quote from approval_letters
-  union all select letter_id, 'foerderbetrag', 'amount', cast(foerderbetrag as varchar), foerderbetrag_quote from approval_letters),
-located as {located_sql('fields', 'letter_pages', page_key='letter_id')}
-select doc_id, field, status, case when status in ('verified','value-not-in-quote') then page end as page
-from (select f.*, page, true as readable, {status_sql("''").replace('readable', 'true')} as status from fields f left join located l on l.doc_id = f.doc_id and l.field = f.field)""", "approval_letters", "letter_pages"))
+with quoted_letters as (select *, case when letter_id % 7 = 3 then 'Kennung: ' || min(kennung) over (partition by project_id) else kennung_quote end as kq from approval_letters),
+fields as materialized (select project_id as doc_id, letter_id || ':bescheid_datum' as field, 'date' as kind, cast(bescheid_datum as varchar) as value, bescheid_datum_quote as quote from quoted_letters
+  union all select project_id, letter_id || ':antrag_datum', 'date', cast(antrag_datum as varchar), antrag_datum_quote from quoted_letters
+  union all select project_id, letter_id || ':kennung', 'text', kennung, kq from quoted_letters
+  union all select project_id, letter_id || ':foerderbetrag', 'amount', cast(foerderbetrag as varchar), foerderbetrag_quote from quoted_letters),
+all_pages as materialized (select project_id as doc_id, p.letter_id, row_number() over (partition by project_id order by p.letter_id, page_no) as page_no, text from letter_pages p join approval_letters l on l.letter_id = p.letter_id),
+located as materialized {located_sql('fields', 'all_pages')}
+select r.doc_id as project_id, cast(split_part(field, ':', 1) as bigint) as letter_id, split_part(field, ':', 2) as field, status, case when status in ('verified','value-not-in-quote') then page end as page, case when status in ('verified','value-not-in-quote') then a.letter_id end as found_in
+from (select f.*, page, {status_sql("''").replace("coalesce(readable, false)", "true")} as status from {in_quote_sql('fields')} f left join located l on l.doc_id = f.doc_id and l.field = f.field) r
+left join all_pages a on a.doc_id = r.doc_id and a.page_no = r.page""", "approval_letters", "letter_pages"))
 def letter_evidence(spark, d):
+    """Every seventh letter quotes the file number of the project's first one, which stands in another letter only."""
     letters, pages = load(spark, d, "approval_letters", "letter_pages")
-    return evidence.letter_evidence(letters, pages.withColumnRenamed("letter_id", "doc_id")).select("doc_id", "field", "status", "page")
+    first = letters.groupBy("project_id").agg(F.min("kennung").alias("_first"))
+    quoted = letters.join(first, "project_id").withColumn("kennung_quote", F.when(F.col("letter_id") % 7 == 3, F.concat(F.lit("Kennung: "), "_first")).otherwise(F.col("kennung_quote")))
+    found = evidence.letter_evidence(quoted, pages.join(letters.select("letter_id", "project_id"), "letter_id"))
+    return found.select("project_id", "letter_id", "field", "status", "page", "found_in")
 
 
 # --- offers -------------------------------------------------------------------------------

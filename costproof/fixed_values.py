@@ -136,3 +136,16 @@ EARTH_RADIUS_KM = 6371.0
 # Login throttling and run history.
 MAX_ATTEMPTS, WINDOW_SECONDS, LOCKOUT_SECONDS = 5, 300, 900
 LIVE_LOG_LIMIT, LIVE_LOG_DROP, RETAIN_RUNS = 500, 100, 100
+
+# What file names keep of a field. Patterns and their replacements, in order.
+FILE_NAME_RULES = [(r'[\\/:*?"<>|\x00-\x1f]', "-"), (r"(?U)\s+", " ")]
+FILE_NAME_EDGE, FILE_NAME_PART = " .-_", 60
+FILE_VENDOR_RULES = [(LEGAL_FORMS, " "), (r"(?U)(?<!\w)(\w)\s*&\s*(\w)(?!\w)", "$1&$2"), (r"(?U)\s*&[\s.]*$", " "), (r"(?U)\s*&\s*\.", " ")]
+FILE_NUMBER_RULES = [(r"(?U)\s+", "")]
+
+# Sizes of companies as a stated size begins, and the word for them.
+SIZE_WORDS = {"klein": "kleines", "mittel": "mittleres", "mittler": "mittleres", "groß": "großes", "gross": "großes"}
+
+# Letters and their other spelling in names; what may stand between the words of a name.
+SPELLINGS = {"ä": "ae", "ö": "oe", "ü": "ue", "Ä": "ae", "Ö": "oe", "Ü": "ue", "ß": "ss"}
+NAME_SEPARATORS = r"[\s\-–,.]"
