@@ -1,34 +1,24 @@
 """Word and shingle hashes of many texts at once, as numpy operations over their UTF-8 bytes.
 
-A word's hash is a polynomial over a random table of its bytes. Running sums over fixed blocks give it for all words of a
-batch without a Python step per word, and hold a few multiples of one block in memory however long a text is.
+A word is read eight bytes at a time, each step a bijection of the state, so words of up to eight bytes and one length never
+share a hash; words of more than ``CHAINED`` bytes are hashed by blake2b. There is no Python step per word but for those.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK, CHAINED = 1 << 20, 24
 _MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[0x20] = True
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = _BYTES.copy()
-_LOWER[ord("A") : ord("Z") + 1] = _LOWER[ord("a") : ord("z") + 1]
-_POWERS: list[np.ndarray] = []
-
-
-def _powers() -> list[np.ndarray]:
-    if not _POWERS:
-        for base in (_BASE, _INVERSE):
-            p = np.full(BLOCK + 1, base, np.uint64)
-            p[0] = 1
-            _POWERS.append(np.cumprod(p))
-    return _POWERS
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -39,49 +29,67 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def runs(texts: list[bytes], table: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(data: np.ndarray) -> np.ndarray:
+    """A view of the eight bytes from each place on; ``data`` ends in eight bytes of padding."""
+    return np.lib.stride_tricks.sliding_window_view(data, 8)
+
+
+def chunk(view: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The next ``left`` bytes at places, eight at most, as numbers."""
+    return np.ascontiguousarray(view[at]).view(np.uint64).ravel() & _MASKS[np.minimum(left, 8)]
+
+
+def same(view: np.ndarray, at: np.ndarray, other: np.ndarray, other_at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the bytes at two places are equal, for many pairs of places."""
+    out, open_, k = np.ones(len(at), bool), np.arange(len(at)), 0
+    while len(open_):
+        equal = chunk(view, at[open_] + k, length[open_] - k) == chunk(other, other_at[open_] + k, length[open_] - k)
+        out[open_[~equal]] = False
+        k += 8
+        open_ = open_[equal]
+        open_ = open_[length[open_] > k]
+    return out
+
+
+def runs(texts: list[bytes], between: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of bytes that ``between`` does not mark: (hashes, starts, ends, first run of each text and, last, their number, bytes).
 
-    Starts and ends are places in the last array, which holds all texts with a blank behind each.
+    Starts and ends are places in the last array, which holds all texts with a blank behind each, and padding.
     """
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8) if texts else np.zeros(0, np.uint8)
-    powers, inverses = _powers()
-    starts, ends, at_start, inverse, at_end = [], [], [], [], []
-    total, was_space = 0, True
-    for o in range(0, len(buffer), BLOCK):
-        part = buffer[o : o + BLOCK]
-        n, space = len(part), between[part]
-        before = np.concatenate(([was_space], space[:-1]))
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(table[part] * powers[:n], out=sums[1:])
-        scale, back = np.uint64(pow(_BASE, o, 1 << 64)), np.uint64(pow(_INVERSE, o, 1 << 64))
-        sums = sums * scale + np.uint64(total)
-        first, end = np.flatnonzero(before & ~space), np.flatnonzero(~before & space)
-        starts.append(first + o)
-        ends.append(end + o)
-        at_start.append(sums[first])
-        inverse.append(inverses[first] * back)
-        at_end.append(sums[end])
-        total, was_space = int(sums[-1]), bool(space[-1])
-    if not starts:
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, np.zeros(len(texts) + 1, np.int64), buffer
-    hashes = mix((np.concatenate(at_end) - np.concatenate(at_start)) * np.concatenate(inverse))
-    begin = np.concatenate(starts)
-    return hashes, begin, np.concatenate(ends), np.concatenate(([0], np.searchsorted(begin, np.cumsum(lengths)))), buffer
+    joined = b" ".join(texts) + b" " if texts else b""
+    buffer = np.frombuffer(joined + bytes(8), np.uint8)
+    if lower:
+        buffer = _LOWER[buffer]
+    space = between[buffer[: len(joined)]]
+    before = np.concatenate(([True], space[:-1])) if len(space) else space
+    starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(~before & space)
+    return hashed(buffer, starts, ends), starts, ends, np.concatenate(([0], np.searchsorted(starts, np.cumsum(lengths)))), buffer
+
+
+def hashed(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of many stretches of a padded buffer."""
+    view, length = windows(buffer), ends - starts
+    hashes = mix(length.astype(np.uint64), 5)
+    open_, k = np.arange(len(starts)), 0
+    while len(open_):
+        hashes[open_] = mix(hashes[open_] ^ chunk(view, starts[open_] + k, length[open_] - k), k)
+        k += 8
+        open_ = open_[length[open_] > k] if k < CHAINED else open_[:0]
+    for i in np.flatnonzero(length > CHAINED).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(buffer[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return hashes
 
 
 def words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, first word of each text and, last, the number of words)."""
-    found = runs(texts, _LOWER if lower else _BYTES, _SPACE)
+    found = runs(texts, _SPACE, lower)
     return found[0], found[3]
 
 
 def between_blanks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``runs`` between blanks alone: other white space belongs to them."""
-    return runs(texts, _BYTES, _BLANK)
+    return runs(texts, _BLANK)
 
 
 def shingles(texts: list[bytes], k: int = 5, lower: bool = True) -> list[np.ndarray]:

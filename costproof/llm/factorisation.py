@@ -5,7 +5,7 @@ length, then shares and means of its structure, then its declared length. The sc
 bias, linear weights and low-rank pairwise interactions, in linear time: the pairs' sum is half the difference of
 (sum v x)^2 and sum (v x)^2 for each of ``RANK`` factors.
 
-Weights are fitted by AdaGrad on at most ``TRAIN`` labelled rows, those of the smallest id hash, whose features are gathered; scoring runs
+Weights are fitted by AdaGrad on at most ``TRAIN`` labelled rows and ``TRAIN_BYTES`` bytes, those of the smallest id hash, whose features are gathered; scoring runs
 where the documents are, with the weights (a fixed number) broadcast.
 """
 
@@ -15,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from costproof.llm.bytehash import batches, words
 
-BITS, RANK, TRAIN, EPOCHS, BATCH, RATE, DECAY = 15, 8, 12_000, 6, 128, 0.08, 1e-4
+BITS, RANK, TRAIN, TRAIN_BYTES, EPOCHS, BATCH, RATE, DECAY = 15, 8, 12_000, 64 << 20, 6, 128, 0.08, 1e-4
 WORDS = 1 << BITS
 STRUCTURE = ["log_words", "word_bytes", "symbols", "exclaims", "capitals", "digits", "words_per_line", "distinct", "repeats", "other_bytes", "bars"]
 META = ["log_chars", "chars_missing"]
@@ -105,10 +105,19 @@ def _sparse(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN) -> dict:
-    """Weights from documents (doc_id, text, n_chars) and labels (doc_id, quality), held-out rows left out."""
+    """Weights from documents (doc_id, text, n_chars) and labels (doc_id, quality), held-out rows left out.
+
+    At most ``rows`` labelled ids and ``TRAIN_BYTES`` bytes of their texts, in the order of the ids' hashes; one row of each id, its shortest text.
+    """
     usable = labels.where("quality is not null and doc_id is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    marked = docs.join(chosen, "doc_id").select("text", "n_chars", "quality").mapInArrow(_sparse, "quality int, place binary, value binary")
+    named = docs.join(chosen, "doc_id")
+    sizes = named.groupBy("doc_id").agg(F.min(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))  # at most ``rows`` rows, as from here on
+    within = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)) <= TRAIN_BYTES
+    fitting = sizes.where(F.col("size") <= TRAIN_BYTES).withColumn("within", within).where("within").select("doc_id")
+    once = named.join(fitting, "doc_id").groupBy("doc_id", "quality").agg(
+        F.min_by(F.struct("text", "n_chars"), F.struct(F.coalesce(F.octet_length("text"), F.lit(0)), F.xxhash64("text", "n_chars"))).alias("d"))
+    marked = once.select("d.text", "d.n_chars", "quality").mapInArrow(_sparse, "quality int, place binary, value binary")
     found = sorted(marked.collect(), key=lambda r: (r["quality"], r["place"], r["value"]))  # the same order in every run
     return fit([(np.frombuffer(r["place"], np.int32), np.frombuffer(r["value"], np.float32)) for r in found], np.array([r["quality"] for r in found], np.float32))
 

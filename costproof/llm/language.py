@@ -25,14 +25,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 from costproof.llm.bytehash import batches
 from costproof.llm.tables import written
 
-BUCKETS, SMOOTHING, TEMPERATURE, HOST_WEIGHT = 4096, 0.5, 0.2, 4.0
-_TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+BUCKETS, SMOOTHING, TEMPERATURE, HOST_WEIGHT, LANGUAGES = 4096, 0.5, 0.2, 4.0, 256
+_OPEN = re.compile(r"<(?:(script|style)\b|(!--))?", re.I)
+_CLOSE = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), "!--": re.compile("-->"), "": re.compile(">")}
 _SPACES = re.compile(r"\s+")
 
 
 def visible(html: str) -> str:
-    """Text of a page without scripts, styles, comments and tags."""
-    return _SPACES.sub(" ", _TAGS.sub(" ", html)).strip()
+    """Text of a page without scripts, styles, comments and tags. What has no end is read like a tag, and a ``<`` without any ``>`` behind it is text."""
+    out, at, gone = [], 0, set()
+    while (opened := _OPEN.search(html, at)) is not None:
+        closed = None
+        for kind in ((opened[1] or opened[2] or "").lower(), ""):
+            if kind not in gone and (closed := _CLOSE[kind].search(html, opened.end() if kind else opened.start() + 1)) is not None:
+                break
+            gone.add(kind)  # none behind this place either: never looked for again
+        if closed is None:
+            break
+        out += html[at : opened.start()], " "
+        at = closed.end()
+    out.append(html[at:])
+    return _SPACES.sub(" ", "".join(out)).strip()
 
 
 def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +71,12 @@ def _counted(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def text_model(labelled: DataFrame) -> dict:
-    """{"langs": names, "table": log-probabilities (languages x trigrams)} from (text, lang); BUCKETS rows per language at most."""
+    """{"langs": names, "table": log-probabilities (languages x trigrams)} from (text, lang); BUCKETS rows per language at most.
+
+    Only the ``LANGUAGES`` languages with the most texts are possible answers, so the model is bounded; ties go by name.
+    """
+    most = labelled.where("lang is not null and text is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    labelled = labelled.join(F.broadcast(most), "lang", "left_semi")  # at most LANGUAGES rows
     counts = labelled.where("lang is not null and text is not null").select("text", "lang").mapInArrow(_counted, "lang string, gram int, n long")
     rows = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in rows})
@@ -98,14 +116,14 @@ def declared_language(html: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(html, "(?i)<html\\b[^>]*?\\blang\\s*=\\s*[\"']?([A-Za-z]{2})\\b", 1)), F.lit(""))
 
 
-def identify(rows: DataFrame, labelled: DataFrame, html: bool = False) -> DataFrame:
+def identify(rows: DataFrame, labelled: DataFrame | dict, html: bool = False) -> DataFrame:
     """(id, lang, probability, text_lang) of (id, text, declared, host, suffix, path).
 
-    ``labelled`` has text and lang; its languages are the possible ones. Null evidence of any kind is no evidence; a row with none gets
+    ``labelled`` has text and lang, its languages are the possible ones; or it is a ``text_model``. Texts of any length are read whole. Null evidence of any kind is no evidence; a row with none gets
     the most frequent language. Rows that repeat are rows of their own. Equal probabilities go to the first language by
     name. Without labelled texts the language is null and its probability 0. Empty input gives no rows.
     """
-    model = text_model(labelled)
+    model = labelled if isinstance(labelled, dict) else text_model(labelled)
     langs = model["langs"]
     if not langs:
         return rows.select("id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("probability"), F.lit(None).cast("string").alias("text_lang"))
@@ -143,13 +161,13 @@ def identify(rows: DataFrame, labelled: DataFrame, html: bool = False) -> DataFr
                          F.get(names, F.col("vote") - 1).alias("text_lang"))
 
 
-def page_languages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
+def page_languages(pages: DataFrame, labelled: DataFrame | dict) -> DataFrame:
     """``identify`` for pages (page_id, url, html)."""
     parts = address_parts(F.col("url"))
     return identify(pages.select(F.col("page_id").cast("long").alias("id"), F.col("html").alias("text"), declared_language(F.col("html")).alias("declared"), *[c.alias(k) for k, c in parts.items()]), labelled, html=True)
 
 
-def document_languages(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+def document_languages(docs: DataFrame, labelled: DataFrame | dict) -> DataFrame:
     """``identify`` for documents (doc_id, text, source), which declare nothing: a source stands for its host."""
     nothing = F.lit(None).cast("string")
     return identify(docs.select(F.col("doc_id").cast("long").alias("id"), "text", nothing.alias("declared"), F.col("source").alias("host"), nothing.alias("suffix"), nothing.alias("path")), labelled)

@@ -31,6 +31,8 @@ from costproof.llm.components import components
 from costproof.llm.tables import written
 
 BANDS, ROWS, SMALL = 26, 5, 8
+#: Smallest similarity in percent: below it the bands would miss more than a pair in 30,000.
+LEAST = 80
 BINS = BANDS * ROWS
 #: Rows and shingles of a block, and columns of a block's incidence matrix held at once.
 BLOCK_ROWS, BLOCK_ITEMS, COLUMNS = 512, 1 << 19, 4096
@@ -128,6 +130,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     any, is never kept and links nothing further. Rows that repeat a doc_id are rows of their own and kept alike. Empty
     input gives no rows; further columns of ``docs`` are ignored. Shingles are 64-bit hashes, sets 128-bit keys.
     """
+    if percent < LEAST:
+        raise ValueError(f"the bands find pairs from {LEAST} percent on")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("print"))
     features = written(docs.mapInArrow(_features, "doc_id long, print long, n long, cls binary, marks binary, bands array<long>"))
     first = F.min_by(F.struct("print", "n", "marks", "bands"), F.struct("doc_id", "print")).alias("f")  # a text of the class, also where a doc_id has several

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from costproof.llm.tables import written
-from costproof.scale import rank_within
+from costproof.scale import rank_by_index, rank_within
 
 WEIGHTS, CEILING, BLOCK, CLASSES = (5.0, 2.0, 1.0), 3.0, 128, 8
 _EPS = 1e-9
@@ -98,18 +98,20 @@ def copies(docs: DataFrame) -> DataFrame:
     sized = docs.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     sized = sized.withColumn("whole", F.when(F.col("size") > 0, whole).otherwise(0)).withColumn("p", F.when((F.col("size") > 0) & (fraction > _EPS), fraction).otherwise(0.0))
     sized = written(sized.withColumn("class", F.floor(F.log2(F.col("size") + 1) * CLASSES).cast("int")))
-    open_rows = sized.where("p > 0")
+    # Rows alike in id and size are numbered, so that one id never fills a block.
+    open_rows = rank_by_index(sized.where("p > 0"), ["source", "class", "id", "size"], "keep", "copy")
     counts = written(open_rows.groupBy("source", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
     most = counts.agg(F.max("blocks")).first()[0] or 0
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c"))
-    units = open_rows.join(counts.select(F.col("source").alias("s"), F.col("class").alias("c"), "blocks"), same).select("source", "class", "blocks", unit)
+    spread = F.xxhash64("id", "copy").alias("spread")
+    units = open_rows.join(counts.select(F.col("source").alias("s"), F.col("class").alias("c"), "blocks"), same).select("source", "class", "blocks", spread, unit)
     done, level = [], 0
     while level == 0 or most > 0:
-        block = F.pmod(F.xxhash64("unit.id", F.lit(level)), "blocks")
-        groups = units.groupBy("source", "class", "blocks", block.alias("block")).agg(F.reverse(F.array_sort(F.collect_list("unit"))).alias("units"))
-        met = written(groups.select("source", "class", "blocks", _meet(F.col("units"), level).alias("met")))
+        block = F.pmod(F.xxhash64("spread", F.lit(level)), "blocks")
+        groups = units.groupBy("source", "class", "blocks", block.alias("block")).agg(F.reverse(F.array_sort(F.collect_list("unit"))).alias("units"), F.min("spread").alias("spread"))
+        met = written(groups.select("source", "class", "blocks", "spread", _meet(F.col("units"), level).alias("met")))
         done.append(met.select(F.explode("met.done").alias("unit")))
-        units = met.where("met.left is not null").select("source", "class", F.ceil(F.col("blocks") / BLOCK).alias("blocks"), F.col("met.left").alias("unit"))
+        units = met.where("met.left is not null").select("source", "class", F.ceil(F.col("blocks") / BLOCK).alias("blocks"), "spread", F.col("met.left").alias("unit"))
         level += 1
         if most <= 1:
             break

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from costproof.llm.byte_bpe import round_trip
 from costproof.llm.factorisation import quality_scores
-from costproof.llm.language import document_languages, page_languages
+from costproof.llm.language import document_languages, page_languages, text_model
 from costproof.llm.merkle import every_fifth_lowered, manifest
 from costproof.llm.minhash import near_duplicates
 from costproof.llm.mixing import mix
@@ -101,9 +101,9 @@ def op10_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page and every document; the text model is counted from documents outside the fold that op3 holds out as well."""
+    """Every page and every document; the text model is counted once, from all documents."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
-    labelled = docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2).select("text", "lang")
+    labelled = text_model(docs.select("text", "lang"))
     none = F.lit(None).cast("long")
     of_docs = document_languages(docs, labelled).select(F.col("id").alias("doc_id"), none.alias("page_id"), "lang", "probability", "text_lang")
     of_pages = page_languages(pages, labelled).select(none.alias("doc_id"), F.col("id").alias("page_id"), "lang", "probability", "text_lang")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,20 +15,29 @@ from costproof.session import ensure_checkpoint_dir
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-#: Folders made by this process that ``drop`` has not removed.
-_MADE: list[str] = []
+#: The folders that the innermost ``collecting`` of this thread has seen made.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that ``spark.checkpoint.dir`` names; every executor and the driver see it."""
     ensure_checkpoint_dir(spark)
-    _MADE.append(f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}")
-    return _MADE[-1]
+    folder = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(folder)
+    return folder
 
 
-def made() -> list[str]:
-    """Folders that exist now; those of a later call that are not in this list were made in between."""
-    return list(_MADE)
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The folders made inside, by this thread, as a list."""
+    folders: list[str] = []
+    before = _MADE.set(folders)
+    try:
+        yield folders
+    finally:
+        _MADE.reset(before)
 
 
 def drop(spark: SparkSession, folders: list[str]) -> None:
@@ -34,7 +46,6 @@ def drop(spark: SparkSession, folders: list[str]) -> None:
     for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        _MADE.remove(folder)
 
 
 def written(df: DataFrame) -> DataFrame:

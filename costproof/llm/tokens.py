@@ -6,7 +6,7 @@ text are the ids of its pre-tokens in order. Pre-tokens repeat far more than tex
 Missing ones are encoded together, as one text, whose token bytes show where each begins.
 
 Ids are looked up for all pre-tokens of a batch at once: their 64-bit hashes index a direct-mapped table of places in a pool of
-ids, and the batch's ids are gathered from there. (A wrong hit needs two pre-tokens of equal hash.)
+ids, and the batch's ids are gathered from there. A hit counts only if its bytes are those of the pre-token, so no hash decides.
 
 Texts that hold a special string, and files of other kinds, go through their own library whole.
 """
@@ -19,7 +19,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-from costproof.llm.bytehash import batches, between_blanks, mix
+from costproof.llm.bytehash import batches, between_blanks, mix, same, windows
 
 # The pattern of byte-level BPE files (before merges).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -138,7 +138,11 @@ class Encoder:
         self.slot_hash = np.zeros(1 << SLOT_BITS, np.uint64)
         self.slot_at = np.zeros(1 << SLOT_BITS, np.int64)
         self.slot_n = np.zeros(1 << SLOT_BITS, np.int32)
+        self.slot_led = np.zeros(1 << SLOT_BITS, bool)
+        self.slot_byte = np.zeros(1 << SLOT_BITS, np.int64)
+        self.slot_bytes = np.zeros(1 << SLOT_BITS, np.int64)
         self.pool, self.used = np.zeros(1 << 20, self.dtype), 0
+        self.raw, self.raw_used = np.zeros(1 << 20, np.uint8), 0
 
     def _pooled(self, ids: np.ndarray) -> int:
         """Where ``ids`` begin in the pool."""
@@ -148,6 +152,16 @@ class Encoder:
         self.pool[at : self.used] = ids
         return at
 
+    def _stored(self, found: list[bytes], lengths: np.ndarray) -> np.ndarray:
+        """Where the bytes of pre-tokens begin in their pool, which ends in padding."""
+        at = self.raw_used + np.cumsum(lengths) - lengths
+        end = self.raw_used + int(lengths.sum())
+        if end + 8 > len(self.raw):
+            self.raw = np.concatenate((self.raw, np.zeros(max(len(self.raw), end + 8 - len(self.raw)), np.uint8)))
+        self.raw[self.raw_used : end] = np.frombuffer(b"".join(found), np.uint8)
+        self.raw_used = end
+        return at
+
     def _encode_led(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(places in the pool, lengths) of pre-tokens that follow a blank."""
         joined = b" " + b" ".join(found)
@@ -161,30 +175,47 @@ class Encoder:
         begin = np.concatenate(([0], last[:-1] + 1))
         return self._pooled(ids) + begin, last + 1 - begin
 
+    def _encode_at(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, led: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(places in the pool, lengths, bytes) of the pre-tokens at places of a buffer."""
+        found = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        at, n = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+        if led.any():
+            at[led], n[led] = self._encode_led([c for c, follows in zip(found, led.tolist(), strict=True) if follows])
+        for k in np.flatnonzero(~led).tolist():
+            ids = np.asarray(self.pieces.encode_ordinary(found[k].decode()), np.int64)
+            at[k], n[k] = self._pooled(ids), len(ids)
+        return at, n, found
+
     def _gathered(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of texts whose blanks all stand between visible characters."""
-        if not hasattr(self, "pool") or self.used > POOL:
+        if not hasattr(self, "pool") or max(self.used, self.raw_used) > POOL:
             self._fresh()
         hashes, starts, ends, first, buffer = between_blanks(texts)
-        hashes[first[:-1]] = mix(hashes[first[:-1]], 31)  # a text's first pre-token follows no blank
+        view, length = windows(buffer), ends - starts
+        led = np.ones(len(hashes), bool)
+        led[first[:-1]] = False  # a text's first pre-token follows no blank
+        hashes[~led] = mix(hashes[~led], 31)
         slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         at, n = self.slot_at[slot], self.slot_n[slot].astype(np.int64)
-        miss = np.flatnonzero((self.slot_hash[slot] != hashes) | (n == 0))
+        hit = np.flatnonzero((self.slot_hash[slot] == hashes) & (n > 0) & (self.slot_led[slot] == led) & (self.slot_bytes[slot] == length))
+        known = np.zeros(len(hashes), bool)
+        known[hit[same(view, starts[hit], windows(self.raw), self.slot_byte[slot[hit]], length[hit])]] = True
+        miss = np.flatnonzero(~known)
         if len(miss):
+            raw = buffer.tobytes()
             new, where, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
             where = miss[where]
-            leads = np.isin(where, first[:-1])
-            new_at, new_n = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-            raw = buffer.tobytes()
-            led = np.flatnonzero(~leads)
-            if len(led):
-                new_at[led], new_n[led] = self._encode_led([raw[a:b] for a, b in zip(starts[where[led]].tolist(), ends[where[led]].tolist(), strict=True)])
-            for k in np.flatnonzero(leads).tolist():
-                ids = np.asarray(self.pieces.encode_ordinary(raw[starts[where[k]] : ends[where[k]]].decode()), np.int64)
-                new_at[k], new_n[k] = self._pooled(ids), len(ids)
+            new_at, new_n, found = self._encode_at(raw, starts[where], ends[where], led[where])
             at[miss], n[miss] = new_at[back], new_n[back]
+            model = where[back]  # the pre-token whose ids were taken for the hash
+            alike = (length[model] == length[miss]) & (led[model] == led[miss])
+            alike[alike] = same(view, starts[miss[alike]], view, starts[model[alike]], length[miss[alike]])
+            odd = miss[~alike]
+            if len(odd):
+                at[odd], n[odd], _ = self._encode_at(raw, starts[odd], ends[odd], led[odd])
             place = slot[where]
-            self.slot_hash[place], self.slot_at[place], self.slot_n[place] = new, new_at, new_n
+            self.slot_hash[place], self.slot_at[place], self.slot_n[place], self.slot_led[place] = new, new_at, new_n, led[where]
+            self.slot_byte[place], self.slot_bytes[place] = self._stored(found, length[where]), length[where]
         upto = np.cumsum(n)
         out = self.pool[np.repeat(at - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
         cuts = np.concatenate(([0], upto))[first].tolist()

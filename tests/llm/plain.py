@@ -1,6 +1,8 @@
 """Plain versions of the rules, row by row, for small fixtures."""
 
+import base64
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -71,3 +73,67 @@ def targets(sizes):
         if not above:
             return {s: (total[s], 3.0 * total[s] if s in capped else share * weight[s]) for s in order}
         capped |= above
+
+
+_CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+_PART = "[A-Za-z0-9+/_=-]"
+_WORDS = re.compile(f"(?<!{_PART}){_PART}{{3,15}}(?!{_PART})")
+_LONG = re.compile(f"(?<!{_PART}){_PART}{{16,}}")
+
+
+def base_spans(text):
+    return sorted((m.start(), k, m.end()) for k, (p, group, least) in enumerate(_KINDS) for m in p.finditer(text or "") if len(m[group]) >= least)
+
+
+def long_runs(text):
+    """(start, end) of runs of 16 and more identifier characters that touch no hit of the patterns."""
+    spans = base_spans(text)
+    return [m.span() for m in _LONG.finditer(text or "") if not any(a < m.end() and m.start() < b for a, _, b in spans)]
+
+
+def _log_chances(counts):
+    n, alone = len(_CHARS), Counter()
+    for (_, b), x in counts.items():
+        alone[b] += x
+    whole, rows = sum(alone.values()), defaultdict(float)
+    for (a, _), x in counts.items():
+        rows[a] += x
+
+    def log(a, b):
+        base = (0.9 * alone[b] / whole if whole else 0.9 / n) + 0.1 / n
+        return math.log(0.9 * (counts.get((a, b), 0) + 20 * base) / (rows[a] + 20) + 0.1 * base)
+
+    return log
+
+
+def _count(tokens):
+    out = Counter()
+    for token, n in tokens:
+        for pair in zip(["", *token], token, strict=False):
+            out[pair] += n
+    return out
+
+
+def random_runs(texts):
+    """For each text the long runs that the self-labelled character models call random."""
+    digests = []
+    for i in range(2048):
+        raw = hashlib.sha256(str(i).encode()).digest()
+        text = base64.b64encode(raw).decode()
+        bare = re.sub("[+/=]", "", text)
+        digests += [raw.hex(), text.replace("=", ""), bare, bare.lower(), bare.upper()]
+    digests, common = _count((d, 1) for d in digests), _count((w, 1) for t in texts for w in set(_WORDS.findall(t or "")))
+    value = lambda t, a, k, b: next(m for m in _KINDS[k][0].finditer(t) if m.start() == a)[_KINDS[k][1]]
+    hits = Counter(x for t in texts for x in {value(t, *s) for s in base_spans(t)})
+    runs = Counter(x for t in texts for x in {t[a:b] for a, b in long_runs(t)})
+    random, ordinary = _log_chances(digests), _log_chances(common)
+    for _ in range(4):
+        score = lambda x, r=random, o=ordinary: sum(r(*p) - o(*p) for p in zip(["", *x], x, strict=False) if p[1] in _CHARS)
+        found = _count((x, 1) for x in hits if score(x) >= 0)
+        share = min(1.0, sum(digests.values()) / max(1.0, sum(found.values())))
+        taken = {x for x in runs if len(set(x)) >= 8 and score(x) >= 10}
+        random = _log_chances({k: digests.get(k, 0) + share * found.get(k, 0) for k in digests.keys() | found.keys()})
+        ordinary = _log_chances(common + _count((x, n) for x, n in runs.items() if x not in taken))
+    score = lambda x: sum(random(*p) - ordinary(*p) for p in zip(["", *x], x, strict=False) if p[1] in _CHARS)
+    taken = {x for x in runs if len(set(x)) >= 8 and score(x) >= 10}
+    return [[(a, b) for a, b in long_runs(t) if t[a:b] in taken] for t in texts]
