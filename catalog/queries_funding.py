@@ -223,18 +223,23 @@ def industry_report_query(spark, d):
 # --- programme B ------------------------------------------------------------------------------
 
 
-@query("payment_candidates")
+@query("payment_candidates", sql(f"""
+with v as (select distinct project_id, {duck.vset('vendor_name')} as vt from invoices), p as (select distinct project_id, {duck.vset('payee_name')} as pt from payment_proofs)
+select v.project_id, 'payee' as via, array_to_string(vt, ' ') as vendor, array_to_string(pt, ' ') as payee, cast(null as varchar) as number, cast(null as bigint) as proof_seq from v join p on p.project_id = v.project_id
+  where length(list_filter(pt, lambda t: length(list_filter(vt, lambda u: t = u or (length(t) >= 5 and length(u) >= 5 and levenshtein(t, u) <= 1))) > 0)) > 0
+union all select i.project_id, 'number', null, null, number, proof_seq from (select distinct project_id, {duck.alnum('invoice_number')} as number from invoices) i join payment_proofs q on q.project_id = i.project_id
+  where length(number) >= 4 and contains({duck.alnum('verwendungszweck')}, number)""", "invoices", "payment_proofs"))
 def payment_candidates(spark, d):
     return payments.payment_candidates(*load(spark, d, "invoices", "payment_proofs"))
 
 
 @query("payment_rule", sql("""
 select i.invoice_id, proof_seq, case when abs(amount - t) <= 0.02 then 1 when abs(amount - t * (100 - skonto_pct) * 0.01) <= 0.05 then 2 end as tier
-from (select *, coalesce(brutto, netto) as t from invoices) i join payment_proofs p on p.project_id = i.project_id and p.proof_seq = i.invoice_id * 3""", "invoices", "payment_proofs"))
+from (select *, coalesce(brutto, netto) as t from invoices) i join payment_proofs p on p.project_id = i.project_id""", "invoices", "payment_proofs"))
 def payment_rule(spark, d):
     invoices, proofs = load(spark, d, "invoices", "payment_proofs")
     target = F.coalesce("brutto", "netto")
-    own = invoices.withColumn("proof_seq", F.col("invoice_id") * 3).join(proofs.select("project_id", "proof_seq", "amount"), ["project_id", "proof_seq"])
+    own = invoices.join(proofs.select("project_id", "proof_seq", "amount"), "project_id")  # the rule for every proof of the project
     rule = payments.payment_rule(F.col("amount"), target, target * (F.lit(100) - F.col("skonto_pct")) / 100)
     return own.select("invoice_id", "proof_seq", rule.alias("tier"))
 

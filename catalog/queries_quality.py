@@ -9,6 +9,7 @@ from catalog.domain import load, sql
 from catalog.queries_checks import EVIDENCE, EVIDENCE_TABLES, evidence_rows
 from catalog.queries_documents import class_sql
 from catalog.queries_funding import vne_rows
+from catalog.queries_matching import recursive
 from catalog.registry import query
 from costproof.operators import checks, classify, events as ev, quality
 
@@ -91,12 +92,32 @@ def _line_items(spark, d):
     return predicted, truth
 
 
-@query("pair_line_items")
+def _words(x: str) -> str:
+    plain = _PLAIN.format(duck.fold(f"lower(coalesce({x}, ''))"))
+    return f"list_distinct(list_filter(string_split({plain}, ' '), lambda w: w <> ''))"
+
+
+_OVERLAP = "case when length(list_distinct({a} || {b})) = 0 then 1.0 else length(list_intersect({a}, {b})) / length(list_distinct({a} || {b})) end"
+PAIRED = f"""truth as materialized (select invoice_id as doc_id, pos_seq as j, nullif(trim(pos), '') as pos, description, {_words('description')} as w, line_total_net as amount from invoice_positions),
+predicted as materialized (select doc_id, 100 - j as i, case when (doc_id + j) % 4 <> 0 then pos end as pos, case when (doc_id + j) % 5 = 1 then {_words("'red widget'")} else w end as w, case when (doc_id + j) % 6 = 2 then amount + 3 else amount end as amount from truth),
+edges as materialized (select *, row_number() over (partition by doc_id order by score desc, i desc, j desc) as k from (select p.doc_id, i, j, coalesce(abs(p.amount - t.amount) <= 0.01, p.amount is null and t.amount is null) as same, {_OVERLAP.format(a='p.w', b='t.w')} as likeness,
+    round(case when coalesce(abs(p.amount - t.amount) <= 0.01, p.amount is null and t.amount is null) then 0.6 else 0 end + 0.3 * {_OVERLAP.format(a='p.w', b='t.w')} + case when p.pos = t.pos then 0.1 else 0 end, 9) as score
+   from predicted p join truth t on t.doc_id = p.doc_id) where score >= 0.25),
+walk as (select doc_id, cast(0 as bigint) as k, cast([] as bigint[]) as gone_i, cast([] as bigint[]) as gone_j, false as takes from (select distinct doc_id from edges)
+  union all select doc_id, k, case when free then list_append(gone_i, i) else gone_i end, case when free then list_append(gone_j, j) else gone_j end, free
+   from (select w.doc_id, e.k, gone_i, gone_j, e.i, e.j, not list_contains(gone_i, e.i) and not list_contains(gone_j, e.j) as free from walk w join edges e on e.doc_id = w.doc_id and e.k = w.k + 1)),
+picked as (select e.* from walk w join edges e on e.doc_id = w.doc_id and e.k = w.k where takes)"""
+
+
+@query("pair_line_items", recursive(sql(f"with {PAIRED} select doc_id, i, j, score from picked", "invoice_positions")))
 def pair_line_items(spark, d):
     return quality.pair_line_items(*_line_items(spark, d))
 
 
-@query("line_item_report")
+@query("line_item_report", recursive(sql(f"""
+with {PAIRED}, counts as (select count(*) as m, (select count(*) from truth) as t, (select count(*) from predicted) as p, count(*) filter (same) as a, sum(likeness) as o from picked),
+shares as (select *, m / t as r, m / p as q from counts)
+select m as matched, t - m as missing, p - m as spurious, a as amount_correct, round(r, 9) as recall, round(q, 9) as precision, round(a / m, 9) as amount_accuracy, round(o / m, 9) as description_similarity, round(5 * q * r / (4 * q + r), 9) as f_beta from shares""", "invoice_positions")))
 def line_item_report(spark, d):
     predicted, truth = _line_items(spark, d)
     counts = quality.line_item_counts(predicted, truth, quality.pair_line_items(predicted, truth))
@@ -113,7 +134,16 @@ def evidence_tally(spark, d):
     return quality.evidence_tally(evidence_rows(spark, d)[0]).withColumn("proven_share", F.round("proven_share", 9))
 
 
-@query("pair_result_rows")
+@query("pair_result_rows", recursive(sql(f"""
+with items as materialized (select project_id, invoice_id as item, {_words('vendor_name')} as v, netto as n, brutto as b from invoices),
+asked as materialized (select project_id, invoice_id as ord, {_words('vendor_name')} as w, case when invoice_id % 8 = 3 then netto + 9 else netto end as tn, netto as ts, case when invoice_id % 8 <> 3 then brutto end as tb, row_number() over (partition by project_id order by invoice_id) as k from invoices),
+options as materialized (select project_id, k, list({{'s': score, 'item': item}} order by score desc, item) as o from (select a.project_id, k, item,
+    round(case when tn is not null and (coalesce(abs(n - tn) <= 0.01, false) or coalesce(abs(n - ts) <= 0.01, false)) then 0.6 else 0 end + case when coalesce(abs(b - tb) <= 0.01, false) then 0.3 else 0 end + 0.1 * {_OVERLAP.format(a='v', b='w')}, 9) as score
+   from asked a join items i on i.project_id = a.project_id) where score >= 0.3 group by 1, 2),
+walk as (select distinct project_id, cast(0 as bigint) as k, cast([] as bigint[]) as used, cast(null as bigint) as ord, cast(null as bigint) as idx, cast(null as double) as score from items
+  union all select project_id, k, case when best is null then used else list_append(used, best.item) end, ord, best.item, best.s
+   from (select y.project_id, a.k, used, a.ord, list_filter(coalesce(o, []), lambda c: not list_contains(used, c.item))[1] as best from walk y join asked a on a.project_id = y.project_id and a.k = y.k + 1 left join options p on p.project_id = a.project_id and p.k = a.k))
+select project_id, ord, idx, round(score, 6) as score from walk where idx is not null""", "invoices")))
 def pair_result_rows(spark, d):
     invoices = load(spark, d, "invoices")
     extracted = invoices.select("project_id", F.col("invoice_id").alias("idx"), "vendor_name", "netto", "brutto")

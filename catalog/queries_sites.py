@@ -30,14 +30,18 @@ def blocks_from_layout_lines(spark, d):
     return layout.blocks_from_layout_lines(_sheet_docs(spark, d)).select("doc_id", "header", "gesamt", "ik", "nk", "sonderpreis")
 
 
-@query("choose_block_figures", sql(f"select project_id, block_seq, gesamt, {_IK} as ik, gesamt - ({_IK}) as nk, sonderpreis from vendor_blocks where gesamt > 0", "vendor_blocks"))
+@query("choose_block_figures", sql(f"""
+select project_id, block_seq, case when project_id % 11 = 3 then 0 else gesamt end as gesamt, case when project_id % 11 = 3 then 0 else {_IK} end as ik, case when project_id % 11 = 3 then 0 else gesamt - ({_IK}) end as nk, sonderpreis
+from vendor_blocks where project_id % 13 <> 5""", "vendor_blocks"))
 def choose_block_figures(spark, d):
+    """Every block; some print a total of zero, and those without any printed total have no figures."""
     x = load(spark, d, "vendor_blocks")
     money = "decimal(18,2)"
     empty = F.array().cast("array<decimal(18,2)>")
     printed_ik = F.when(F.col("project_id") % 3 == 0, F.lit(1).cast(money)).otherwise(F.col("beantragt_ik"))
-    df = x.where("gesamt > 0").select(
-        "project_id", "block_seq", F.array("gesamt", printed_ik, (F.col("gesamt") - F.col("beantragt_ik")).cast(money)).alias("totals"),
+    total = F.when(F.col("project_id") % 11 == 3, F.lit(0)).otherwise(F.col("gesamt")).cast(money)
+    df = x.select(
+        "project_id", "block_seq", F.when(F.col("project_id") % 13 == 5, empty).otherwise(F.array(total, printed_ik, (total - F.col("beantragt_ik")).cast(money))).alias("totals"),
         F.when(F.col("sonderpreis").isNotNull(), F.array("sonderpreis")).otherwise(empty).alias("sonder_totals"),
         F.when(F.col("project_id") % 4 != 1, F.array(*[F.lit(v).cast(money) for v in ("100.00", "81.25", "18.75")])).otherwise(empty).alias("pcts"))
     return layout.choose_block_figures(df)

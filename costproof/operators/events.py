@@ -6,23 +6,32 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from costproof import fixed_values as fx
 from costproof.functions.german import format_de
-from costproof.scale import rank_within
+from costproof.scale import order_index, rank_within
+from costproof.session import materialize
 
+# Attempts of one address that share a task: 2 ** RANGE_BITS.
+RANGE_BITS = 14
 
-def _latest(value: Column, cond: Column) -> Column:
-    return F.max_by(F.when(cond, value), F.when(cond, F.struct("ts", "line_no")))
+
+def _place(events: DataFrame) -> list[str]:
+    """What orders the events of a log: time, then file (where there are several) and line."""
+    return [c for c in ("ts", "log_file", "line_no") if c in events.columns]
 
 
 def job_state(events: DataFrame) -> DataFrame:
     """Where every job stands: title, procedure, times, status and latest feedback. A job without
     a finishing event was cut off by a restart; a malformed line (null event) is an error.
     One aggregate with map-side combine, also valid on a stream in update mode."""
-    kind = F.col("event")
+    kind, place = F.col("event"), F.struct(*_place(events))
+
+    def latest(column: str, of: str) -> Column:
+        return F.max_by(F.when(kind == of, F.col(column)), F.when(kind == of, place))
+
     df = events.groupBy("job").agg(
-        F.max_by("procedure", F.struct("ts", "line_no")).alias("procedure"), _latest(F.col("message"), kind == "created").alias("title"),
+        F.max_by("procedure", place).alias("procedure"), latest("message", "created").alias("title"),
         F.max(F.when(kind == "created", F.col("ts"))).alias("created"), F.max(F.when(kind == "finished", F.col("ts"))).alias("finished"),
-        _latest(F.col("status"), kind == "finished").alias("_status"), _latest(F.col("verified"), kind == "feedback").alias("verified"),
-        _latest(F.col("message"), kind == "feedback").alias("feedback"), F.max(F.when(kind == "feedback", F.col("ts"))).alias("feedback_at"),
+        latest("status", "finished").alias("_status"), latest("verified", "feedback").alias("verified"),
+        latest("message", "feedback").alias("feedback"), F.max(F.when(kind == "feedback", F.col("ts"))).alias("feedback_at"),
         F.count_if(kind == "output").alias("n_outputs"), F.count_if(kind == "error").alias("n_errors"), F.count_if(kind.isNull()).alias("_malformed"))
     cut_off = F.col("finished").isNull() & (F.col("_malformed") == 0)
     status = F.when(F.col("_malformed") > 0, "fehler").when(cut_off, "fehler").otherwise(F.coalesce("_status", F.lit("fertig")))
@@ -36,7 +45,7 @@ def job_state(events: DataFrame) -> DataFrame:
 def file_status(events: DataFrame) -> DataFrame:
     """Latest status and message per file of a job."""
     files = events.where(F.col("event") == "file")
-    last = F.max_by(F.struct("status", "message"), F.struct("ts", "line_no")).alias("_f")
+    last = F.max_by(F.struct("status", "message"), F.struct(*_place(events))).alias("_f")
     return files.groupBy("job", "file").agg(last).select("job", "file", "_f.status", "_f.message")
 
 
@@ -47,12 +56,13 @@ def job_lists(events: DataFrame) -> DataFrame:
     entries = events.where(F.col("event").isin("progress", "flag", "error", "output"))
     stamped = F.when(F.col("event") == "progress", F.concat(F.date_format("ts", "HH:mm:ss"), F.lit(" "), F.col("message"))).when(
         F.col("event") == "output", F.col("file")).otherwise(F.col("message"))
-    rows = entries.select("job", F.col("event").alias("kind"), "ts", "line_no", stamped.alias("entry"))
-    ranked = rank_within(rows, ["job", "kind"], ["job", "kind", "ts", "line_no"], "position")
+    place = _place(events)
+    rows = entries.select("job", F.col("event").alias("kind"), *place, stamped.alias("entry"))
+    ranked = rank_within(rows, ["job", "kind"], ["job", "kind", *place], "position")
     sizes = rows.groupBy("job", "kind").agg(F.count(F.lit(1)).alias("_n"))
     dropped = F.greatest(F.lit(0), F.ceil((F.col("_n") - fx.LIVE_LOG_LIMIT) / fx.LIVE_LOG_DROP) * fx.LIVE_LOG_DROP)
     return ranked.join(sizes, ["job", "kind"]).withColumn(
-        "live", (F.col("kind") != "progress") | (F.col("position") > dropped)).drop("_n", "line_no")
+        "live", (F.col("kind") != "progress") | (F.col("position") > dropped)).drop("_n", "log_file", "line_no")
 
 
 def runs_to_prune(jobs: DataFrame, keep: int = fx.RETAIN_RUNS) -> DataFrame:
@@ -69,49 +79,52 @@ def job_outcomes(jobs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("runs"), F.count_if((F.col("n_outputs") > 0) & (F.col("n_errors") > 0)).alias("partial"))
 
 
-def _folded(attempts: DataFrame, max_attempts: int, window: float, lock: float) -> DataFrame:
-    """(address, episode, s): the state of the gate after each episode, with hits, until and locks."""
-    df = attempts.select("address", "ts", "ok", F.floor("ts").cast("bigint").alias("second"))
-    days = df.select("address", "second", F.floor(F.col("second") / 86400).alias("_day")).distinct()
-    pause = max(window, lock) + 1
-    by_day = Window.partitionBy("address", "_day").orderBy("second")
-    ends = days.groupBy("address", "_day").agg(F.max("second").alias("_last"))
-    carried = ends.withColumn("_carry", F.lag("_last").over(Window.partitionBy("address").orderBy("_day"))).select("address", "_day", "_carry")
-    starts = days.withColumn("_prev", F.lag("second").over(by_day)).join(carried, ["address", "_day"]).withColumn(
-        "_before", F.coalesce("_prev", "_carry")).withColumn(
-        "_start", F.when(F.col("_before").isNull() | (F.col("second") - F.col("_before") > pause), F.col("second")))
-    within = F.max("_start").over(by_day.rowsBetween(Window.unboundedPreceding, 0))
-    tops = starts.groupBy("address", "_day").agg(F.max("_start").alias("_top"))
-    earlier = tops.withColumn("_from", F.max("_top").over(Window.partitionBy("address").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))).select(
-        "address", "_day", "_from")
-    episodes = starts.withColumn("_in", within).join(earlier, ["address", "_day"]).select("address", "second", F.coalesce("_in", "_from").alias("episode"))
-    state0 = F.struct(F.array().cast("array<double>").alias("hits"), F.lit(float("-inf")).alias("until"), F.array().cast("array<double>").alias("locks"))
+def _gate(events: Column, start: Column, max_attempts: int, window: float, lock: float) -> Column:
+    """The gate after a run of attempts in order: hits that count, until when it is locked, and the times at which it locked."""
+    none, never = F.array().cast("array<double>"), F.lit(float("-inf"))
 
     def step(acc: Column, a: Column) -> Column:
-        active = a["ts"] < acc["until"]
         recent = F.concat(F.filter(acc["hits"], lambda h: a["ts"] - h < window), F.array(a["ts"]))
-        locks = F.size(recent) >= max_attempts
-        none = F.array().cast("array<double>")
         return (
-            F.when(active, acc)
-            .when(a["ok"], F.struct(none.alias("hits"), F.lit(float("-inf")).alias("until"), acc["locks"].alias("locks")))
-            .when(locks, F.struct(none.alias("hits"), (a["ts"] + lock).alias("until"), F.concat(acc["locks"], F.array(a["ts"])).alias("locks")))
+            F.when(a["ts"] < acc["until"], acc)
+            .when(a["ok"], F.struct(none.alias("hits"), never.alias("until"), acc["locks"].alias("locks")))
+            .when(F.size(recent) >= max_attempts, F.struct(none.alias("hits"), (a["ts"] + lock).alias("until"), F.concat(acc["locks"], F.array(a["ts"])).alias("locks")))
             .otherwise(F.struct(recent.alias("hits"), acc["until"].alias("until"), acc["locks"].alias("locks"))))
 
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "ok")))
-    return df.join(episodes, ["address", "second"]).groupBy("address", "episode").agg(F.aggregate(ordered, state0, step).alias("s"))
+    return F.aggregate(events, F.struct(start["hits"].alias("hits"), start["until"].alias("until"), none.alias("locks")), step)
+
+
+def _folded(attempts: DataFrame, max_attempts: int, window: float, lock: float) -> DataFrame:
+    """(address, range, s): the state of the gate after each range of an address' attempts, with hits, until and locks.
+
+    All attempts are sorted once and cut into ranges of at most 2 ** RANGE_BITS; an address with any number of them is many
+    ranges. Every range is folded from an untouched gate first. Then each one gets the state that the range before it
+    left, as far as that still matters at its first attempt, and those that began with another state are folded again, until none did.
+    """
+    known = attempts.where(F.col("address").isNotNull() & F.col("ts").isNotNull())
+    ordered = order_index(known.select("address", "ts", "ok"), ["address", "ts", "ok"])
+    ranges = materialize(ordered.groupBy("address", F.shiftright("ord", RANGE_BITS).alias("range")).agg(
+        F.array_sort(F.collect_list(F.struct("ts", "ok"))).alias("events"), F.min("ts").alias("first")))
+    untouched = F.struct(F.array().cast("array<double>").alias("hits"), F.lit(float("-inf")).alias("until"))
+    fold = lambda df: df.select("address", "range", "first", "start", _gate(F.col("events"), F.col("start"), max_attempts, window, lock).alias("s"))
+    done = materialize(fold(ranges.withColumn("start", untouched)))
+    while True:
+        left = F.lag("s").over(Window.partitionBy("address").orderBy("range"))
+        handed = done.withColumn("_left", left).withColumn("handed", F.when(F.col("_left").isNull(), untouched).otherwise(F.struct(
+            F.filter("_left.hits", lambda h: F.col("first") - h < window).alias("hits"),
+            F.when(F.col("_left.until") > F.col("first"), F.col("_left.until")).otherwise(F.lit(float("-inf"))).alias("until"))))
+        wrong = materialize(handed.where(F.col("handed") != F.col("start")).select("address", "range", F.col("handed").alias("start")))
+        if wrong.isEmpty():
+            return done
+        again = fold(ranges.join(wrong, ["address", "range"]))
+        done = materialize(done.join(wrong, ["address", "range"], "left_anti").unionByName(again))
 
 
 def lockouts(attempts: DataFrame, max_attempts: int = fx.MAX_ATTEMPTS, window: float = fx.WINDOW_SECONDS, lock: float = fx.LOCKOUT_SECONDS) -> DataFrame:
     """Lockouts per address: the fifth failure within the window locks, clears the count, and
     nothing is counted until the lock ends; a success clears everything. ``attempts``: address, ts
-    (seconds, double), ok. One row per address and lock.
-
-    A pause as long as window and lock forgets everything, so it starts an episode that is folded
-    on its own; the fold's state is at most four times. Episodes are cut on distinct seconds, by day
-    buckets. A gate records no attempt while it is locked, so an unbroken episode grows by five
-    failures per lock, that is with its duration.
-    """
+    (seconds, double), ok. One row per address and lock. A success, or a pause, makes a range independent of those before it, so
+    few ranges are folded more than once; the worst case is one round per range of an address that is locked throughout."""
     folded = _folded(attempts, max_attempts, window, lock)
     return folded.select("address", F.explode("s.locks").alias("locked_at")).withColumn("locked_until", F.col("locked_at") + lock)
 
@@ -119,7 +132,7 @@ def lockouts(attempts: DataFrame, max_attempts: int = fx.MAX_ATTEMPTS, window: f
 def attempts_left(attempts: DataFrame, now: float, max_attempts: int = fx.MAX_ATTEMPTS, window: float = fx.WINDOW_SECONDS, lock: float = fx.LOCKOUT_SECONDS) -> DataFrame:
     """Failures an address may still make at a time, as the gate stands then: what comes later is not known yet, and a lock or a
     success has cleared the count."""
-    last = _folded(attempts.where(F.col("ts") <= now), max_attempts, window, lock).groupBy("address").agg(F.max_by("s.hits", "episode").alias("hits"))
+    last = _folded(attempts.where(F.col("ts") <= now), max_attempts, window, lock).groupBy("address").agg(F.max_by("s.hits", "range").alias("hits"))
     recent = F.size(F.filter("hits", lambda h: F.lit(float(now)) - h < window))
     return last.select("address", F.greatest(F.lit(0), F.lit(max_attempts) - recent).cast("bigint").alias("attempts_left"))
 

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from costproof import schemas
 from costproof.functions.text import truncate_name
+from costproof.scale import rank_within
+from costproof.session import materialize
+
+
+_LENIENT = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 
 def read_extractions(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -14,10 +19,20 @@ def read_extractions(spark: SparkSession, path: str, kind: str) -> tuple[DataFra
     Unreadable lines, records without a mandatory value and offers whose binding line lacks a
     total go to ``rejected`` with a reason; nothing is dropped. ``short_name`` is the printed form of a description.
     """
+    schema, _ = schemas.extraction(kind)
+    raw = spark.read.schema(schema.add("_corrupt", "string")).options(**_LENIENT).json(path)
+    return judge_extractions(raw, kind)
+
+
+def parse_extractions(lines: DataFrame, kind: str) -> DataFrame:
+    """Records of JSON lines (value), with _corrupt where a line is none."""
+    schema, _ = schemas.extraction(kind)
+    return lines.select(F.from_json("value", schema.add("_corrupt", "string"), _LENIENT).alias("r")).select("r.*")
+
+
+def judge_extractions(raw: DataFrame, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, positions, rejected) of parsed records, as ``read_extractions`` returns them."""
     schema, required = schemas.extraction(kind)
-    raw = (
-        spark.read.schema(schema.add("_corrupt", "string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    )
     key = f"{kind}_id"
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in required]))
     empty = F.array().cast(schema["positions"].dataType)
@@ -40,20 +55,38 @@ def read_extractions(spark: SparkSession, path: str, kind: str) -> tuple[DataFra
 def read_projects(spark: SparkSession, path: str, project_ids: DataFrame | None = None) -> DataFrame:
     """Project settings; projects without a record get one of nulls."""
     settings = spark.read.schema(schemas.project()).json(path)
-    return settings if project_ids is None else project_ids.select("project_id").distinct().join(settings, "project_id", "left")
+    return settings if project_ids is None else complete_projects(settings, project_ids)
 
 
-def read_audit_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Job events from JSON lines. A line that is no JSON becomes a row with a null event."""
+def complete_projects(settings: DataFrame, project_ids: DataFrame) -> DataFrame:
+    """One row of settings for every project, of nulls where there is no record."""
+    return project_ids.select("project_id").distinct().join(settings, "project_id", "left")
+
+
+def _numbered_lines(spark: SparkSession, path: str, streaming: bool) -> DataFrame:
+    """(log_file, line_no, value): the lines of text files, numbered from 1 in each file.
+
+    A batch reads files in splits; the place of a split and the order of lines inside it give the number, whichever tasks
+    read them. A stream takes a file as one row, since files arrive whole and a line's place is only known within its file.
+    """
+    file = F.col("_metadata.file_path").alias("log_file")
     if streaming:
-        lines = spark.readStream.format("text").load(path)
-    else:
-        lines = spark.read.text(path)
+        whole = spark.readStream.format("text").option("wholetext", "true").load(path).select("value", file)
+        return whole.select("log_file", F.posexplode(F.split("value", "\r\n|\n|\r", -1)).alias("_at", "value")).select("log_file", (F.col("_at") + 1).cast("bigint").alias("line_no"), "value")
+    lines = spark.read.text(path).select("value", file, F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"))
+    return rank_within(materialize(lines), ["log_file"], ["log_file", "_split", "_id"], "line_no").select("log_file", "line_no", "value")
+
+
+def read_audit_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """Job events from JSON lines, with their file and line. A line that is no JSON becomes a row with a null event. Equal timestamps resolve
+    by file name and line, in a batch as in a stream."""
+    return parse_audit_lines(_numbered_lines(spark, path, streaming))
+
+
+def parse_audit_lines(lines: DataFrame) -> DataFrame:
+    """Job events of (log_file, line_no, value); blank lines are left out."""
     schema = schemas.audit()
-    event = F.from_json("value", schema, {"mode": "PERMISSIVE"})
-    parsed = lines.where(F.trim("value") != "").select("value", event.alias("e"), F.monotonically_increasing_id().alias("line_no")) if not streaming else (
-        lines.where(F.trim("value") != "").select("value", event.alias("e"), F.xxhash64("value").alias("line_no")))
+    parsed = lines.where(F.trim("value") != "").withColumn("e", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
     known = [f for f in schema.fieldNames() if f != "ts"]
-    rest = F.from_json("value", "map<string,string>")
-    payload = F.map_filter(rest, lambda k, _: ~k.isin(schema.fieldNames()))
-    return parsed.select(F.try_to_timestamp("e.ts").alias("ts"), *[F.col(f"e.{c}").alias(c) for c in known], payload.alias("payload"), "line_no")
+    payload = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, _: ~k.isin(schema.fieldNames()))
+    return parsed.select(F.try_to_timestamp("e.ts").alias("ts"), *[F.col(f"e.{c}").alias(c) for c in known], payload.alias("payload"), "log_file", "line_no")

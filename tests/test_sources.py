@@ -123,11 +123,11 @@ def test_sinks(spark, tmp_path):
     corrections = spark.createDataFrame([("position-field", "B", "1", "gesamt", "1.00", "2.00"), ("block-added", "C", None, None, None, None)],
                                         "scope string, block string, pos string, field string, original string, corrected string")
     sinks.write_corrections(corrections.coalesce(1), str(tmp_path / "c"))
-    lines = [json.loads(line) for p in (tmp_path / "c").glob("*.json") for line in p.read_text().splitlines()]
+    lines = [json.loads(line) for p in (tmp_path / "c").glob("part-*") for line in p.read_text().splitlines()]
     assert {"scope": "block-added", "block": "C"} in lines and len(lines) == 2
     renames = spark.createDataFrame([("a.pdf", "b.pdf", "")], "old_name string, new_name string, note string")
     sinks.write_rename_manifest(renames.coalesce(1), str(tmp_path / "r"))
     text = "".join(p.read_text() for p in (tmp_path / "r").glob("*.csv"))
     assert text.splitlines() == ["alter Name;neuer Name;Hinweis", "a.pdf;b.pdf;"]
     sinks.write_result_tables({"rows": spark.range(10).select(F.col("id").alias("project_id"))}, str(tmp_path / "t"), buckets=4)
-    assert spark.read.parquet(str(tmp_path / "t" / "rows")).count() == 10
+    assert sinks.read_result_table(spark, str(tmp_path / "t"), "rows").count() == 10
