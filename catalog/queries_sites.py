@@ -166,10 +166,15 @@ def mask_client(spark, d):
     return privacy.mask_client(_client_pages(spark, d), load(spark, d, "projects"))
 
 
-@query("mask_documents")
+# Documents name clients only by chance; each is given to one of all clients.
+@query("mask_documents", sql("""
+with j as (select doc_id, text as t, client_name as n, client_address as a, regexp_replace(client_name, ' GmbH$', '') as b from documents left join projects on project_id = doc_id % (select count(*) from projects)),
+s1 as (select *, case when n is null or a is null then t else regexp_replace(t, '(?i)' || a, '[KUNDENADRESSE]', 'g') end as t1, case when n is null or a is null then 0 else length(regexp_extract_all(t, '(?i)' || a)) end as ah from j),
+s2 as (select *, case when n is null then t1 else regexp_replace(t1, '(?i)' || n || '|' || b, '[KUNDE]', 'g') end as t2, case when n is null then 0 else length(regexp_extract_all(t1, '(?i)' || n || '|' || b)) end as nh from s1)
+select doc_id, nh as name_hits, ah as address_hits, length(t2) as chars from s2""", "projects"))
 def mask_documents(spark, d):
     docs, projects = load(spark, d, "documents", "projects")
-    ids = docs.select((F.col("doc_id") % 150).alias("project_id"), "doc_id", F.lit(1).alias("page_no"), "text")
+    ids = docs.select((F.col("doc_id") % projects.count()).alias("project_id"), "doc_id", F.lit(1).alias("page_no"), "text")
     return privacy.mask_client(ids, projects).select("doc_id", "name_hits", "address_hits", F.length("text").alias("chars"))
 
 
@@ -255,7 +260,12 @@ def pick_landing(spark, d):
     return _landings(spark, d)[2].select("site_id", "url", F.length("text").alias("chars"))
 
 
-@query("site_text")
+@query("site_text", f"""{_MAIN}, usable as (select url, min(p.page_id) as page_id, arg_min(text, p.page_id) as text from pages p join texts t on t.page_id = p.page_id where length(text) >= 50 group by 1),
+landings as (select p.page_id as site_id, u.url, u.page_id, u.text from pages p join usable u on u.url = p.url),
+links as (select *, row_number() over (partition by page_id order by position) as nth from ({ORACLES["site_links"]})),
+shown as (select url, arg_min(text, p.page_id) as text from pages p join texts t on t.page_id = p.page_id where text <> '' group by 1)
+select site_id, 0 as nth, url, text from landings
+union all select site_id, nth, s.url, s.text from landings l join links k on k.page_id = l.page_id join shown s on s.url = k.link""")
 def site_text(spark, d):
     pages, texts, landings = _landings(spark, d)
     return site.site_text(landings, site.site_links(pages, ["th", "en", "er"]), texts)
