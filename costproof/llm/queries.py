@@ -9,6 +9,7 @@ from costproof.llm.byte_bpe import round_trip
 from costproof.llm.factorisation import quality_scores
 from costproof.llm.language import document_languages, page_languages, text_model
 from costproof.llm.merkle import every_fifth_lowered, manifest
+from costproof.llm.merkle_sql import MANIFEST
 from costproof.llm.minhash import near_duplicates
 from costproof.llm.mixing import mix
 from costproof.llm.packing import pack
@@ -121,6 +122,6 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-@query("op13_merkle_manifest")
+@query("op13_merkle_manifest", MANIFEST)
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"), every_fifth_lowered())

@@ -13,7 +13,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 def test_registered():
     queries, oracles = entry.queries(), entry.oracle_sql()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([q for q in queries if q.startswith(f"op{n}_")]) == 1
     assert "pipeline" in queries and [x for x in oracles if x.startswith("op1_") or x.startswith("op5_")]
 
