@@ -11,6 +11,8 @@ import hashlib
 import numpy as np
 
 BLOCK, CHAINED = 1 << 20, 24
+#: Words of at most so many bytes share a hash only with words of another length.
+EXACT = 8
 _MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

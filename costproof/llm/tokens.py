@@ -6,7 +6,8 @@ text are the ids of its pre-tokens in order. Pre-tokens repeat far more than tex
 Missing ones are encoded together, as one text, whose token bytes show where each begins.
 
 Ids are looked up for all pre-tokens of a batch at once: their 64-bit hashes index a direct-mapped table of places in a pool of
-ids, and the batch's ids are gathered from there. A hit counts only if its bytes are those of the pre-token, so no hash decides.
+ids, and the batch's ids are gathered from there. A hit counts only if its bytes are those of the pre-token: up to ``EXACT`` bytes
+hash and length determine them, longer ones are compared.
 
 Texts that hold a special string, and files of other kinds, go through their own library whole.
 """
@@ -19,7 +20,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-from costproof.llm.bytehash import batches, between_blanks, mix, same, windows
+from costproof.llm.bytehash import EXACT, batches, between_blanks, mix, same, windows
 
 # The pattern of byte-level BPE files (before merges).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -199,6 +200,8 @@ class Encoder:
         at, n = self.slot_at[slot], self.slot_n[slot].astype(np.int64)
         hit = np.flatnonzero((self.slot_hash[slot] == hashes) & (n > 0) & (self.slot_led[slot] == led) & (self.slot_bytes[slot] == length))
         known = np.zeros(len(hashes), bool)
+        known[hit[length[hit] <= EXACT]] = True
+        hit = hit[length[hit] > EXACT]
         known[hit[same(view, starts[hit], windows(self.raw), self.slot_byte[slot[hit]], length[hit])]] = True
         miss = np.flatnonzero(~known)
         if len(miss):
@@ -209,7 +212,8 @@ class Encoder:
             at[miss], n[miss] = new_at[back], new_n[back]
             model = where[back]  # the pre-token whose ids were taken for the hash
             alike = (length[model] == length[miss]) & (led[model] == led[miss])
-            alike[alike] = same(view, starts[miss[alike]], view, starts[model[alike]], length[miss[alike]])
+            check = np.flatnonzero(alike & (length[miss] > EXACT))
+            alike[check] = same(view, starts[miss[check]], view, starts[model[check]], length[miss[check]])
             odd = miss[~alike]
             if len(odd):
                 at[odd], n[odd], _ = self._encode_at(raw, starts[odd], ends[odd], led[odd])

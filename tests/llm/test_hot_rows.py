@@ -4,6 +4,7 @@ import threading
 import time
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -39,9 +40,22 @@ def test_colliding_words(spark, letters):
 
 
 def test_lookup_compares_bytes(monkeypatch):
-    """Every pre-token gets the same hash: ids are still those of the library."""
+    """Every longer pre-token gets the same hash: ids are still those of the library."""
     whole = bytehash.hashed
-    monkeypatch.setattr(bytehash, "hashed", lambda *a: whole(*a) * 0 + 12345)
+    monkeypatch.setattr(bytehash, "hashed", lambda buffer, starts, ends: np.where(ends - starts > bytehash.EXACT, np.uint64(12345), whole(buffer, starts, ends)))
+    library, encoder = Tokenizer.from_file(PATH), tokens.Encoder(PATH)
+    texts = ["somewhat longer words andsomewhat longerer words", "longerer words somewhat", "somewhere", "some"]
+    for _ in range(2):
+        assert [i.tolist() for i in encoder.ids(texts)] == [library.encode(t).ids for t in texts]
+
+
+def test_short_words_have_hashes_of_their_own():
+    words = [bytes([a, b, c]) for a in range(97, 123) for b in range(97, 123) for c in range(97, 123)] + [b"%08d" % k for k in range(20_000)]
+    found, first = bytehash.words(words)
+    assert len(first) == len(words) + 1 and len(np.unique(found)) == len(words)
+
+
+def test_lookup_of_repeated_texts():
     library, encoder = Tokenizer.from_file(PATH), tokens.Encoder(PATH)
     texts = ["some words and some more", "words some", "one", "some"]
     for _ in range(2):
