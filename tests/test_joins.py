@@ -34,3 +34,15 @@ def against_oracle(spark, name):
 
 def test_numbers_similar(spark):
     against_oracle(spark, "numbers_similar")
+
+
+@pytest.mark.parametrize("name", ["match_vendor", "statement_fallback", "vendor_overlap", "group_offer_blocks", "match_totals_to_blocks"])
+def test_blocks_stay_off_the_driver(spark, name):
+    """Offer blocks are made by explode, so Spark takes them for as small as their customers, also where they are many."""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["match_vendor", "vendor_overlap", "group_offer_blocks", "match_totals_to_blocks", "advance_chain_check"])
+def test_against_oracle(spark, name):
+    against_oracle(spark, name)
