@@ -7,8 +7,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
-from catalog.domain import GIVEN
+from catalog.domain import GIVEN, load
+from catalog.queries_matching import sixth
+from costproof.operators import matching, positions
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="tables not present")
@@ -36,13 +40,32 @@ def test_numbers_similar(spark):
     against_oracle(spark, "numbers_similar")
 
 
-@pytest.mark.parametrize("name", ["match_vendor", "statement_fallback", "vendor_overlap", "group_offer_blocks", "match_totals_to_blocks"])
-def test_blocks_stay_off_the_driver(spark, name):
+def test_blocks_stay_off_the_driver(spark):
     """Offer blocks are made by explode, so Spark takes them for as small as their customers, also where they are many."""
-    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
-    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    blocks = load(spark, SF, "vendor_blocks")
+    invoices = spark.sql("select id as project_id, 'Müller Elektro GmbH' as vendor_name, cast(1 as decimal(18,2)) as net_total from range(5)")
+    frames = [invoices.join(blocks, "project_id"), matching.match_totals_to_blocks(invoices, blocks),
+              matching.statement_fallback(matching.match_vendor(invoices, blocks), blocks)]
+    for df in frames:
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
 @pytest.mark.parametrize("name", ["match_vendor", "vendor_overlap", "group_offer_blocks", "match_totals_to_blocks", "advance_chain_check"])
 def test_against_oracle(spark, name):
     against_oracle(spark, name)
+
+
+def test_sixth_decimal(spark):
+    """Halves at the seventh decimal of scores."""
+    values = [Decimal("0.105265500"), Decimal("0.125032500"), Decimal("0.064161500"), Decimal("0.255265500"), Decimal("0.350000000"), Decimal("0.000000500")]
+    df = spark.createDataFrame([(v,) for v in values], "v decimal(12,9)").select("v", sixth(F.col("v")).alias("r"))
+    con = duckdb.connect()
+    assert {r.v: r.r for r in df.collect()} == {v: con.execute(f"select round(cast({v} as decimal(12,9))::double, 6)").fetchone()[0] for v in values}
+
+
+@pytest.mark.parametrize("bound", [0, 30, positions.GROUP_PAIRS])
+def test_pairs_in_group_and_by_word(spark, monkeypatch, bound):
+    """Small and crowded groups are scored alike."""
+    monkeypatch.setattr(positions, "GROUP_PAIRS", bound)
+    against_oracle(spark, "score_positions")
