@@ -44,10 +44,11 @@ def read_cii_invoices(docs: DataFrame, xml: str = "xml") -> tuple[DataFrame, Dat
     beyond them, so positions add up to the net total. Without vendor, number, date or net total
     a document is rejected. ``docs``: doc_id and the XML text.
     """
-    parsed = docs.select("doc_id", F.from_xml(xml, CII_SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("x"))
+    # inline parses a document once; a filter on its fields would otherwise parse it again for each of them.
+    parsed = docs.select("doc_id", F.inline(F.array(F.from_xml(xml, CII_SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}))))
     head = parsed.select(
-        "doc_id", F.coalesce("x.ExchangedDocument", "x.HeaderExchangedDocument").alias("h"),
-        F.coalesce("x.SupplyChainTradeTransaction", "x.SpecifiedSupplyChainTradeTransaction").alias("t")).select(
+        "doc_id", F.coalesce("ExchangedDocument", "HeaderExchangedDocument").alias("h"),
+        F.coalesce("SupplyChainTradeTransaction", "SpecifiedSupplyChainTradeTransaction").alias("t")).select(
         "doc_id", "h", "t", F.coalesce("t.ApplicableHeaderTradeAgreement", "t.ApplicableSupplyChainTradeAgreement").alias("a"),
         F.coalesce("t.ApplicableHeaderTradeSettlement", "t.ApplicableSupplyChainTradeSettlement").alias("s")).withColumn(
         "sums", F.coalesce("s.SpecifiedTradeSettlementHeaderMonetarySummation", "s.SpecifiedTradeSettlementMonetarySummation"))

@@ -13,6 +13,7 @@ import __spark_entry__ as entry
 from catalog.domain import GIVEN, load
 from catalog.queries_matching import sixth
 from costproof.operators import matching, positions
+from costproof.sources import einvoice
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="tables not present")
@@ -69,3 +70,16 @@ def test_pairs_in_group_and_by_word(spark, monkeypatch, bound):
     """Small and crowded groups are scored alike."""
     monkeypatch.setattr(positions, "GROUP_PAIRS", bound)
     against_oracle(spark, "score_positions")
+
+
+def test_documents_are_parsed_once(spark):
+    """A filter on parsed fields does not repeat the parser."""
+    docs = spark.createDataFrame([(1, "<a/>"), (2, None)], "doc_id bigint, xml string")
+    for df in einvoice.read_cii_invoices(docs):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
+    assert [r.doc_id for r in einvoice.read_cii_invoices(docs)[2].orderBy("doc_id").collect()] == [1, 2]
+
+
+@pytest.mark.parametrize("name", ["cii_invoices", "cii_positions", "cii_rejected"])
+def test_invoices_against_oracle(spark, name):
+    against_oracle(spark, name)
