@@ -6,7 +6,7 @@ bounded by that cell. Row sheets may be of any size and use bucketed carries ins
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from costproof import fixed_values as fx
 from costproof.functions.german import money_token, money_tokens, strip
@@ -62,13 +62,27 @@ def _shares(df: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    exploded = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return exploded.where(strip(F.col("line")) != "")
+    """Lines that print something. Texts are dealt before they are taken apart, so a few large input files keep no task busy
+    alone, and the lines of a text need no shuffle of their own."""
+    dealt = docs.select("doc_id", "text").repartition("doc_id")
+    exploded = dealt.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return exploded.where(F.col("line").rlike(r"(?U)\S"))
+
+
+def _along() -> tuple[WindowSpec, WindowSpec, WindowSpec]:
+    """A text's lines in order, those so far and those before. All carries use this order, which is sorted once."""
+    along = Window.partitionBy("doc_id").orderBy("line_no")
+    return along, along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``value`` as a column that a later filter does not compute again."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
 
 
 def _with_blocks(lines: DataFrame, is_position: Column) -> DataFrame:
-    header = ~is_position & strip(F.col("line")).rlike(fx.BLOCK_HEADER)
-    so_far = Window.partitionBy("doc_id").orderBy("line_no")
+    header = ~is_position & F.col("line").rlike(fx.BLOCK_HEADER)
+    _, so_far, _ = _along()
     return lines.withColumn("is_header", header).withColumn("block_no", F.sum(F.col("is_header").cast("int")).over(so_far)).where(F.col("block_no") > 0)
 
 
@@ -76,29 +90,33 @@ def blocks_from_layout_lines(docs: DataFrame) -> DataFrame:
     """Vendor blocks of printed cost sheets (doc_id, text), figures chosen as above. The sum row
     is the last one with two amounts; without one, the last amount row before the first percent
     row counts."""
+    _, so_far, before = _along()
     numbered = F.col("line").rlike(fx.NUMBERED_LINE)
     df = _with_blocks(_lines(docs), numbered)
-    text = strip(F.col("line"))
-    df = df.withColumns({"numbered": numbered, "monies": money_tokens(text), "found": money_tokens(text, fx.PERCENT), "text": text})
+    df = df.withColumns({"numbered": numbered, "text": strip(F.col("line"))})
+    df = df.withColumns({"monies": money_tokens(F.col("text")), "found": money_tokens(F.col("text"), fx.PERCENT)})
     special = ~F.col("is_header") & F.col("text").rlike(fx.SPECIAL_PRICE_LINE)
     percent = ~F.col("is_header") & ~special & (F.size("found") >= 2)
     df = df.withColumn("kind", F.when(F.col("is_header"), "header").when(special, F.when(F.size("monies") > 0, "special").otherwise("skip")).when(percent, "percent"))
-    first_pct = F.min(F.when(F.col("kind") == "percent", F.col("line_no"))).over(Window.partitionBy("doc_id", "block_no"))
-    plain = F.col("kind").isNull() | ((F.col("kind") == "percent") & (F.col("line_no") > F.col("pct_no")))
+    pct_before = F.max(F.when(F.col("kind") == "percent", F.col("line_no"))).over(before) > F.max(F.when(F.col("is_header"), F.col("line_no"))).over(so_far)
+    df = df.withColumn("pct_before", F.coalesce(pct_before, F.lit(False)))
+    plain = F.col("kind").isNull() | ((F.col("kind") == "percent") & F.col("pct_before"))
     amounts = plain & ~F.col("numbered") & (F.size("monies") >= 2)
-    df = df.withColumn("pct_no", first_pct).withColumn("kind", F.when(amounts & F.col("text").rlike(fx.SUM_LINE), "sum").when(amounts, "amounts").otherwise(F.col("kind")))
+    df = df.withColumn("kind", F.when(amounts & F.col("text").rlike(fx.SUM_LINE), "sum").when(amounts, "amounts").otherwise(F.col("kind")))
 
     def last(cond: Column, value: str) -> Column:
         return F.max_by(F.when(cond, F.col(value)), F.when(cond, F.col("line_no")))
 
     empty = F.array().cast("array<decimal(18,2)>")
+    first_pct = (F.col("kind") == "percent") & ~F.col("pct_before")
     blocks = df.groupBy("doc_id", "block_no").agg(
         F.min_by(F.when(F.col("is_header"), F.col("text")), F.when(F.col("is_header"), F.col("line_no"))).alias("header"),
         F.coalesce(last(F.col("kind") == "special", "monies"), empty).alias("sonder_totals"),
-        F.coalesce(F.min_by(F.when(F.col("kind") == "percent", F.col("found")), F.when(F.col("kind") == "percent", F.col("line_no"))), empty).alias("pcts"),
+        last(first_pct, "found").alias("_pcts"),
         last(F.col("kind") == "sum", "monies").alias("_sum"),
-        last(F.col("kind").isin("sum", "amounts") & (F.col("line_no") < F.col("pct_no")), "monies").alias("_pending"))
-    blocks = blocks.withColumn("totals", F.coalesce("_sum", "_pending", empty)).drop("_sum", "_pending")
+        last(F.col("kind").isin("sum", "amounts") & ~F.col("pct_before"), "monies").alias("_pending"))
+    pending = F.when(F.col("_pcts").isNotNull(), F.col("_pending"))
+    blocks = blocks.withColumns({"totals": F.coalesce(F.col("_sum"), pending, empty), "pcts": F.coalesce("_pcts", empty)}).drop("_sum", "_pending", "_pcts")
     chosen = _shares(choose_block_figures(blocks))
     return chosen.withColumn("vendor", vendor_from_header(F.col("header"))).withColumn("source", F.lit("pdf"))
 
@@ -106,28 +124,26 @@ def blocks_from_layout_lines(docs: DataFrame) -> DataFrame:
 def positions_from_layout_lines(docs: DataFrame) -> DataFrame:
     """Position rows of every vendor block. A line of text alone belongs to the position above it
     while that has no such line yet, else to the next one; a sum row ends both."""
+    along, so_far, _ = _along()
     numbered = F.col("line").rlike(fx.POSITION_LINE)
     lines = _lines(docs).where(~F.contains("line", F.lit("\f")))
-    df = _with_blocks(lines, numbered)
-    trimmed = F.regexp_replace("line", r"(?U)\s+$", "")
-    df = df.withColumn("line", trimmed).withColumn("text", strip(F.col("line")))
-    in_block = Window.partitionBy("doc_id", "block_no")
-    header_text = F.max(F.when(F.col("is_header"), F.col("text"))).over(in_block)
-    df = df.withColumn("header", header_text).where(~F.col("is_header") & ~F.col("header").rlike(fx.STATEMENT_BLOCK))
-    skipped = F.col("line").rlike(fx.SKIPPED_LINE)
-    monies = money_tokens(F.col("line"), fx.MONEY_EUR)
+    df = _with_blocks(lines, numbered).withColumn("line", F.regexp_replace("line", r"(?U)\s+$", ""))
+    df = df.withColumn("text", strip(F.col("line")))
+    # A block starts at its header, so the last header so far is the block's.
+    df = df.withColumn("header", F.last(F.when(F.col("is_header"), F.col("text")), ignorenulls=True).over(so_far))
+    df = df.where(~F.col("is_header") & ~F.col("header").rlike(fx.STATEMENT_BLOCK))
+    df = df.withColumn("monies", money_tokens(F.col("line"), fx.MONEY_EUR))
     kind = (
-        F.when(skipped, F.when(F.startswith("text", F.lit("Σ")), "reset").otherwise("skip"))
-        .when(numbered & (F.size(monies) >= 3), "position").when(F.size(monies) > 0, "skip").otherwise("text"))
-    df = df.withColumns({"monies": monies, "kind": kind})
-    up_to = in_block.orderBy("line_no")
-    df = df.where(F.col("kind") != "skip").withColumn("segment", F.sum(F.when(F.col("kind") == "reset", 1).otherwise(0)).over(up_to))
-    # Within a segment: the first text line after a position trails it, later ones lead the next.
-    by_segment = Window.partitionBy("doc_id", "block_no", "segment").orderBy("line_no")
-    df = df.where(F.col("kind") != "reset").withColumn("at", F.sum(F.when(F.col("kind") == "position", 1).otherwise(0)).over(by_segment))
-    by_position = Window.partitionBy("doc_id", "block_no", "segment", "at").orderBy("line_no")
-    df = df.withColumn("nth_text", F.sum(F.when(F.col("kind") == "text", 1).otherwise(0)).over(by_position))
-    trails = (F.col("kind") == "text") & (F.col("at") > 0) & (F.col("nth_text") == 1)
+        F.when(F.col("line").rlike(fx.SKIPPED_LINE), F.when(F.startswith("text", F.lit("Σ")), "reset").otherwise("skip"))
+        .when((F.size("monies") >= 3) & numbered, "position").when(F.size("monies") > 0, "skip").otherwise("text"))
+    df = _once(df, "kind", kind).where(F.col("kind") != "skip")
+    df = df.withColumns({
+        "segment": F.sum(F.when(F.col("kind") == "reset", 1).otherwise(0)).over(so_far),
+        "at": F.sum(F.when(F.col("kind") == "position", 1).otherwise(0)).over(so_far),
+        "above": F.lag(F.struct("kind", "block_no")).over(along)})
+    df = df.where(F.col("kind") != "reset")
+    # The first text line after a position trails it, later ones lead the next.
+    trails = F.coalesce((F.col("kind") == "text") & (F.col("above.kind") == "position") & (F.col("above.block_no") == F.col("block_no")), F.lit(False))
     owner = F.when((F.col("kind") == "position") | trails, F.col("at")).otherwise(F.col("at") + 1)
     before_money = F.split(F.regexp_extract("line", fx.POSITION_LINE, 2), fx.MONEY_EUR, 2)[0]
     piece = F.when(F.col("kind") == "position", strip(before_money)).otherwise(F.col("text"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from catalog.domain import GIVEN, load
 from catalog.queries_matching import sixth
-from costproof.operators import matching, positions
+from costproof.operators import layout, matching, positions
 from costproof.sources import einvoice
 
 SF = "/root/testdata/sf0.001"
@@ -28,11 +28,11 @@ def rows(columns, data):
     return Counter(tuple(norm(r[i]) for i in order) for r in data)
 
 
-def against_oracle(spark, name):
+def against_oracle(spark, name, sf_dir=SF):
     con = duckdb.connect()
     for t in GIVEN:
-        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    df = entry.queries()[name](spark, SF)
+        con.execute(f"create view {t} as select * from '{sf_dir if (Path(sf_dir) / f'{t}.parquet').exists() else SF}/{t}.parquet'")
+    df = entry.queries()[name](spark, str(sf_dir))
     rel = con.execute(entry.oracle_sql()[name])
     assert rows(df.columns, df.collect()) == rows([c[0] for c in rel.description], rel.fetchall())
 
@@ -83,3 +83,22 @@ def test_documents_are_parsed_once(spark):
 @pytest.mark.parametrize("name", ["cii_invoices", "cii_positions", "cii_rejected"])
 def test_invoices_against_oracle(spark, name):
     against_oracle(spark, name)
+
+
+def test_printed_lines_are_sorted_once(spark):
+    """Texts are dealt before they are taken apart, and all carries use one order of their lines."""
+    docs = spark.createDataFrame([(1, "SOLL: Müller Angebot 1 vom 01.02.1996\n1 Anlage  1,00 €  1,00 €  0,00 €")], "doc_id bigint, text string")
+    for df in (layout.positions_from_layout_lines(docs), layout.blocks_from_layout_lines(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()  # one sort of lines, one of blocks or positions
+        assert plan.count("Sort [doc_id") <= 2 and plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["blocks_from_layout_lines", "positions_from_layout_lines"])
+def test_printed_sheets_against_oracle(spark, name):
+    against_oracle(spark, name)
+
+
+def test_sheets_without_a_total(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"copy (select * replace (case when c_custkey % 5 = 0 then 0 else c_acctbal end as c_acctbal) from '{SF}/customer.parquet') to '{tmp_path}/customer.parquet' (format parquet)")
+    against_oracle(spark, "blocks_from_layout_lines", tmp_path)
