@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from catalog.domain import GIVEN, load
 from catalog.queries_matching import sixth
-from costproof.operators import layout, matching, positions
+from costproof.operators import layout, matching, positions, quality
 from costproof.sources import einvoice
 
 SF = "/root/testdata/sf0.001"
@@ -102,3 +102,10 @@ def test_sheets_without_a_total(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"copy (select * replace (case when c_custkey % 5 = 0 then 0 else c_acctbal end as c_acctbal) from '{SF}/customer.parquet') to '{tmp_path}/customer.parquet' (format parquet)")
     against_oracle(spark, "blocks_from_layout_lines", tmp_path)
+
+
+@pytest.mark.parametrize("bound", [0, 30, quality.DOCUMENT_PAIRS])
+def test_items_in_document_and_by_word(spark, monkeypatch, bound):
+    """Small and crowded documents are paired alike."""
+    monkeypatch.setattr(quality, "DOCUMENT_PAIRS", bound)
+    against_oracle(spark, "pair_line_items")
