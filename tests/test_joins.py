@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from catalog.domain import GIVEN, load
 from catalog.queries_matching import sixth
-from costproof.operators import layout, matching, positions, quality
+from costproof.operators import duplicates, layout, matching, positions, quality
 from costproof.sources import einvoice
 
 SF = "/root/testdata/sf0.001"
@@ -109,3 +109,10 @@ def test_items_in_document_and_by_word(spark, monkeypatch, bound):
     """Small and crowded documents are paired alike."""
     monkeypatch.setattr(quality, "DOCUMENT_PAIRS", bound)
     against_oracle(spark, "pair_line_items")
+
+
+@pytest.mark.parametrize("rows_of_block", [0, 2, duplicates.BLOCK_ROWS])
+def test_duplicates_in_block_and_by_key(spark, monkeypatch, rows_of_block):
+    """Small and crowded blocks are judged alike."""
+    monkeypatch.setattr(duplicates, "BLOCK_ROWS", rows_of_block)
+    against_oracle(spark, "flag_duplicates")
