@@ -50,3 +50,15 @@ def test_words_inside_words(spark):
     start = time.time()
     found = positions._related_words(df(long, "o_tokens"), df([w[5000:5012] for w in long], "i_tokens")).collect()
     assert len(found) == 20 and time.time() - start < 60
+
+
+def test_small_groups_need_no_runs_of_prices(spark, monkeypatch):
+    """All pairs of a small group are compared where they meet; only crowded groups sort their prices."""
+    def fail(*_):
+        raise AssertionError("sorted")
+
+    monkeypatch.setattr(positions, "_price_and_quantity", fail)
+    offers = spark.sql("select 1L as project_id, 1L as group_seq, id as line_seq, '1' as pos, cast(null as string) as artikelnummer, 'Pumpe' as description, cast(1 as decimal(18,2)) as qty, cast(100 + id as decimal(18,2)) as line_total_net, false as optional from range(3)")
+    billed = spark.sql("select 1L as project_id, 1L as group_seq, 7L as invoice_id, 1L as pos_seq, '1' as pos, 'Rohr' as description, cast(1 as decimal(18,2)) as qty, cast(101 as decimal(18,2)) as line_total_net")
+    row = positions.propose_matches(offers, billed).first()
+    assert row.confidence == "none" and float(row.score) == 0.35 and row.line_seq is None
