@@ -25,9 +25,10 @@ def read_extractions(spark: SparkSession, path: str, kind: str) -> tuple[DataFra
 
 
 def parse_extractions(lines: DataFrame, kind: str) -> DataFrame:
-    """Records of JSON lines (value), with _corrupt where a line is none."""
+    """Records of JSON lines (value), with _corrupt where a line is none. A generator parses: no filter or column behind it moves
+    before it, so that a line is made and parsed once, not once for each column that a condition names."""
     schema, _ = schemas.extraction(kind)
-    return lines.select(F.from_json("value", schema.add("_corrupt", "string"), _LENIENT).alias("r")).select("r.*")
+    return lines.select(F.inline(F.array(F.from_json("value", schema.add("_corrupt", "string"), _LENIENT))))
 
 
 def judge_extractions(raw: DataFrame, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,8 @@ from catalog import all_queries
 from catalog.domain import TABLES, load
 from costproof.functions.german import strip
 from costproof.functions.text import loose
-from costproof.operators import privacy
+from costproof.operators import privacy, quality
+from costproof.sources import readers
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +54,11 @@ def test_texts_without_a_hit_are_not_scanned_again(spark):
     df = privacy.mask_client(pages, projects)
     assert [tuple(r)[3:] for r in df.orderBy("doc_id").collect()] == [("nichts", 0, 0), ("An [KUNDE], [KUNDENADRESSE]", 1, 1), (None, None, None)]
     assert _plan(df).count("> 0) THEN regexp_replace") == 3
+
+
+def test_a_record_is_parsed_once(spark):
+    for name in ("extracted_documents", "extracted_positions", "rejected_extractions"):
+        assert _plan(all_queries()[0][name](spark, SF)).count("from_json") == 1, name
+    lines = spark.createDataFrame([('{"invoice_id": 1, "vendor_name": "A"}',), ('{"invoice_id": 2',), (None,)], "value string")
+    rows = readers.parse_extractions(lines, "invoice").select("invoice_id", "_corrupt").collect()
+    assert sorted((tuple(r) for r in rows if r.invoice_id == 1 or r._corrupt), key=str) == [(1, None), (rows[1].invoice_id, '{"invoice_id": 2')] and len(rows) == 3
