@@ -62,3 +62,7 @@ def test_a_record_is_parsed_once(spark):
     lines = spark.createDataFrame([('{"invoice_id": 1, "vendor_name": "A"}',), ('{"invoice_id": 2',), (None,)], "value string")
     rows = readers.parse_extractions(lines, "invoice").select("invoice_id", "_corrupt").collect()
     assert sorted((tuple(r) for r in rows if r.invoice_id == 1 or r._corrupt), key=str) == [(1, None), (rows[1].invoice_id, '{"invoice_id": 2')] and len(rows) == 3
+
+
+def test_names_are_taken_apart_after_dealing_out(spark):
+    assert "RepartitionByExpression" in _plan(all_queries()[0]["fix_vendor_is_recipient"](spark, SF))
