@@ -66,3 +66,20 @@ def test_a_record_is_parsed_once(spark):
 
 def test_names_are_taken_apart_after_dealing_out(spark):
     assert "RepartitionByExpression" in _plan(all_queries()[0]["fix_vendor_is_recipient"](spark, SF))
+
+
+def test_sheets_are_compared_in_one_reading_of_each_side(spark):
+    for name in ("diff_cost_tables", "correction_lines"):
+        assert _plan(all_queries()[0][name](spark, SF)).count("Relation [l_orderkey") <= 4, name
+    kind = "sheet_id long, block string, seq long, pos string, description string, gesamt decimal(18,2), investitionskosten decimal(18,2), nebenkosten decimal(18,2)"
+    row = lambda sheet, block, seq, pos, text, total=1: (sheet, block, seq, pos, text, Decimal(total), None, None)
+    old = [row(1, "A", 1, "1", "x"), row(1, "A", 2, "1", "x"), row(1, "A", 3, None, " Y "), row(1, "A", 4, None, None), row(1, None, 5, "1", "n"), row(2, "B", 1, "1", "x")]
+    new = [row(1, "A", 1, "1", "first"), row(1, "A", 2, "1", "x", 2), row(1, "A", 3, " ", "y"), row(1, "A", 9, None, None), row(1, None, 5, "1", "n"), row(2, "C", 1, "1", "x")]
+    got = quality.diff_cost_tables(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind))
+    assert got.columns == ["sheet_id", "block", "scope", "pos", "field", "original", "corrected"]
+    edit = (1, "A", "position-field", "1", "gesamt", "1.00", "2.00")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([
+        edit, edit, (1, "A", "position-field", None, "description", " Y ", "y"),
+        (1, "A", "position-removed", None, None, None, None), (1, "A", "position-added", None, None, None, None),
+        (1, None, "block-removed", None, None, None, None), (1, None, "block-added", None, None, None, None),
+        (2, "B", "block-removed", None, None, None, None), (2, "C", "block-added", None, None, None, None)], key=str)
