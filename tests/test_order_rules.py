@@ -215,3 +215,31 @@ def test_connected(spark):
             parent[a] = parent[b] = min(parent[a], parent[b])
     assert got == parent
     assert rounds.connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_components_of_small_projects_are_labelled_in_one_pass(spark, monkeypatch):
+    pairs = [(1, 1, 10, 1, True), (1, 2, 10, 2, True), (1, 3, 11, None, True), (1, 4, 12, 1, True), (1, 4, 13, 1, True), (1, 5, 13, 1, True), (2, 1, 10, 1, True), (2, 2, 11, 1, False), (2, 3, -5, 3, True), (2, 2, -5, 1, True)]
+    df = spark.createDataFrame(pairs, "project_id long, cls long, q long, tier int, payee boolean").repartition(3).localCheckpoint()
+
+    def found():
+        rows = payments._components(df).collect()
+        groups = {}
+        for r in rows:
+            groups.setdefault((r.component, r.alike), set()).add((r.project_id, r.cls, r.q, r.tier, r.payee))
+        return sorted((sorted(map(str, v)), k[1]) for k, v in groups.items())
+
+    jobs = []
+    monkeypatch.setattr(payments, "connected", lambda edges, rounds=payments.connected: jobs.append(1) or rounds(edges))
+    once = found()
+    assert jobs == [] and [a for _, a in once].count(True) == 2 and len(once) == 5
+    monkeypatch.setattr(payments, "PROJECT_PAIRS", 4)
+    assert found() == once and jobs == [1]
+
+
+def test_amounts_at_the_edges_of_a_step_still_meet(spark):
+    kind = "project_id long, cls long, vendor string, target decimal(18,2), discounted decimal(18,4)"
+    classes = spark.createDataFrame([(1, c, "v", Decimal(c) / 100, Decimal(c) / 100 - 3) for c in range(-20, 20)], kind)
+    links = spark.createDataFrame([(1, "v", "p")], "project_id long, vendor string, payee string")
+    proofs = spark.createDataFrame([(1, q, "p", Decimal(q) / 100) for q in range(-330, 30)], "project_id long, q long, payee string, amount decimal(18,2)")
+    got = {(r.cls, r.q): r.tier for r in payments._class_edges(classes, links, proofs).collect()}
+    assert got == {(c, q): 1 if abs(c - q) <= 2 else 2 for c in range(-20, 20) for q in range(-330, 30) if abs(c - q) <= 2 or abs(c - 300 - q) <= 5}

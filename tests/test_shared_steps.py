@@ -56,6 +56,15 @@ def test_texts_without_a_hit_are_not_scanned_again(spark):
     assert _plan(df).count("> 0) THEN regexp_replace") == 3
 
 
+def test_unions_with_conditions_and_new_keys_are_read_once_and_equal_their_sql(spark):
+    for name, source in (("payment_proofs", "invoices"), ("invoice_scans", "invoices"), ("scan_positions", "invoice_positions")):
+        got, table = load(spark, SF, name, source)
+        want = spark.sql(TABLES[name], **{source: table})
+        assert "Union" not in _plan(got)
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty(), name
+
+
 def test_a_record_is_parsed_once(spark):
     for name in ("extracted_documents", "extracted_positions", "rejected_extractions"):
         assert _plan(all_queries()[0][name](spark, SF)).count("from_json") == 1, name
